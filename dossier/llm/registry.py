@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from dossier.llm import exact_dedup, sentencepieces, sharding, token_counts
+from dossier.llm import exact_dedup, language_id, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_language_id": language_id.op3_language_id,
+    "op5_weak_quality": weak_quality.op5_weak_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_sentencepiece": sentencepieces.op7_sentencepiece,
     "op8_sharding": sharding.op8_sharding,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
