@@ -91,7 +91,7 @@ def hash_sample(keys: DataFrame, most: int) -> DataFrame:
     return keys.orderBy(F.xxhash64(F.lit(77), "key"), "key").limit(most)
 
 
-def train(targets: np.ndarray, buckets: list[np.ndarray], values: list[np.ndarray], epochs: int = 6, rate: float = 0.15, decay: float = 1e-6, seed: int = 5) -> HashedLinear | None:
+def train(targets: np.ndarray, buckets: list[np.ndarray], values: list[np.ndarray], epochs: int = 6, rate: float = 0.005, decay: float = 1e-6, seed: int = 5) -> HashedLinear | None:
     """Logistic regression by AdaGrad on four fifths, Platt calibration on the rest; None without two classes."""
     if len(targets) < 10 or not (targets > 0.5).any() or not (targets <= 0.5).any():
         return None
@@ -118,14 +118,16 @@ def platt(margins: np.ndarray, targets: np.ndarray) -> tuple[float, float]:
     n1 = float(targets.sum())
     n0 = len(targets) - n1
     y = targets * (n1 + 1) / (n1 + 2) + (1 - targets) / (n0 + 2)
+    scale = float(np.abs(margins).max(initial=0)) or 1.0
+    margins = margins / scale
     slope, shift = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(100):
         p = sigmoid(slope * margins + shift)
         d, h = p - y, p * (1 - p)
         grad = np.array([d @ margins + 1e-3 * (slope - 1), d.sum()])
         hess = np.array([[h @ (margins * margins) + 1e-3, h @ margins], [h @ margins, h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
+        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
         slope, shift = slope - step[0], shift - step[1]
         if abs(step).max() < 1e-9:
             break
-    return (float(slope), float(shift)) if slope > 0 else (1.0, 0.0)
+    return (float(slope) / scale, float(shift)) if slope > 0 else (1.0, 0.0)

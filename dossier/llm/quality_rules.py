@@ -27,7 +27,7 @@ from dossier.llm.words import slices, texts_of
 TRAIN_ROWS = 4000
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-KEEP_AT = 0.5
+KEEP_AT = 0.3
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS) + ", base_failed boolean, kept boolean, quality_p double"
 

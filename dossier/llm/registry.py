@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import exact_dedup, language_id, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
+from dossier.llm import exact_dedup, language_id, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_sentencepiece": sentencepieces.op7_sentencepiece,
     "op8_sharding": sharding.op8_sharding,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}

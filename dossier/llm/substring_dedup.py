@@ -116,7 +116,9 @@ class _Batch:
 def _cut(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, lo, hi) of the runs of sorted hashes with equal top bits."""
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    if not len(bucket):
+        return
+    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for lo, hi in zip(head, np.append(head[1:], len(bucket)), strict=True):
         yield int(bucket[lo]), int(lo), int(hi)
 
