@@ -111,7 +111,8 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, limit: int = TOKEN
     keyed = settled(docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content")))
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == version)
     # one text of each digest that the cache lacks, known by its smallest doc_id
-    misses = keyed.join(stored.select("content"), "content", "left_anti").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+    distinct = keyed.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+    misses = distinct.join(stored.select("content"), "content", "left_anti")
     texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     wanted = texts.join(misses.filter("doc_id is not null"), "doc_id").select("content", "text")
     # a digest that only rows without doc_id have is found by its content
