@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from dossier.llm.words import SPACE
 
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 150_000
 
 
 def chunk_spans(raw: np.ndarray, offsets: np.ndarray, with_space: bool) -> tuple[np.ndarray, np.ndarray]:

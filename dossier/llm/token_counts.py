@@ -34,7 +34,7 @@ TOKEN_LIMIT = 512
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 #: White space beyond the ASCII set: texts with it are encoded whole, since a chunk could part such a run.
 OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 def tokenizer_path(name: str) -> str:
