@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dossier.llm import exact_dedup, language_id, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
+from dossier.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_language_id": language_id.op3_language_id,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_weak_quality": weak_quality.op5_weak_quality,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_sentencepiece": sentencepieces.op7_sentencepiece,
