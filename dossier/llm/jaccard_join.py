@@ -294,5 +294,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.lower(F.hex("class")).alias("class_id"))
 
 
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stand for their component: the smallest doc_id; rows without doc_id stay."""
+    gone = jaccard_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == gone["_gone"], "left_anti")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))

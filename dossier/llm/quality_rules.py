@@ -40,35 +40,51 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> H
     return train(*sparse_sample(docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "key").select("key", "target", "text")))
 
 
+def _judge(model: HashedLinear | None, column: pa.Array, keep_at: float) -> dict[str, np.ndarray]:
+    """Counts, verdict and probability of each text of an Arrow column."""
+    raw_all, at = texts_of(column)
+    parts = {c: [] for c in [*STATS, "quality_p"]}
+    for lo, hi in slices(at):
+        raw, offsets = raw_all[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        stats = text_stats(raw, offsets)
+        for c in STATS:
+            parts[c].append(stats[c])
+        parts["quality_p"].append(model.probabilities(model.margins(raw, offsets)) if model else np.ones(hi - lo))
+    out = {c: np.concatenate(x) if x else np.zeros(0) for c, x in parts.items()}
+    out["base_failed"] = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED_PERCENT * out["n_words"])
+    out["kept"] = ~out["base_failed"] & (out["quality_p"] >= keep_at)
+    return out
+
+
 def _rule_batches(shared, keep_at: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            raw_all, at = texts_of(batch.column(1))
-            parts = {c: [] for c in [*STATS, "p"]}
-            for lo, hi in slices(at):
-                raw, offsets = raw_all[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                stats = text_stats(raw, offsets)
-                for c in STATS:
-                    parts[c].append(stats[c])
-                parts["p"].append(model.probabilities(model.margins(raw, offsets)) if model else np.ones(hi - lo))
-            v = {c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in parts.items()}
-            failed = (v["n_words"] < LEAST_WORDS) | (100 * v["n_repeat_words"] > MOST_REPEATED_PERCENT * v["n_words"])
-            columns = [pa.array(v[c], pa.int64()) for c in STATS]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array(failed, pa.bool_()), pa.array(~failed & (v["p"] >= keep_at), pa.bool_()), pa.array(v["p"], pa.float64())],
-                ["doc_id", *STATS, "base_failed", "kept", "quality_p"],
-            )
+            found = _judge(shared.value, batch.column(1), keep_at)
+            columns = [*(pa.array(found[c], pa.int64()) for c in STATS), *(pa.array(found[c], pa.bool_()) for c in ("base_failed", "kept")), pa.array(found["quality_p"], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *STATS, "base_failed", "kept", "quality_p"])
+
+    return run
+
+
+def _kept_batches(shared, keep_at: float, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_judge(shared.value, batch.column(text_at), keep_at)["kept"], pa.bool_()))
 
     return run
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, keep_at: float = KEEP_AT) -> DataFrame:
-    """(doc_id, n_words, counts, base_failed, kept, quality_p) of each row; labelled_docs has the texts of the labels."""
-    model = fit_quality(docs if labelled_docs is None else labelled_docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def quality_rules(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
+    """(doc_id, n_words, counts, base_failed, kept, quality_p) of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rule_batches(shared, keep_at), SCHEMA)
 
 
+def only_quality(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs, all columns, that quality_rules keeps; judged and passed on in one scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
+    return docs.mapInArrow(_kept_batches(shared, keep_at, docs.columns.index("text")), docs.schema)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))

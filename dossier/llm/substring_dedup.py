@@ -257,7 +257,7 @@ def _finish(with_text: bool):
                 texts.append(_cut_text(text, batch.start[lo:hi] - batch.offsets[i], batch.end[lo:hi] - batch.offsets[i], out).decode())
         columns = {"n_words": pa.array(batch.n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
-            columns["kept_text"] = pa.array(texts, pa.string())
+            columns |= {"kept_text": pa.array(texts, pa.string()), "rest": batch.table["rest"]}
         return pa.table({"doc_id": batch.table["doc_id"], **columns})
 
     return run
@@ -271,17 +271,37 @@ def plan_sizes(total_bytes: int) -> tuple[int, int]:
     return max(64, math.ceil(total_bytes / batch_bytes)), max(8, math.ceil(math.log2(max(1, buckets))))
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of each row; with_text adds kept_text, the text without removed words."""
+def _swept(docs: DataFrame, with_text: bool) -> DataFrame:
     batches, bits = plan_sizes(volume(docs)[1])
-    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").select(batch.alias("batch"), "doc_id", "text")
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch")
+    rest = F.struct(F.lit(None).cast("int").alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("rest")
+    rows = docs.select(batch, F.col("doc_id").cast("long").alias("doc_id"), "text", *[rest] * with_text)
     by_batch = rows.groupBy("batch")
     blocks = by_batch.applyInArrow(_send_probes(bits), SENT).groupBy("bucket").applyInArrow(_match_blocks, ANSWER)
     windows = by_batch.cogroup(blocks.groupBy("batch")).applyInArrow(_send_windows(bits), SENT).groupBy("bucket").applyInArrow(_match_windows, ANSWER)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    if with_text:
+        schema += f", kept_text string, rest {rows.schema['rest'].dataType.simpleString()}"
     return by_batch.cogroup(blocks.union(windows).groupBy("batch")).applyInArrow(_finish(with_text), schema)
 
 
+def substring_dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of each row."""
+    return _swept(docs, False)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without the words that substring_dedup removes.
+
+    The other white space of a text stays; n_chars, where there is one, follows
+    the new text. A row that loses all its words goes; one that had none stays.
+    """
+    done = _swept(docs, True).filter("n_removed = 0 or n_removed < n_words")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars"))
+    return done.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
