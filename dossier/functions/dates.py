@@ -100,11 +100,11 @@ def start_shift(project_start: ColumnOrName) -> Column:
     return F.coalesce(F.datediff(col(project_start).cast("date"), F.lit(TEMPLATE_START)), F.lit(0))
 
 
-def anchor_date(start: ColumnOrName, finish: ColumnOrName, keywords: Column, shift: ColumnOrName = F.lit(0)) -> Column:
+def anchor_date(start: ColumnOrName, finish: ColumnOrName, keywords: Column, shift: ColumnOrName | None = None) -> Column:
     """Finish for delivery-like keywords, else start; the other where the preferred one is missing; then shifted."""
     by_finish = F.exists(keywords, lambda k: F.lower(k).isin(*FINISH_WORDS))
     chosen = F.when(by_finish, F.coalesce(col(finish), col(start))).otherwise(F.coalesce(col(start), col(finish)))
-    return F.date_add(chosen, col(shift).cast("int"))
+    return chosen if shift is None else F.date_add(chosen, col(shift).cast("int"))
 
 
 def midpoint(a: ColumnOrName, b: ColumnOrName) -> Column:

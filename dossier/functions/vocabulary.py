@@ -168,12 +168,13 @@ def activity_phase(text: ColumnOrName) -> Column:
     return first_match(F.upper(text_or_blank(text)), ACTIVITY_PHASES)
 
 
-def phase_status(query: ColumnOrName, activity: ColumnOrName, rule: ColumnOrName = F.lit("")) -> Column:
+def phase_status(query: ColumnOrName, activity: ColumnOrName, rule: ColumnOrName | None = None) -> Column:
     q, a = col(query), col(activity)
+    by_rule = F.lit(False) if rule is None else col(rule) == a
     pairs = F.lit(False)
     for x, y in COMPATIBLE_PHASES:
         pairs = pairs | ((q == x) & (a == y))
-    return ladder((q == "", "query_unknown"), (a == "", "activity_unknown"), ((q == a) | (col(rule) == a), "match"), (pairs, "compatible"), otherwise="mismatch")
+    return ladder((q == "", "query_unknown"), (a == "", "activity_unknown"), ((q == a) | by_rule, "match"), (pairs, "compatible"), otherwise="mismatch")
 
 
 def scope_status(query: Column, activity: Column) -> Column:
