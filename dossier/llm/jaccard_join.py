@@ -8,15 +8,17 @@ Equal sets become one class first. Links among the classes come in two steps:
 2. Token-group matrix. Classes are partitioned into groups of similar sets (a
    component, or one min-hash, in parts of GROUP_SETS at most). The matrix holds
    which tokens each group's union has. A query class probes it with its prefix
-   tokens (the rarest first; two sets with a Jaccard of 0.8 share one there),
-   skips groups wholly inside its own component, and at each token only classes
+   tokens (rarest first; two sets with a Jaccard of 0.8 share one there), skips
+   groups wholly inside its own component, and at each token only classes
    outside the largest component there ask, since a link needs one asker. Where
    the overlap with the group's union can still reach 0.8, the group is opened
    and its members are compared exactly.
 
 Both steps only find true links, and step 2 misses none between components, so
-the components are exact. Token order: tokens that a Misra-Gries summary over
-all documents finds frequent come last; the order affects cost, not results.
+the components are exact. The token order comes from all classes: hash buckets
+count every token and answer with the logarithm of its count in 3 bits. Tokens
+of one class come first and are never probed, so a document that merely quotes
+a shared passage has nothing to ask.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing. A row with a null doc_id links with nothing and has a null
@@ -46,9 +48,6 @@ SKETCH = 16
 STAR_KEYS = 3
 SKETCH_AGREES = 10
 GROUP_SETS = 64
-COUNTERS = 1 << 20
-MOST_FREQUENT = 1 << 19
-LEAST_FREQUENT = 32
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -74,61 +73,21 @@ def fingerprint(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
-class TokenSummary:
-    """Misra-Gries over token arrays: `counters` tokens at most, each with a lower bound of its count."""
-
-    def __init__(self, counters: int, pending: int = 1 << 22):
-        self.counters, self.most, self.waiting, self.size = counters, pending, [], 0
-        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, tokens: np.ndarray) -> None:
-        self.waiting.append(tokens)
-        self.size += len(tokens)
-        if self.size >= self.most:
-            self.settle()
-
-    def settle(self) -> None:
-        if not self.waiting:
-            return
-        new, n = np.unique(np.concatenate(self.waiting), return_counts=True)
-        self.waiting, self.size = [], 0
-        tokens, at = np.unique(np.concatenate([self.tokens, new]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([self.counts, n]), len(tokens)).astype(np.int64)
-        if len(tokens) > self.counters:
-            counts -= np.partition(counts, -self.counters - 1)[-self.counters - 1]
-            tokens, counts = tokens[counts > 0], counts[counts > 0]
-        self.tokens, self.counts = tokens, counts
-
-
-def _profile_batches(counters: int):
-    """Rows of documents (doc_id, n, class), then of the task's token summary (token, least)."""
-
-    def rows(doc_id, n, classes, token, least) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(classes, pa.binary()), token, least], ["doc_id", "n", "class", "token", "least"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary = TokenSummary(counters)
-        for batch in batches:
-            sizes, classes = [], []
-            for tokens in shingle_sets(batch.column(1)):
-                summary.add(tokens)
-                sizes.append(len(tokens))
-                classes.append(fingerprint(tokens))
-            yield rows(batch.column(0), sizes, classes, pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.int64()))
-        summary.settle()
-        often = summary.counts > 1
-        n = int(often.sum())
-        nothing = [None] * n
-        yield rows(pa.nulls(n, pa.int64()), nothing, nothing, pa.array(summary.tokens[often].view(np.int64)), pa.array(summary.counts[often]))
-
-    return run
+def _profile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, class) of each row."""
+    for batch in batches:
+        sizes, classes = [], []
+        for tokens in shingle_sets(batch.column(1)):
+            sizes.append(len(tokens))
+            classes.append(fingerprint(tokens))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary())], ["doc_id", "n", "class"])
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The tokens, rare ones first, one of which any set with the wanted Jaccard shares."""
-    common = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens if len(frequent) else np.zeros(len(tokens), bool)
+def prefix(tokens: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The tokens, rarest first, one of which any set with the wanted Jaccard shares; those of one class left out."""
     least = -(-PERCENT * len(tokens) // 100)
-    return np.concatenate([tokens[~common], tokens[common]])[: len(tokens) - least + 1]
+    first = np.lexsort((tokens, rarity))[: len(tokens) - least + 1]
+    return tokens[first[rarity[first] > 0]]
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -146,17 +105,17 @@ def _class_sets(table: pa.Table) -> Iterator[tuple[bytes, int, np.ndarray]]:
             yield name, doc_id, tokens
 
 
-def _prefixes(table: pa.Table, frequent: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes with their prefixes in order of class; the distinct prefix tokens; whether two classes have each; numbers."""
-    found = [(*x, prefix(x[2], frequent)) for x in sorted(_class_sets(table), key=lambda x: x[0])]
-    flat = np.concatenate([x[3] for x in found]) if found else np.zeros(0, np.uint64)
+def _tokens(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes in order; the distinct tokens; whether two classes have each; each class token's number, one after the other."""
+    found = sorted(_class_sets(table), key=lambda x: x[0])
+    flat = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint64)
     tokens, number, n = np.unique(flat, return_inverse=True, return_counts=True)
     return found, tokens, n > 1, number
 
 
-def _send_prefixes(bits: int, shared):
+def _send_tokens(bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, tokens, several, _ = _prefixes(table, shared.value)
+        _, tokens, several, _ = _tokens(table)
         code = ((tokens >> np.uint64(33 - bits)) & np.uint64((1 << 31) - 1)).astype(np.uint32) << np.uint32(1) | several.astype(np.uint32)
         cuts = [*_cut(tokens, bits)]
         return _sent([c[0] for c in cuts], key[0].as_py(), [code[lo:hi].tobytes() for _, lo, hi in cuts])
@@ -164,38 +123,37 @@ def _send_prefixes(bits: int, shared):
     return run
 
 
-def _match_prefixes(table: pa.Table) -> pa.Table:
-    """Bit: two classes have the token in their prefixes (or, rarely, one that looks alike)."""
+def _count_tokens(table: pa.Table) -> pa.Table:
+    """3 bits: 0 for a token of one class, else the logarithm of its count, 7 at most (tokens that look alike count as one)."""
     parts = [np.frombuffer(x, np.uint32) for x in table["packed"].to_pylist()]
     code = np.concatenate(parts)
     order = np.argsort(code >> np.uint32(1), kind="stable")
     key = code[order] >> np.uint32(1)
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     runs = np.diff(np.append(head, len(key)))
-    out = np.zeros(len(code), bool)
-    out[order] = np.repeat((runs > 1) | np.logical_or.reduceat((code[order] & 1) > 0, head), runs)
-    return _answers(1, table, [len(p) for p in parts], [out])
+    count = runs + np.add.reduceat((code[order] & 1).astype(np.int64), head)
+    level = np.zeros(len(code), np.int64)
+    level[order] = np.repeat(np.minimum(7, np.log2(count).astype(np.int64)), runs)
+    return _answers(1, table, [len(p) for p in parts], [(level >> b) & 1 for b in range(3)])
 
 
 CLASS = "class binary, rep long, n long, sketch array<long>, probes array<long>, tokens array<long>"
 
 
-def _keep_linked(shared):
-    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        found, tokens, _, number = _prefixes(table, shared.value)
-        (told,) = _told(answers, 1, len(tokens), 1)
-        flags, at, rows = told[number], 0, []
-        for name, rep, whole, first in found:
-            keep = flags[at : at + len(first)]
-            at += len(first)
-            if keep.any():
-                rows.append((name, rep, len(whole), sketch(whole).view(np.int64), first[keep].view(np.int64), whole.view(np.int64)))
-        columns = [[*x] for x in zip(*rows, strict=True)] if rows else [[]] * 6
-        longs = pa.list_(pa.int64())
-        kinds = (pa.binary(), pa.int64(), pa.int64(), longs, longs, longs)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["class", "rep", "n", "sketch", "probes", "tokens"])
-
-    return run
+def _keep_linked(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    found, tokens, _, number = _tokens(table)
+    told = _told(answers, 1, len(tokens), 3)
+    level = sum(flags.astype(np.int8) << b for b, flags in enumerate(told))[number]
+    at, rows = 0, []
+    for name, rep, whole in found:
+        probes = prefix(whole, level[at : at + len(whole)])
+        at += len(whole)
+        if len(probes):
+            rows.append((name, rep, len(whole), sketch(whole).view(np.int64), probes.view(np.int64), whole.view(np.int64)))
+    columns = [[*x] for x in zip(*rows, strict=True)] if rows else [[]] * 6
+    longs = pa.list_(pa.int64())
+    kinds = (pa.binary(), pa.int64(), pa.int64(), longs, longs, longs)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["class", "rep", "n", "sketch", "probes", "tokens"])
 
 
 def _alike(inter, n_a, n_b):
@@ -207,20 +165,16 @@ def _may_be_alike(n_a, n_b):
     return (100 * n_a >= PERCENT * n_b) & (100 * n_b >= PERCENT * n_a)
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """CLASS rows of the classes that share a prefix token with another."""
-    spark = docs.sparkSession
-    total = volume(docs)[1]
-    batches, bits = plan_sizes(total)
-    bits = max(8, bits - 2)
-    shared = spark.sparkContext.broadcast(frequent)  # MOST_FREQUENT tokens at most
+    batches, bits = plan_sizes(volume(docs)[1])
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     rows = named.select(batch, "doc_id", "text", F.lit(None).cast("binary").alias("class"))
     marks = classes.select(F.col("rep").alias("doc_id"), "class").select(batch, "doc_id", F.lit(None).cast("string").alias("text"), "class")
     by_batch = rows.union(marks).groupBy("batch")
-    answers = by_batch.applyInArrow(_send_prefixes(bits, shared), SENT).groupBy("bucket").applyInArrow(_match_prefixes, ANSWER)
-    return settled(by_batch.cogroup(answers.groupBy("batch")).applyInArrow(_keep_linked(shared), CLASS))
+    answers = by_batch.applyInArrow(_send_tokens(bits), SENT).groupBy("bucket").applyInArrow(_count_tokens, ANSWER)
+    return settled(by_batch.cogroup(answers.groupBy("batch")).applyInArrow(_keep_linked, CLASS))
 
 
 def star_links(linked: DataFrame) -> DataFrame:
@@ -272,15 +226,9 @@ def matrix_links(linked: DataFrame, components: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of each row; class_id names the equal sets."""
-    profile = settled(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_profile_batches(COUNTERS), "doc_id long, n long, class binary, token long, least long"))
-    rows = profile.filter("token is null").select("doc_id", "n", "class")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    floor = max(LEAST_FREQUENT, total // MOST_FREQUENT)
-    often = profile.filter("token is not null").groupBy("token").agg(F.sum("least").alias("n")).filter(F.col("n") > floor)
-    frequent = np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64).view(np.uint64))  # MOST_FREQUENT rows at most
-
+    rows = settled(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_profile_batches, "doc_id long, n long, class binary"))
     classes = settled(rows.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
-    linked = linked_classes(docs, classes, frequent)
+    linked = linked_classes(docs, classes)
     stars = star_links(linked)
     links = settled(stars.union(matrix_links(linked, connected_components(stars))))
 
