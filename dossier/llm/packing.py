@@ -31,6 +31,8 @@ from dossier.llm.words import slices, texts_of
 CAPACITY = 2048
 SEPARATOR = 0
 SLICE = 8 << 20
+MARK = "\x01"
+TOGETHER = 1000
 PART_ROWS = 20_000
 _RANK_BITS = 44
 
@@ -38,10 +40,26 @@ _RANK_BITS = 44
 @lru_cache(maxsize=2)
 def _word_encoder(path: str) -> ChunkEncoder:
     tokenizer = load_tokenizer(path)
+    ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    mark = ids_of(MARK)
+
+    def together(words: list[str]) -> list[np.ndarray]:
+        """Words in one call, parted by a mark that none of them holds; one by one if the marks don't come back."""
+        ids = ids_of(f" {MARK} ".join(words))
+        cuts = np.flatnonzero(ids == mark[0])
+        if len(mark) != 1 or len(cuts) != len(words) - 1:
+            return [ids_of(w) for w in words]
+        return [x[i:] for x, i in zip(np.split(ids, cuts), [0] + [1] * len(cuts), strict=True)]
 
     def encode(chunks: list[bytes]) -> list[np.ndarray]:
-        done = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in done]
+        words = [c.decode() for c in chunks]
+        plain = [i for i, w in enumerate(words) if MARK not in w]
+        out: list[np.ndarray] = [None] * len(words)
+        for lo in range(0, len(plain), TOGETHER):
+            part = plain[lo : lo + TOGETHER]
+            for i, ids in zip(part, together([words[i] for i in part]), strict=True):
+                out[i] = ids
+        return [ids_of(w) if x is None else x for w, x in zip(words, out, strict=True)]
 
     return ChunkEncoder(encode)
 
