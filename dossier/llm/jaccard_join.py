@@ -189,7 +189,7 @@ def star_links(linked: DataFrame) -> DataFrame:
     other = linked.select(F.col("class").alias("other"), F.col("rep").alias("other_rep"), F.col("n").alias("other_n"), F.col("tokens").alias("other_tokens"))
     both = pairs.join(own, "class").join(other, "other")
     inter = F.size(F.array_intersect("tokens", "other_tokens"))
-    return settled(both.filter(_alike(inter, F.col("n"), F.col("other_n"))).select(F.col("rep").alias("a"), F.col("other_rep").alias("b")))
+    return settled(both.filter(_alike(inter, F.col("n"), F.col("other_n"))).select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct())
 
 
 def matrix_links(linked: DataFrame, components: DataFrame) -> DataFrame:
@@ -213,15 +213,20 @@ def matrix_links(linked: DataFrame, components: DataFrame) -> DataFrame:
 
     sets = linked.select("class", "tokens")
     opened = candidates.select("group").distinct()
-    member = F.struct("class", "rep", "n", "component", "tokens")
-    members = placed.drop("probes").join(opened, "group", "left_semi").join(sets, "class").groupBy("group").agg(F.collect_list(member).alias("members"))
+    member = F.struct("rep", "n", "component", "probes", "tokens")
+    members = placed.join(opened, "group", "left_semi").join(sets, "class").groupBy("group").agg(F.collect_list(member).alias("members"))  # GROUP_SETS at most
     groups = settled(members.withColumn("union", F.array_distinct(F.flatten("members.tokens"))))
-    query = placed.select("class", "rep", "n", "component").join(sets, "class")
+    query = placed.select("class", "rep", "n", "component", "probes").join(sets, "class")
     bounded = candidates.join(query, "class").join(groups, "group")
     bounded = bounded.filter(100 * F.size(F.array_intersect("tokens", "union")) >= PERCENT * F.col("n"))
-    pairs = bounded.select("rep", "n", "component", "tokens", F.explode("members").alias("m")).filter((F.col("m.component") != F.col("component")) & _may_be_alike(F.col("n"), F.col("m.n")))
-    inter = F.size(F.array_intersect("tokens", "m.tokens"))
-    return settled(pairs.filter(_alike(inter, F.col("n"), F.col("m.n"))).select(F.col("rep").alias("a"), F.col("m.rep").alias("b")))
+
+    def links_with(m):
+        # two sets that are alike share a prefix token, so only such members are compared in full
+        near = (m["component"] != F.col("component")) & _may_be_alike(F.col("n"), m["n"]) & F.arrays_overlap(m["probes"], F.col("probes"))
+        return near & _alike(F.size(F.array_intersect(F.col("tokens"), m["tokens"])), F.col("n"), m["n"])
+
+    found = bounded.select(F.col("rep").alias("a"), F.explode(F.transform(F.filter("members", links_with), lambda m: m["rep"])).alias("b"))
+    return settled(found.distinct())
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -230,7 +235,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = settled(rows.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
     linked = linked_classes(docs, classes)
     stars = star_links(linked)
-    links = settled(stars.union(matrix_links(linked, connected_components(stars))))
+    links = settled(stars.union(matrix_links(linked, connected_components(stars))).distinct())
 
     member = settled(rows.join(classes, "class", "left"))
     # rows of one doc_id with different texts are one vertex: each row's class and its doc_id are linked
