@@ -86,22 +86,31 @@ def exact_dedup(docs: DataFrame, counters: int = HEAVY_COUNTERS) -> DataFrame:
     )
 
 
-def _with_digest(text_at: int):
+def _with_digest(text_at: int, name: str = "_digest"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = [hashlib.sha256((x.as_py() or b"").translate(None, _BLANKS)).hexdigest() for x in batch.column(text_at).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, "_digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, name])
 
     return run
 
 
 def without_copies(docs: DataFrame, counters: int = HEAVY_COUNTERS) -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps; of rows that repeat a kept doc_id and text, one."""
-    kept = exact_dedup(docs, counters).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_digest")).distinct()
-    marked = docs.mapInArrow(_with_digest(docs.columns.index("text")), _plus(docs, "_digest"))
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))) & (marked["_digest"] == kept["_digest"])
-    first = F.row_number().over(Window.partitionBy("doc_id", marked["_digest"]).orderBy(F.length("text").desc_nulls_last(), F.col("text")))
-    return marked.join(kept, same, "left_semi").withColumn("_first", first).filter("_first = 1").select(*(f"`{c}`" for c in docs.columns))
+    digest, kept_id, first = (free_name(docs, n) for n in ("digest", "kept_id", "first"))
+    kept = exact_dedup(docs, counters).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(f"{digest}_")).distinct()
+    marked = docs.mapInArrow(_with_digest(docs.columns.index("text"), digest), _plus(docs, digest))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(f"{digest}_"))
+    order = Window.partitionBy("doc_id", digest).orderBy(F.length("text").desc_nulls_last(), F.col("text"))
+    one = marked.join(kept, same, "left_semi").withColumn(first, F.row_number().over(order)).filter(F.col(first) == 1)
+    return one.select(*(f"`{c}`" for c in docs.columns))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df and its derived columns don't use."""
+    while any(c.lower().startswith(f"_{name}") for c in df.columns):
+        name = f"x{name}"
+    return f"_{name}"
 
 
 def _plus(docs: DataFrame, name: str) -> T.StructType:

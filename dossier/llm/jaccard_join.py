@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.components import connected_components
+from dossier.llm.exact_dedup import free_name
 from dossier.llm.frames import documents, settled, volume
 from dossier.llm.substring_dedup import ANSWER, SENT, _answers, _cut, _sent, _told, plan_sizes
 from dossier.llm.words import mix, slices, span_hashes, spans, texts_of, window_hashes
@@ -249,8 +250,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stand for their component: the smallest doc_id; rows without doc_id stay."""
-    gone = jaccard_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == gone["_gone"], "left_anti")
+    name = free_name(docs, "gone")
+    gone = jaccard_components(docs).filter("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
