@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +16,36 @@ from dossier.functions.dates import parse_validation_time
 from dossier.functions.text import blank_to_null, split_list
 from dossier.operators.filters import touches_pages, without_noise
 
-ENCODINGS = ("utf-8", "cp949")
+FALLBACK_ENCODING = "cp949"
 BAD_CHARACTER = "�"
 # Submission codes of rule files.
 SUBMISSION = {"for approval": "FA", "fa": "FA", "for construction": "FC", "fc": "FC", "for information": "FI", "fi": "FI", "as built": "SKIP", "skip": "SKIP"}
 CHUNKS = "chunks array<struct<chunk_id string, page_num array<int>, section string, section_path array<int>, chunk_type string, label array<string>, hierarchy_context string, text string>>"
 
 
+def _decoded_rows(encoding: str, separator: str):
+    """Arrow mapper: (content) of whole files to rows (place, cells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = [*csv.reader(io.StringIO(content.decode(encoding, "replace"), newline=""), delimiter=separator)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["place", "cells"])
+
+    return run
+
+
 def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """All columns as text, blanks and `nan` as null; UTF-8 unless that leaves undecodable characters."""
-    for encoding in ENCODINGS:
-        df = spark.read.csv(path, header=True, sep=separator, multiLine=True, escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False)
-        df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-        broken = [F.contains(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(BAD_CHARACTER)) for c in df.columns]
-        if any(BAD_CHARACTER in c for c in df.columns) or (encoding != ENCODINGS[-1] and not df.filter(F.array_contains(F.array(*broken), True)).isEmpty()):
-            continue
-        break
+    """All columns as text, blanks and `nan` as null; files that are not UTF-8 are decoded as FALLBACK_ENCODING."""
+    df = spark.read.csv(path, header=True, sep=separator, multiLine=True, escape='"', encoding="utf-8")
+    broken = F.array(*[F.contains(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(BAD_CHARACTER)) for c in df.columns])
+    if any(BAD_CHARACTER in c for c in df.columns) or not df.filter(F.array_contains(broken, True)).isEmpty():
+        # Spark's reader has no such charset; whole files are decoded in Arrow batches
+        files = spark.read.format("binaryFile").load(path).select("content")
+        rows = files.mapInArrow(_decoded_rows(FALLBACK_ENCODING, separator), "place int, cells array<string>")
+        names = rows.filter("place = 0").first()["cells"]
+        df = rows.filter("place > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
     return df.select(*[blank_to_null(f"`{c}`").alias(c) for c in df.columns])
 
 
