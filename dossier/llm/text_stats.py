@@ -56,6 +56,10 @@ def text_stats(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     for name, flags in (("n_symbols", SYMBOLS), ("n_shouts", SHOUTS), ("n_bars", BARS), ("n_upper", UPPER), ("n_letters", LETTERS)):
         out[name] = per_row(flags[raw], offsets)
 
+    marks = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(SYMBOLS[raw], out=marks[1:])
+    out["n_marked_words"] = per_row(marks[end] > marks[start], word_edges)  # words with a symbol
+
     breaks = np.flatnonzero(raw == 10)
     line_start = np.union1d(offsets[:-1], breaks + 1)
     line_start = line_start[line_start < len(raw)]
@@ -73,8 +77,13 @@ def text_stats(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     else:
         out["n_ended_lines"] = np.zeros(rows, np.int64)
 
+    words = span_hashes(raw, start, end, seed=6)
+    echo = np.zeros(len(words), np.int64)
+    echo[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
+    out["n_echoes"] = per_row(echo, word_edges)  # words equal to the one before
+
     begins = whole_windows(row, 3)
-    keys = window_hashes(span_hashes(raw, start, end, seed=6), 3, seed=6)[begins]
+    keys = window_hashes(words, 3, seed=6)[begins]
     multi, _ = _repeated(row[begins], keys)
     covered = np.zeros(len(row) + 3, np.int64)
     for shift in range(3):

@@ -1,7 +1,7 @@
 """Quality classifier from a weak-label model.
 
-Nine heuristic labellers vote good (1), bad (-1) or abstain (0) on each whole
-text. Counts of vote patterns over all rows (3^9 patterns at most) are all that
+Ten heuristic labellers vote good (1), bad (-1) or abstain (0) on each whole
+text. Counts of vote patterns over all rows (3^10 patterns at most) are all that
 expectation-maximisation needs: it estimates the class balance and each
 labeller's vote distribution for either class, hence a posterior for each
 pattern. Posterior labels of at most TRAIN_ROWS rows (a keyed hash chooses)
@@ -38,7 +38,8 @@ LABELLERS = [
     ("repeated_words", "repeat_share", lambda x: x <= 0.1, lambda x: x > 0.3),
     ("shouting", "shouts_a_word", lambda x: x <= 0.02, lambda x: x > 0.2),
     ("tables", "bars_a_word", lambda x: x <= 0.01, lambda x: x > 0.2),
-    ("word_length", "word_length", lambda x: (x >= 3) & (x <= 9), lambda x: (x < 2) | (x > 14)),
+    ("echoes", "echo_share", lambda x: x <= 0.02, lambda x: x > 0.2),
+    ("marked_words", "marked_share", lambda x: x <= 0.02, lambda x: x > 0.2),
     ("sentence_ends", "ended_share", lambda x: x >= 0.5, lambda x: x < 0.05),
 ]
 
@@ -49,7 +50,7 @@ def votes(stats: dict[str, np.ndarray]) -> np.ndarray:
     quantity = {
         "words": stats["n_words"], "symbols_a_word": stats["n_symbols"] / words, "upper_share": stats["n_upper"] / np.maximum(1, stats["n_letters"]),
         "dup_line_share": stats["n_dup_lines"] / lines, "repeat_share": stats["n_repeat_words"] / words, "shouts_a_word": stats["n_shouts"] / words,
-        "bars_a_word": stats["n_bars"] / words, "word_length": stats["word_chars"] / words, "ended_share": stats["n_ended_lines"] / lines,
+        "bars_a_word": stats["n_bars"] / words, "echo_share": stats["n_echoes"] / words, "marked_share": stats["n_marked_words"] / words, "ended_share": stats["n_ended_lines"] / lines,
     }
     return np.stack([good(quantity[q]).astype(np.int8) - bad(quantity[q]).astype(np.int8) for _, q, good, bad in LABELLERS], axis=1)
 
@@ -108,7 +109,7 @@ def weak_quality(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, votes, posterior, score, kept) of each row."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     voted = settled(rows.mapInArrow(_vote_batches, "doc_id long, votes string"))
-    seen = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()  # 3^9 rows at most
+    seen = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()  # 3^10 rows at most
     post, _ = label_model([r["votes"] for r in seen], [r["n"] for r in seen])
     posterior = dict(zip([r["votes"] for r in seen], map(float, post), strict=True))
     known = docs.sparkSession.createDataFrame([*posterior.items()], "votes string, target double")

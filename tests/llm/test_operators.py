@@ -169,7 +169,7 @@ def test_weak_quality(docs, nothing):
 
 def test_label_model_finds_the_better_labeller():
     rng = random.Random(3)
-    accuracy = [0.95, 0.9, 0.9, 0.55, 0.85, 0.8, 0.8, 0.6, 0.9]
+    accuracy = [0.95, 0.9, 0.9, 0.55, 0.85, 0.8, 0.8, 0.6, 0.9, 0.7]
     patterns, truth = Counter(), []
     for _ in range(4000):
         y = rng.random() < 0.7
