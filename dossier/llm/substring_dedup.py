@@ -247,6 +247,7 @@ def _finish(with_text: bool):
         batch = _Batch(table)
         gone = _removed(batch, answers)
         blob, digests, texts, removed = batch.raw.tobytes(), [], [], []
+        there = batch.table["text"].is_valid().to_pylist()
         for i in range(len(batch.doc_id)):
             lo, hi = batch.edges[i], batch.edges[i + 1]
             text, out = blob[batch.offsets[i] : batch.offsets[i + 1]], gone[lo:hi]
@@ -254,7 +255,8 @@ def _finish(with_text: bool):
             words = text.split()
             digests.append(hashlib.sha256(b" ".join(compress(words, ~out) if removed[-1] else words)).hexdigest())
             if with_text:
-                texts.append(_cut_text(text, batch.start[lo:hi] - batch.offsets[i], batch.end[lo:hi] - batch.offsets[i], out).decode())
+                kept = _cut_text(text, batch.start[lo:hi] - batch.offsets[i], batch.end[lo:hi] - batch.offsets[i], out)
+                texts.append(kept.decode() if there[i] else None)
         columns = {"n_words": pa.array(batch.n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
             columns |= {"kept_text": pa.array(texts, pa.string()), "rest": batch.table["rest"]}
