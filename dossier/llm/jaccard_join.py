@@ -200,15 +200,21 @@ def matrix_links(linked: DataFrame, components: DataFrame) -> DataFrame:
     known = settled(known.withColumn("component", F.coalesce("component", "rep")))
     parts = settled(known.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / GROUP_SETS).cast("int").alias("parts")))
     placed = settled(known.join(parts, "cluster").withColumn("group", F.xxhash64("cluster", F.pmod(F.xxhash64("class"), F.col("parts")))).drop("cluster", "parts", "hash"))
-    probes = placed.select("class", "n", "component", "group", F.explode("probes").alias("token"))
+    # probes end the prefix of each set's order; `rest` counts the tokens from a probe on
+    length = F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
+    probes = placed.select("class", "n", "component", "group", length.alias("length"), F.size("probes").alias("k"), F.posexplode("probes").alias("at", "token"))
+    probes = probes.select("class", "n", "component", "group", "token", (F.col("n") - (F.col("length") - F.col("k") + F.col("at"))).alias("rest"))
 
     # who asks: at each token all but the component with most classes there
     weight = probes.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
     largest = settled(weight.agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("sides")).filter("sides > 1").select("token", "largest"))
     asked = settled(probes.join(largest, "token"))
-    matrix = settled(asked.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("component").alias("low"), F.max("component").alias("high")))
-    asking = asked.filter("component != largest").select("token", "class", "n", "component", F.col("group").alias("own_group"))
+    matrix = settled(asked.groupBy("token", "group").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"), F.min("component").alias("low"), F.max("component").alias("high")))
+    asking = asked.filter("component != largest").select("token", "class", "n", "component", "rest")
     fits = (PERCENT * F.col("n") <= 100 * F.col("most_n")) & (PERCENT * F.col("least_n") <= 100 * F.col("n"))
+    # at the first token that two sets share, what is left of both bounds their overlap
+    needed = PERCENT * (F.col("n") + F.col("least_n"))
+    fits = fits & ((100 + PERCENT) * F.col("rest") >= needed) & ((100 + PERCENT) * F.col("most_rest") >= needed)
     apart = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
     candidates = settled(asking.join(matrix, "token").filter(fits & apart).select("class", "group").distinct())
 
