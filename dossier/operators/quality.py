@@ -11,7 +11,7 @@ start_anchored, floor_collapsed).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.columns import ladder, reasons
@@ -138,37 +138,44 @@ def with_verdict(found: Column, bucket: str = "generic_bucket", verdict: str = "
     return F.when(b.isNull(), found).when(promotes, F.array_append(cleared, told)).otherwise(F.array_append(found, told))
 
 
-def schedule_quality(candidate_status: str = "candidate_status", score: str = "match_score") -> Column:
-    """Struct (status, confidence, reasons) of a row; reasons keep the order in which they arise."""
+def with_schedule_quality(df: DataFrame, candidate_status: str = "candidate_status", score: str = "match_score", name: str = "schedule_quality") -> DataFrame:
+    """Adds the struct (status, confidence, reasons); reasons keep the order in which they arise.
+
+    Components are columns of their own on the way, so that each is computed
+    once and the generated code stays small.
+    """
+    kept = df.columns
+    df = df.withColumn("_trusted", F.coalesce(trusted(), F.lit(False)))
+    for prefix, (value, review, why) in (("_r", rule_component()), ("_a", activity_component())):
+        df = df.withColumns({f"{prefix}_value": value, f"{prefix}_review": review, f"{prefix}_why": why})
     c_value, c_reason = candidate_component(candidate_status, score)
-    r_value, r_review, r_reasons = rule_component()
-    a_value, a_review, a_reasons = activity_component()
-    default_fc = _c("date_default_fc")
+    default_fc, anchored, collapsed = _c("date_default_fc"), _c("start_anchored"), _c("floor_collapsed")
     d_value = F.when(~_c("has_rule"), 0.0).when(default_fc, 0.9).otherwise(1.0)
     d_reason = ladder((~_c("has_rule"), "no_rule"), (default_fc, "default_fc_window"))
-    found = F.concat(F.filter(F.array(c_reason, d_reason), lambda x: x != ""), r_reasons, a_reasons)
-    found = with_verdict(found)
-    anchored, collapsed = _c("start_anchored"), _c("floor_collapsed")
-    late = reasons((anchored & trusted(), "date_range_ntp_anchored"), (anchored & ~trusted(), "date_range_ntp_anchored_untrusted"), (collapsed, "date_range_floored_to_ntp"))
-    found = F.concat(found, late)
-    cap = lambda condition, value: F.when(condition, value)
-    caps = (cap(r_review, 0.4), cap(a_review, 0.5), cap(_c("has_activity") & _c("activity_generic"), 0.8), cap(default_fc, 0.9), cap(anchored & trusted(), 0.55), cap(anchored & ~trusted(), 0.3), cap(collapsed, 0.4))
-    confidence = F.least(c_value * r_value * a_value * d_value, *caps)
-    ambiguous = F.arrays_overlap(found, F.array(*[F.lit(x) for x in AMBIGUOUS]))
-    clear = ~ambiguous & ~collapsed
-    status = ladder(
-        (F.startswith(c_reason, F.lit("candidate_status=")), "needs_review_candidate"), (r_review, "needs_review_rule"), (a_review, "needs_review_activity"),
-        ((confidence >= USABLE) & clear, "usable"), (promotable() & clear, "promoted"), otherwise="needs_review",
+    df = df.withColumns({"_c_value": c_value, "_c_reason": c_reason, "_d_reason": d_reason})
+    caps = (
+        F.when(_c("_r_review"), 0.4), F.when(_c("_a_review"), 0.5), F.when(_c("has_activity") & _c("activity_generic"), 0.8), F.when(default_fc, 0.9),
+        F.when(anchored, F.when(_c("_trusted"), 0.55).otherwise(0.3)), F.when(collapsed, 0.4),
     )
-    found = F.when(status == "promoted", F.array_append(found, F.lit("promoted_deliverable_concept"))).otherwise(found)
-    status = F.when(status == "promoted", "usable").otherwise(status)
-    status = F.when((_c("date_status") == "fi_complete") & (status == "usable"), "fi_complete").otherwise(status)
-    early = ladder(
-        (_c("date_status") == "skip", "skip"), (_c("date_status") == "no_rule", "blocked_no_rule"), (_c("date_status").startswith("blocked"), _c("date_status")),
-        (~_c("date_status").isin("generated", "fi_complete"), "blocked_missing_date"),
+    found = F.concat(F.filter(F.array("_c_reason", "_d_reason"), lambda x: x != ""), "_r_why", "_a_why")
+    df = df.withColumns({"_confidence": F.least(_c("_c_value") * _c("_r_value") * _c("_a_value") * d_value, *caps), "_found": found})
+    late = reasons((anchored & _c("_trusted"), "date_range_ntp_anchored"), (anchored & ~_c("_trusted"), "date_range_ntp_anchored_untrusted"), (collapsed, "date_range_floored_to_ntp"))
+    df = df.withColumn("_found", F.concat(with_verdict(_c("_found")), late))
+    df = df.withColumn("_clear", ~F.arrays_overlap("_found", F.array(*[F.lit(x) for x in AMBIGUOUS])) & ~collapsed)
+    status = ladder(
+        (_c("_c_reason").startswith("candidate_status="), "needs_review_candidate"), (_c("_r_review"), "needs_review_rule"), (_c("_a_review"), "needs_review_activity"),
+        ((_c("_confidence") >= USABLE) & _c("_clear"), "usable"), (promotable() & _c("_clear"), "promoted"), otherwise="needs_review",
     )
+    d = _c("date_status")
+    early = ladder((d == "skip", "skip"), (d == "no_rule", "blocked_no_rule"), (d.startswith("blocked"), d), (~d.isin("generated", "fi_complete"), "blocked_missing_date"))
+    df = df.withColumns({"_status": status, "_early": early})
+    found = F.when(_c("_status") == "promoted", F.array_append("_found", F.lit("promoted_deliverable_concept"))).otherwise(_c("_found"))
+    status = F.when(_c("_status") == "promoted", "usable").otherwise(_c("_status"))
+    status = F.when((d == "fi_complete") & (status == "usable"), "fi_complete").otherwise(status)
     why = ladder(
-        (_c("date_status").isin("skip"), "date_status=skip"), (early == "blocked_no_rule", F.when(_c("has_rule") & (_c("rule_guard") == "rejected"), _tag("rule_guard_rejected:", "rule_guard_reason")).otherwise("no_rule")),
-        (early == "blocked_missing_date", _tag("date_status=", "date_status")), (early != "", F.array_join(F.concat(rule_block_reasons(), activity_block_reasons()), ";")), otherwise=F.array_join(found, ";"),
+        (d == "skip", "date_status=skip"), (_c("_early") == "blocked_no_rule", F.when(_c("has_rule") & (_c("rule_guard") == "rejected"), _tag("rule_guard_rejected:", "rule_guard_reason")).otherwise("no_rule")),
+        (_c("_early") == "blocked_missing_date", _tag("date_status=", "date_status")), (_c("_early") != "", F.array_join(F.concat(rule_block_reasons(), activity_block_reasons()), ";")), otherwise=F.array_join(found, ";"),
     )
-    return F.struct(F.when(early == "", status).otherwise(early).alias("status"), F.when(early == "", F.round(confidence, 12)).otherwise(0.0).alias("confidence"), why.alias("reasons"))
+    open_ = _c("_early") == ""
+    quality = F.struct(F.when(open_, status).otherwise(_c("_early")).alias("status"), F.when(open_, F.round("_confidence", 12)).otherwise(0.0).alias("confidence"), why.alias("reasons"))
+    return df.select(*kept, quality.alias(name))

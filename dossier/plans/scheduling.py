@@ -183,5 +183,5 @@ st AS (SELECT *, CASE WHEN candidate_status NOT IN ('', 'accepted') THEN 'needs_
   CASE WHEN date_status = 'skip' THEN 'skip' WHEN date_status = 'no_rule' THEN 'blocked_no_rule' WHEN date_status IN ('generated', 'fi_complete') THEN '' ELSE 'blocked_missing_date' END AS e FROM cf)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN e <> '' THEN e WHEN date_status = 'fi_complete' AND s0 = 'usable' THEN 'fi_complete' ELSE s0 END AS status, CASE WHEN e = '' THEN round(conf, 12) ELSE 0.0 END::DOUBLE AS confidence FROM st""")
 def schedule_confidence(t: Tables) -> DataFrame:
-    out = matches(t).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", Q.schedule_quality().alias("q"))
+    out = Q.with_schedule_quality(matches(t), name="q")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q.status", "q.confidence")
