@@ -110,13 +110,13 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, limit: int = TOKEN
     content = F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
     keyed = settled(docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content")))
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == version)
-    # one text of each digest that the cache lacks, known by its smallest doc_id
+    # one text of each digest that the cache lacks, known by its smallest doc_id and the digest, as a doc_id can have several texts
     distinct = keyed.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     misses = distinct.join(stored.select("content"), "content", "left_anti")
-    texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    wanted = texts.join(misses.filter("doc_id is not null"), "doc_id").select("content", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"), content.alias("content"))
+    wanted = texts.join(misses.filter("doc_id is not null"), ["doc_id", "content"]).select("content", "text")
     # a digest that only rows without doc_id have is found by its content
-    nameless = texts.filter("doc_id is null").withColumn("content", content).join(misses.filter("doc_id is null").select("content"), "content", "left_semi")
+    nameless = texts.filter("doc_id is null").join(misses.filter("doc_id is null").select("content"), "content", "left_semi")
     counted = wanted.unionByName(nameless.select("content", "text")).mapInArrow(_count_batches(tokenizer), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # texts of one digest are equal, so repeated cache rows (two writers at once) agree
