@@ -20,20 +20,32 @@ Aliases = Sequence[tuple[str, Sequence[str]]]
 SCOPES: Aliases = (
     ("acc", ("ACC", "AIR COOLED CONDENSER", "COND AIR EXT")),
     ("bop", ("BOP", "BALANCE OF PLANT")),
-    ("ccw", ("CCW", "CCWP", "CCWS", "CLOSED COOLING WATER", "FIN FAN COOLER", "FIN FAN")),
-    ("compressed_air", ("COMPRESSED AIR", "INSTRUMENT AIR", "SERVICE AIR", "AIR COMPRESSOR", "PLANT AIR")),
-    ("condensate", ("CONDENSATE", "CEP")),
-    ("crane_hoist", ("CRANE", "HOIST")),
-    ("dc_ups", ("UPS", "DC SYSTEM")),
+    ("bsedg", ("BSEDG", "BSDG", "BLACKSTART EMERGENCY DIESEL", "BLACKSTART DIESEL GENERATOR", "BLACKSTART GENERATOR")),
+    ("ccw", ("CCW", "CCWP", "CCWS", "CCW H/EX", "CLOSED COOLING WATER", "CLOSED COOLING WATER SYSTEM", "CLOSED COOLING WATER PUMP", "FIN FAN COOLER", "FIN FAN")),
+    ("cems", ("CEMS", "CONTINUOUS EMISSIONS MONITORING")),
+    ("compressed_air", ("COMPRESSED AIR", "INSTRUMENT AIR", "SERVICE AIR", "AIR COMPRESSOR", "PLANT AIR", "PURGE AIR", "COMP AIR")),
+    ("condensate", ("CONDENSATE", "CONDENSATE EXTRACTION", "CONDENSATE SYSTEM", "CEP")),
+    ("crane_hoist", ("CRANE & HOIST", "CRANE AND HOIST", "GANTRY CRANE", "CRANE", "HOIST", "JIB CRANE")),
+    ("dc_ups", ("DC & UPS", "UPS", "DC SYSTEM", "125V DC", "220V DC", "DIRECT CURRENT", "UNINTERRUPTIBLE POWER SUPPLY")),
     ("dcs", ("DCS", "DISTRIBUTED CONTROL")),
-    ("electrical", ("ELECTRICAL", "EARTHING", "GROUNDING", "LIGHTNING PROTECTION", "IPB")),
-    ("feedwater", ("FEEDWATER", "FEED WATER", "BOILER FEED", "BFP")),
-    ("fire_fighting", ("FIRE FIGHTING", "FIRE PROTECTION", "FIRE WATER", "FIRE ALARM", "SPRINKLER", "HYDRANT")),
-    ("gtg", ("GTG", "GT", "GAS TURBINE")),
+    ("electrical", ("ELECTRICAL", "POWER METERING", "TARIFF METERING", "METERING SYSTEM", "EARTHING", "EARTHING & LIGHTNING", "LIGHTNING PROTECTION", "GROUNDING", "ISOLATED PHASE BUSDUCT", "IPB", "LIGHTING & SMALL POWER", "SMALL POWER")),
+    ("feedwater", ("FEEDWATER", "FEED WATER", "BOILER FEED", "FWP", "FWS", "FW PIPING", "BFP")),
+    ("fgp", ("FGP", "FUEL GAS", "GAS COMP", "GAS CONDITIONING")),
+    ("fire_fighting", ("FIRE FIGHTING", "FIRE PROTECTION", "FIRE WATER", "FIRE SERVICE", "FIRE ALARM", "FIRE DETECTION", "FIRE SUPPRESSION", "FIRE HYDRANT", "SPRINKLER", "STANDPIPE", "STAND PIPE", "CLEAN AGENT", "WATER SPRAY", "DELUGE", "HYDRANT", "FOAM STATION", "FOAM SYSTEM")),
+    ("gtg", ("GTG", "GT", "GAS TURBINE", "GAS TURBINE GENERATOR")),
+    ("gsut_uat", ("GSUT", "UAT", "UNIT AUXILIARY TRANSFORMER", "STEP UP", "TRANSFORMER")),
+    ("h2", ("H2", "HYDROGEN")),
     ("hrsg", ("HRSG", "HEAT RECOVERY STEAM GENERATOR")),
-    ("hvac", ("HVAC", "AIR CONDITIONING")),
-    ("stg", ("STG", "ST", "STEAM TURBINE")),
-    ("wts", ("WTS", "WATER TREATMENT", "WASTE WATER", "POTABLE WATER")),
+    ("hvac", ("HVAC", "HEATING", "VENTILATING", "AIR CONDITIONING")),
+    ("lab", ("LAB", "LABORATORY")),
+    ("mv_lv", ("MV SWGR", "LV SWGR", "SWITCHGEAR", "MCC", "MOTOR CONTROL CENTER")),
+    ("n2", ("N2", "NITROGEN")),
+    ("reserve_boiler", ("RESERVE BOILER", "AUX BOILER", "AUXILIARY BOILER")),
+    ("sampling", ("SAMPLING SYSTEM", "SAMPLING EQUIP", "SAMPLING")),
+    ("service_water", ("SERVICE WATER", "RAW WATER", "SWS")),
+    ("steam", ("MAIN STEAM", "PROCESS STEAM", "HP STEAM", "IP STEAM", "LP STEAM", "AUXILIARY STEAM", "AUX STEAM", "STEAM DRAIN", "STEAM PIPING", "STEAM SYSTEM")),
+    ("stg", ("STG", "ST", "STEAM TURBINE", "STEAM TURBINE GENERATOR", "STEAM TURBINE & GENERATOR")),
+    ("wts", ("WTS", "WWTS", "WATER TREATMENT", "WASTE WATER", "EFFLUENT", "STP", "SEWAGE", "CHEMICAL DOSING", "CHEMICAL DOSING SYSTEM", "DM WATER", "DEMINERALIZED WATER", "POTABLE WATER")),
 )
 # Scopes that cut across systems; scopes that stand for one system.
 DISCIPLINES = ("electrical", "hvac")
@@ -41,29 +53,66 @@ SIBLINGS = (("acc", "condensate"),)
 # Deliverable families, most specific pattern first.
 FAMILIES = (
     ("classification", "hazardous_area_classification", ("HAZARDOUS AREA CLASSIFICATION", "AREA CLASSIFICATION")),
-    ("curve", "performance_curve", ("PERFORMANCE CURVE", "PERFORMANCE DATA")),
-    ("list", "io_list", ("I/O LIST", "IO LIST")),
+    ("curve", "generator_capability_curve", ("GENERATOR CAPABILITY CURVES AND DATA", "CAPABILITY CURVES AND DATA", "CAPABILITY CURVES")),
+    ("curve", "performance_curve", ("PERFORMANCE DATA AND CURVES", "PERFORMANCE CURVES", "PERFORMANCE CURVE", "PERFORMANCE DATA")),
+    ("list", "io_list", ("I/O LIST", "IO LIST", "INPUT OUTPUT LIST", "INPUT / OUTPUT LIST")),
+    ("list", "instrument_list", ("INSTRUMENT LIST", "LIST AND DATA SHEET FOR INSTRUMENT")),
     ("list", "equipment_list", ("EQUIPMENT LIST",)),
+    ("list", "valve_list", ("VALVE LIST",)),
     ("list", "cable_schedule", ("CABLE SCHEDULE",)),
     ("schedule", "schedule", ("SCHEDULE",)),
+    ("report", "cfd_report", ("CFD REPORT",)),
+    ("report", "pre_fat_report", ("PRE FAT REPORT", "PRE-FAT REPORT")),
     ("report", "design_report", ("DESIGN REPORT",)),
+    ("report", "study_report", ("STUDY REPORT",)),
     ("report", "test_report", ("TEST REPORT",)),
     ("report", "report", ("REPORT",)),
-    ("specification", "painting_specification", ("PAINTING SPECIFICATION",)),
-    ("specification", "technical_specification", ("TECHNICAL SPECIFICATION",)),
+    ("specification", "painting_specification", ("PAINTING SPECIFICATION", "PAINT SPECIFICATION")),
+    ("specification", "insulation_specification", ("INSULATION SPECIFICATION",)),
+    ("specification", "fan_specification", ("FAN SPECIFICATION",)),
+    ("specification", "drain_pump_specification", ("DRAIN PUMP SPECIFICATION", "CONDENSATE DRAIN PUMP SPECIFICATION")),
+    ("specification", "scr_specification", ("SPECIFICATION FOR SCR", "TECHNICAL SPECIFICATION FOR SCR")),
+    ("specification", "cable_specification", ("CABLE SPECIFICATION",)),
+    ("specification", "gas_detector_specification", ("GAS DETECTOR SPECIFICATION",)),
+    ("specification", "pump_specification", ("PUMP SPECIFICATION",)),
+    ("specification", "technical_specification", ("TECHNICAL SPECIFICATIONS", "TECHNICAL SPECIFICATION")),
     ("specification", "specification", ("SPECIFICATION",)),
+    ("datasheet", "technical_data_sheet", ("TECHNICAL DATA SHEET", "TECHNICAL DATASHEET")),
     ("datasheet", "data_sheet", ("DATA SHEET", "DATASHEET")),
+    ("manual", "operation_maintenance_manual", ("OPERATION & MAINTENANCE MANUAL", "O&M MANUAL")),
+    ("manual", "assembly_manual", ("ASSEMBLY MANUAL",)),
     ("manual", "manual", ("MANUAL",)),
     ("description", "system_description", ("SYSTEM DESCRIPTION",)),
-    ("diagram", "p_id", ("P&I DIAGRAM", "P&ID")),
+    ("description", "control_description", ("CONTROL DESCRIPTION", "CONTROL PHILOSOPHY")),
+    ("diagram", "p_id", ("P&I DIAGRAM", "P&ID", "PIPING AND INSTRUMENTATION DIAGRAM")),
+    ("diagram", "single_line_diagram", ("SINGLE LINE DIAGRAM", "SLD")),
+    ("diagram", "power_distribution_diagram", ("POWER DISTRIBUTION CONCEPT DIAGRAM", "POWER DISTRIBUTION DIAGRAM")),
+    ("diagram", "hmi_graphic_diagram", ("HMI GRAPHIC DIAGRAM",)),
+    ("diagram", "control_logic_diagram", ("ELECTRICAL CONTROL LOGIC DIAGRAM", "CONTROL LOGIC DIAGRAM")),
+    ("diagram", "functional_loop_diagram", ("FUNCTIONAL LOOP DIAGRAM",)),
+    ("diagram", "control_loop_diagram", ("CONTROL LOOP DIAGRAM", "CONTROL LOOP")),
+    ("diagram", "wiring_diagram", ("WIRING DIAGRAM",)),
+    ("diagram", "schematic_diagram", ("SCHEMATIC DIAGRAM", "SCHEMATICS", "SCHEMATIC")),
     ("diagram", "diagram", ("DIAGRAM",)),
-    ("drawing", "general_arrangement_drawing", ("GENERAL ARRANGEMENT",)),
-    ("drawing", "layout_drawing", ("LAYOUT",)),
+    ("drawing", "general_arrangement_drawing", ("GENERAL ARRANGEMENT DRAWING", "GENERAL ARRANGEMENT", "GA DRAWING")),
+    ("drawing", "layout_drawing", ("LAYOUT DRAWING", "LAYOUT")),
+    ("drawing", "outline_drawing", ("OUTLINE DRAWING",)),
+    ("drawing", "isometric_drawing", ("ISOMETRIC DRAWING", "ISOMETRIC")),
+    ("drawing", "detail_drawing", ("DETAIL DRAWING", "DETAIL")),
+    ("drawing", "sectional_drawing", ("SECTIONAL DRAWING", "SECTION")),
     ("drawing", "drawing", ("DRAWING",)),
-    ("calculation", "calculation", ("CALCULATION",)),
+    ("calculation", "sizing_calculation", ("SIZING CALCULATION",)),
+    ("calculation", "design_calculation", ("DESIGN CALCULATION",)),
+    ("calculation", "calculation", ("CALCULATION SHEET", "CALCULATION")),
+    ("procedure", "test_procedure", ("TEST PROCEDURE",)),
     ("procedure", "procedure", ("PROCEDURE",)),
     ("criteria", "design_criteria", ("DESIGN CRITERIA", "CRITERIA")),
+    ("requirements", "design_requirements", ("DESIGN REQUIREMENTS", "REQUIREMENTS")),
     ("plan", "plan", ("PLAN",)),
+    ("notes", "general_notes", ("GENERAL NOTES", "NOTES")),
+    ("model", "model", ("MODEL",)),
+    ("data", "operational_data", ("OPERATIONAL DATA",)),
+    ("data", "data", ("DATA",)),
 )
 # Phase words of documents and of activities, in order of precedence.
 QUERY_PHASES = (
