@@ -11,8 +11,27 @@ from dossier.functions.columns import ColumnOrName, col, contains_any, ladder, t
 from dossier.functions.text import collapse
 
 # Scope tokens of the rule vocabulary, and words that identify nothing.
-RULE_SCOPES = ("acc", "bfp", "bop", "ccr", "cep", "dcs", "fgp", "gt", "gtg", "hrsg", "leb", "piperack", "pump", "st", "stg", "tank")
-RULE_SCOPE_PHRASES = (("acc", "AIR COOLED CONDENSER"), ("ccr", "CONTROL ROOM"), ("hrsg", "HEAT RECOVERY STEAM GENERATOR"), ("gtg", "GAS TURBINE"), ("leb", "LOCAL ELECTRICAL BUILDING"), ("piperack", "PIPE RACK"))
+RULE_SCOPES = ("acc", "bfp", "bop", "bsedg", "ccr", "ccwp", "cep", "dcs", "fgp", "gt", "gtg", "hrsg", "leb", "piperack", "pump", "st", "stg", "tank")
+RULE_SCOPE_PHRASES = (
+    ("acc", "ACC"), ("acc", "AIR COOLED CONDENSER"), ("acc", "COND AIR EXT"),
+    ("ccr", "CCR"), ("ccr", "CENTRAL CONTROL BUILDING"), ("ccr", "CONTROL ROOM"),
+    ("hrsg", "HRSG"), ("hrsg", "HEAT RECOVERY STEAM GENERATOR"),
+    ("gtg", "GTG"), ("gtg", "GT"), ("gtg", "GAS TURBINE GENERATOR"), ("gtg", "GAS TURBINE"),
+    ("leb", "LEB"), ("leb", "LOCAL ELECTRICAL BUILDING"),
+    ("piperack", "PIPE RACK"), ("piperack", "PIPERACK"),
+    ("pump", "PUMP"),
+    ("stg", "STG"), ("stg", "ST"), ("stg", "STEAM TURBINE GENERATOR"), ("stg", "STEAM TURBINE"),
+    ("tank", "TANK"), ("tank", "TANKS"),
+    ("dcs", "DCS"), ("dcs", "DISTRIBUTED CONTROL SYSTEM"),
+    ("cems", "CEMS"), ("cems", "CONTINUOUS EMISSION MONITORING"),
+    ("wts", "WATER TREATMENT"), ("wts", "WTS"),
+    ("reserve_boiler", "RESERVE BOILER"), ("reserve_boiler", "AUX BOILER"), ("reserve_boiler", "AUXILIARY BOILER"),
+    ("bop", "BOP"), ("bop", "BALANCE OF PLANT"),
+    ("fgp", "FGP"), ("fgp", "FUEL GAS PACKAGE"), ("fgp", "FUEL GAS"),
+    ("fire_protection", "FIRE ALARM"), ("fire_protection", "FIRE FIGHTING"), ("fire_protection", "FIRE WATER"), ("fire_protection", "FIRE BRIGADE"), ("fire_protection", "FIRE HYDRANT"), ("fire_protection", "SPRINKLER"), ("fire_protection", "STAND PIPE"), ("fire_protection", "STANDPIPE"), ("fire_protection", "DELUGE"), ("fire_protection", "CLEAN AGENT"), ("fire_protection", "FM200"), ("fire_protection", "FM 200"),
+    ("drainage", "DRAINAGE"), ("drainage", "STORMWATER"), ("drainage", "STORM WATER"), ("drainage", "SEWAGE"), ("drainage", "SANITARY"),
+    ("cooling_tower", "COOLING TOWER"),
+)
 DOC_TYPES = (("Data Sheet", ("DATA SHEET", "DATASHEET")), ("Drawing", ("DRAWING", "LAYOUT", "ARRANGEMENT", "P&ID", "DIAGRAM")), ("Report", ("REPORT", "STUDY")), ("Specification", ("SPECIFICATION",)), ("List", ("LIST", "SCHEDULE")), ("Calculation", ("CALCULATION",)))
 DISCIPLINES = (("Electrical", ("CABLE", "UPS", "ELECTRICAL", "LIGHTING")), ("Instrument", ("INSTRUMENT", "CONTROL", "DCS", "P&ID")), ("Civil", ("FOUNDATION", "BUILDING", "CIVIL", "ROAD")), ("Fire", ("FIRE",)), ("Mechanical", ("PUMP", "TURBINE", "BOILER", "WATER", "GT")))
 
@@ -22,9 +41,9 @@ def _spaced(text: ColumnOrName) -> Column:
 
 
 def rule_scope_keys(text: ColumnOrName) -> Column:
-    """Phrases in normalised text, and tokens that are scope words themselves; sorted."""
+    """Single words as whole words and longer phrases anywhere in normalised text, and tokens that are scope words themselves; sorted."""
     spaced = _spaced(text)
-    phrases = F.array_compact(F.array(*[F.when(spaced.contains(f" {p} "), F.lit(k)) for k, p in RULE_SCOPE_PHRASES]))
+    phrases = F.array_compact(F.array(*[F.when(spaced.contains(p if " " in p else f" {p} "), F.lit(k)) for k, p in RULE_SCOPE_PHRASES]))
     tokens = F.array_intersect(F.split(F.lower(F.trim(spaced)), " "), F.array(*[F.lit(t) for t in RULE_SCOPES]))
     return F.array_sort(F.array_union(phrases, tokens))
 

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from dossier.functions import vocabulary as V
+from dossier.operators import audit as A
+from dossier.operators import matching as M
 
 SCOPES = {
     "acc": ["Air cooled condenser fan", "COND AIR EXT skid"], "bop": ["BALANCE OF PLANT piping"], "bsedg": ["Blackstart diesel generator data", "BSDG PANEL"], "ccw": ["CCW H/EX sizing", "FIN FAN COOLER"],
@@ -46,3 +48,28 @@ def test_every_family_is_named_by_its_title(spark):
     assert [(f, s) for f, s, _ in V.FAMILIES] == list(FAMILIES)
     found = each(spark, list(FAMILIES.values()), V.deliverable_type(F.lit(""), "t"))
     assert [tuple(x) for x in found] == list(FAMILIES)
+
+
+RULE_SCOPES = {
+    "acc": ["COND AIR EXT PUMP"], "ccr": ["CENTRAL CONTROL BUILDING", "CONTROL ROOMS"], "hrsg": ["HRSG-1"], "gtg": ["GT HALL", "GAS TURBINES"], "leb": ["LOCAL ELECTRICAL BUILDING"], "piperack": ["PIPE RACK"], "pump": ["SUMP PUMP"],
+    "stg": ["ST HALL"], "tank": ["WATER TANKS"], "dcs": ["DISTRIBUTED CONTROL SYSTEM"], "cems": ["CONTINUOUS EMISSION MONITORING"], "wts": ["WATER TREATMENT"], "reserve_boiler": ["AUXILIARY BOILER"], "bop": ["BALANCE OF PLANT"], "fgp": ["FUEL GAS LINE"],
+    "fire_protection": ["FIRE ALARM", "FIRE BRIGADE", "FM-200 BOTTLE", "STAND PIPE"], "drainage": ["STORMWATER PIT", "SANITARY WORKS"], "cooling_tower": ["COOLING TOWER FAN"], "bsedg": ["BSEDG ROOM"], "ccwp": ["CCWP MOTOR"], "bfp": ["BFP MOTOR"], "cep": ["CEP MOTOR"],
+}
+
+
+def test_every_rule_scope_is_named_by_its_titles(spark):
+    assert {k for k, _ in A.RULE_SCOPE_PHRASES} | set(A.RULE_SCOPES) == set(RULE_SCOPES) | {"gt", "st"}
+    assert set(M.EXCLUSIVE_SYSTEMS) <= set(RULE_SCOPES)
+    pairs = [(k, t) for k, titles in RULE_SCOPES.items() for t in titles]
+    assert {t: k in keys for (k, t), keys in zip(pairs, each(spark, [t for _, t in pairs], A.rule_scope_keys("t")))} == {t: True for _, t in pairs}
+    assert each(spark, ["PUMPED STORAGE GTX"], A.rule_scope_keys("t")) == [[]]
+
+
+def test_fire_is_kept_from_drainage(spark):
+    def guard(query, rule):
+        side = lambda t, **more: F.struct(F.lit("drawing").alias("family"), F.lit("layout_drawing").alias("subtype"), A.rule_scope_keys(F.lit(t)).alias("scope"), A.free_tokens(F.lit(t)).alias("tokens"), *[F.lit(v).alias(k) for k, v in more.items()])
+        return spark.range(1).select(M.guard_reason(side(query), side(rule, specific=False)).alias("g")).first()["g"]
+
+    assert guard("FIRE ALARM LAYOUT", "STORMWATER DRAINAGE LAYOUT") == "scope_mismatch"
+    assert guard("CCR FIRE ALARM LAYOUT", "CCR STORMWATER DRAINAGE LAYOUT") == "system_scope_conflict"
+    assert guard("CCR FIRE ALARM LAYOUT", "CCR FIRE FIGHTING LAYOUT") == ""
