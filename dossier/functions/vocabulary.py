@@ -114,6 +114,38 @@ FAMILIES = (
     ("data", "operational_data", ("OPERATIONAL DATA",)),
     ("data", "data", ("DATA",)),
 )
+# Deliverable words, most specific first, and the wording that rules use for them.
+DELIVERABLE_WORDS = (
+    "P&I DIAGRAM", "P&ID", "PIPING AND INSTRUMENTATION DIAGRAM", "PIPING & INSTRUMENTATION DRAWING", "GENERAL ARRANGEMENT DRAWING",
+    "GENERAL ARRANGEMENT", "GA DRAWING", "PIPING ARRANGEMENT DRAWING", "ARRANGEMENT DRAWING", "ARRANGEMENT", "LAYOUT DRAWING", "LAYOUT",
+    "ELECTRICAL CONTROL LOGIC DIAGRAM", "FUNCTIONAL LOOP DIAGRAM", "CONTROL LOOP DIAGRAM", "CONTROL LOGIC DIAGRAM", "SINGLE LINE DIAGRAM",
+    "SCHEMATIC DIAGRAM", "WIRING DIAGRAM", "LOGIC DIAGRAM", "SIZING CALCULATION", "CALCULATION SHEET", "DESIGN CALCULATION", "CALCULATION",
+    "TECHNICAL DATA SHEET", "TECHNICAL DATASHEET", "DATA SHEET", "DATASHEET", "OUTLINE DRAWING", "ISOMETRIC DRAWING", "DETAIL DRAWING",
+    "SECTIONAL DRAWING", "PIPING ISO DRAWING", "ELEVATION", "PLAN & SECTION", "PLAN AND SECTION", "DRAWING", "PAINTING SPECIFICATION",
+    "PAINT SPECIFICATION", "TECHNICAL SPECIFICATIONS", "TECHNICAL SPECIFICATION", "SPECIFICATION", "DESIGN CRITERIA", "CRITERIA",
+    "DESIGN REQUIREMENTS", "REQUIREMENTS", "OPERATION & MAINTENANCE MANUAL", "ASSEMBLY MANUAL", "MANUAL", "SYSTEM DESCRIPTION", "CONTROL DESCRIPTION",
+    "CONTROL PHILOSOPHY", "OVERVIEW", "SUMMARY", "INSTRUMENT LIST", "VALVE LIST", "CABLE SCHEDULE", "SCHEDULE", "LIST", "DATABASE", "TEST PROCEDURE",
+    "TEST REPORT", "TEST", "PROCEDURE", "STUDY REPORT", "DESIGN REPORT", "HAZARDOUS AREA CLASSIFICATION", "REPORT", "STUDY", "MODEL",
+    "GENERATOR CAPABILITY CURVES AND DATA", "CAPABILITY CURVES AND DATA", "CAPABILITY CURVES", "PERFORMANCE DATA AND CURVES", "PERFORMANCE CURVES",
+    "PERFORMANCE CURVE", "PERFORMANCE DATA", "CURVES", "CURVE", "SCHEMATICS", "SCHEMATIC", "GENERAL NOTES", "NOTES", "PLAN",
+    "FOUNDATION AND LOADING DATA", "OPERATIONAL DATA", "SETTINGS", "ISOMETRIC", "ASSEMBLY", "OUTLINE", "SECTION", "DETAIL", "DIAGRAM", "DATA",
+)
+RULE_WORDS = {
+    "P&I DIAGRAM": "P&ID", "P&I DRAWING": "P&ID", "P&ID": "P&ID", "PIPING & INSTRUMENTATION DRAWING": "P&ID",
+    "PIPING AND INSTRUMENTATION DRAWING": "P&ID", "PIPING AND INSTRUMENTATION DIAGRAM": "P&ID", "GENERAL ARRANGEMENT": "General Arrangement Drawing",
+    "GA": "General Arrangement Drawing", "GA DRAWING": "General Arrangement Drawing", "ARRANGEMENT DRAWING": "General Arrangement Drawing",
+    "LAYOUT": "Layout Drawing", "LAYOUT DRAWING": "Layout Drawing", "CALCULATION": "Calculation sheet", "SIZING CALCULATION": "Calculation sheet",
+    "PAINTING SPECIFICATION": "Painting Specification", "PAINT SPECIFICATION": "Painting Specification",
+    "TECHNICAL SPECIFICATION": "Technical Specification", "SPECIFICATION": "Technical Specification", "DATA SHEET": "Data Sheet",
+    "DATASHEET": "Data Sheet", "GENERATOR CAPABILITY CURVES AND DATA": "Generator Capability Curves and Data",
+    "CAPABILITY CURVES AND DATA": "Generator Capability Curves and Data", "CAPABILITY CURVES": "Generator Capability Curves and Data",
+    "PERFORMANCE DATA AND CURVES": "Performance Data and Curves", "PERFORMANCE CURVES": "Performance Curve", "PERFORMANCE CURVE": "Performance Curve",
+    "PERFORMANCE DATA": "Performance Data and Curves", "CURVES": "Performance Curve", "CURVE": "Performance Curve",
+    "OUTLINE DRAWING": "Outline Drawing", "SINGLE LINE DIAGRAM": "Single Line Diagram", "SLD": "Single Line Diagram", "DETAIL": "Detail Drawing",
+    "DETAIL DRAWING": "Detail Drawing", "ELEVATION": "Elevation Drawing", "DIAGRAM": "Diagram", "ISOMETRIC": "Isometric Drawing",
+    "ISOMETRIC DRAWING": "Isometric Drawing", "FOUNDATION AND LOADING DATA": "Foundation and Loading Data",
+    "SYSTEM DESCRIPTION": "System Description", "PLAN": "Plan", "SCHEDULE": "Schedule",
+}
 # Phase words of documents and of activities, in order of precedence.
 QUERY_PHASES = (
     ("design_criteria", ("DESIGN CRITERIA",)),
@@ -177,11 +209,22 @@ def scope_keys(text: ColumnOrName) -> Column:
     return all_matches(text, SCOPES)
 
 
+def extract_deliverable(text: ColumnOrName) -> Column:
+    upper = F.upper(text_or_blank(text))
+    return ladder(*[(upper.contains(w), w) for w in DELIVERABLE_WORDS])
+
+
+def normalize_deliverable(value: ColumnOrName) -> Column:
+    key = F.upper(F.trim(text_or_blank(value)))
+    return F.coalesce(F.create_map(*[F.lit(x) for p in RULE_WORDS.items() for x in p])[key], F.trim(text_or_blank(value)))
+
+
 def deliverable_type(deliverable: ColumnOrName, title: ColumnOrName) -> Column:
-    """Struct (family, subtype): the first pattern in deliverable and title; else `other` and a slug; blank stays blank."""
-    text = key_text(F.concat_ws(" ", text_or_blank(deliverable), text_or_blank(title)))
+    """Struct (family, subtype): the first pattern in deliverable (as it is and as rules word it) and title; else `other` and a slug; blank stays blank."""
+    parts = (text_or_blank(deliverable), normalize_deliverable(deliverable), extract_deliverable(title), text_or_blank(title))
+    text = key_text(F.concat_ws(" ", *parts))
     padded = [(family, subtype, [_plain(p) for p in patterns]) for family, subtype, patterns in FAMILIES]
-    fallback = slug(F.when(F.trim(text_or_blank(deliverable)) != "", text_or_blank(deliverable)).otherwise(text_or_blank(title)))
+    fallback = slug(F.coalesce(*[F.when(F.trim(p) != "", p) for p in parts[1:]], F.lit("")))
     out = F.when(text == "", F.struct(F.lit("").alias("family"), F.lit("").alias("subtype")))
     for family, subtype, patterns in padded:
         out = out.when(contains_any(text, patterns), F.struct(F.lit(family).alias("family"), F.lit(subtype).alias("subtype")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,58 +10,140 @@ from pyspark.sql import functions as F
 
 from dossier.functions.columns import ColumnOrName, col, contains_any, ladder, ordered_distinct, ranked, text_or_blank
 from dossier.functions.text import collapse, slug
-from dossier.functions.vocabulary import Aliases, all_matches, deliverable_type
+from dossier.functions.vocabulary import DELIVERABLE_WORDS, RULE_WORDS, Aliases, alias_pattern, deliverable_type, extract_deliverable, normalize_deliverable  # noqa: F401
 
-# Deliverable words, most specific first, and the wording that rules use for them.
-DELIVERABLE_WORDS = (
-    "PAINTING SPECIFICATION", "TECHNICAL SPECIFICATION", "SPECIFICATION", "DATA SHEET", "DATASHEET", "GENERAL ARRANGEMENT", "P&ID", "SINGLE LINE DIAGRAM", "DIAGRAM", "LAYOUT", "DRAWING",
-    "EQUIPMENT LIST", "LIST", "PERFORMANCE CURVE", "CURVE", "DESIGN REPORT", "REPORT", "CALCULATION", "MANUAL", "PROCEDURE", "SCHEDULE", "CRITERIA", "STUDY",
+GENERIC_DELIVERABLES = ("", "SPECIFICATION", "TECHNICAL SPECIFICATION", "TECHNICAL SPECIFICATIONS")
+PAINTING_WORDS = ("PAINTING SPECIFICATION", "PAINT SPECIFICATION")
+GENERIC_DATA = ("", "DATA", "OPERATIONAL DATA", "PERFORMANCE DATA", "CURVES", "CURVE")
+CURVE_WORDS = (
+    "GENERATOR CAPABILITY CURVES AND DATA", "CAPABILITY CURVES AND DATA", "CAPABILITY CURVES", "PERFORMANCE DATA AND CURVES", "PERFORMANCE CURVES", "PERFORMANCE CURVE", "PERFORMANCE DATA", "CURVES", "CURVE",
 )
-RULE_WORDS = {"DATASHEET": "DATA SHEET", "SLD": "SINGLE LINE DIAGRAM", "GA": "GENERAL ARRANGEMENT", "GA DRAWING": "GENERAL ARRANGEMENT", "SPEC": "SPECIFICATION"}
-GENERIC_DELIVERABLES = ("", "SPECIFICATION", "TECHNICAL SPECIFICATION")
+# Equipment by raw or short name, equipment that a title names (most specific first), and the short forms of rules.
+EQUIPMENT_RAW = {
+    "GTG": "Gas Turbine Generator", "GT": "Gas Turbine Generator", "HRSG": "Heat Recovery Steam Generator", "STG": "Steam Turbine & Generator",
+    "ST": "Steam Turbine", "ACC": "Air Cooled Condenser", "BOP": "Balance of Plant", "DCS": "DCS", "GIS": "GIS", "CEP": "Condensate Extraction Pump",
+    "BFP": "Boiler Feed Pump", "BOP PIPING": "BOP Piping", "CCWP": "Cooling Water Package", "FGP": "Fuel Gas Package",
+    "BSEDG": "Blackstart Emergency Diesel Generator", "AIR COOLED CONDENSER": "Air Cooled Condenser",
+    "AIR COOLED CONDENSER FOUNDATION": "Air Cooled Condenser", "HEAT RECOVERY STEAM GENERATOR": "Heat Recovery Steam Generator",
+    "HEAT RECOVERY STEAM GENERATOR FOUNDATION": "Heat Recovery Steam Generator", "GAS TURBINE GENERATOR": "Gas Turbine Generator",
+    "GAS TURBINE": "Gas Turbine Generator", "STEAM TURBINE & GENERATOR": "Steam Turbine & Generator",
+    "STEAM TURBINE GENERATOR": "Steam Turbine & Generator", "STEAM TURBINE": "Steam Turbine",
+    "CONDENSATE EXTRACTION PUMP": "Condensate Extraction Pump", "CONDENSER VACUUM PUMP": "Condenser Vacuum Pump",
+    "CEP & CONDENSER FOUNDATION": "Steam Turbine", "CONDENSER TUBE CLEANING SYSTEM": "Steam Turbine", "BOILER FEED PUMP": "Boiler Feed Pump",
+    "FIN FAN COOLER": "Fin Fan Cooler", "FIN FAN": "Fin Fan Cooler", "AIR COMPRESSOR": "Air Compressor", "FUEL GAS SUPPLY SYSTEM": "Fuel Gas Package",
+    "FUEL GAS STATION FOUNDATION": "Fuel Gas Package", "WTP": "Water Treatment Plant", "WATER TREATMENT PLANT": "Water Treatment Plant",
+    "WASTE WATER TREATMENT PLANT": "Water Treatment Plant", "WASTE WATER TREATMENT": "Water Treatment Plant",
+    "WATER TREATMENT": "Water Treatment Plant", "ULSD STORAGE TANK FOUNDATION": "Fuel Oil System",
+    "FUEL OIL FALSE START STORAGE TANK PIT": "Fuel Oil System", "HVAC SYSTEM": "HVAC",
+}
+EQUIPMENT_SCAN = (
+    ("HEAT RECOVERY STEAM GENERATOR", "Heat Recovery Steam Generator"), ("AIR COOLED CONDENSER", "Air Cooled Condenser"),
+    ("GAS TURBINE GENERATOR", "Gas Turbine Generator"), ("STEAM TURBINE & GENERATOR", "Steam Turbine & Generator"),
+    ("STEAM TURBINE GENERATOR", "Steam Turbine & Generator"), ("CONDENSATE EXTRACTION PUMP", "Condensate Extraction Pump"),
+    ("CONDENSER VACUUM PUMP", "Condenser Vacuum Pump"), ("WATER TREATMENT PLANT", "Water Treatment Plant"),
+    ("WASTE WATER TREATMENT", "Water Treatment Plant"), ("BOILER FEED PUMP", "Boiler Feed Pump"), ("FIN FAN COOLER", "Fin Fan Cooler"),
+    ("AIR COMPRESSOR", "Air Compressor"), ("STEAM TURBINE", "Steam Turbine"), ("GAS TURBINE", "Gas Turbine Generator"),
+    ("FUEL OIL", "Fuel Oil System"), ("FUEL GAS", "Fuel Gas Package"), ("HRSG", "Heat Recovery Steam Generator"), ("GTG", "Gas Turbine Generator"),
+    ("STG", "Steam Turbine & Generator"), ("CEP", "Condensate Extraction Pump"), ("BFP", "Boiler Feed Pump"), ("GIS", "GIS"), ("DCS", "DCS"),
+    ("ACC", "Air Cooled Condenser"), ("BOP", "Balance of Plant"),
+)
+EQUIPMENT_SHORT = {
+    "Heat Recovery Steam Generator": "HRSG", "Gas Turbine Generator": "GTG", "Steam Turbine & Generator": "STG", "Steam Turbine": "STG",
+    "Air Cooled Condenser": "ACC", "Condensate Extraction Pump": "CEP", "Boiler Feed Pump": "BFP", "Fuel Gas Package": "FGP",
+    "Balance of Plant": "BOP", "Cooling Water Package": "CCWP", "Blackstart Emergency Diesel Generator": "BSEDG",
+}
+# The five names that the SQL of equipment_words holds; equipment_names has the whole tables.
 EQUIPMENT_NAMES = {"HRSG": "HEAT RECOVERY STEAM GENERATOR", "GTG": "GAS TURBINE GENERATOR", "STG": "STEAM TURBINE GENERATOR", "ACC": "AIR COOLED CONDENSER", "BFP": "BOILER FEED PUMP"}
 # What a requirement can ask for.
 INTENT: dict[str, Aliases] = {
-    "equipment": (("HRSG", ("HRSG", "HEAT RECOVERY STEAM GENERATOR")), ("ACC", ("ACC", "AIR COOLED CONDENSER")), ("TURBINE", ("GT", "ST", "TURBINE")), ("PUMP", ("PUMP", "PUMPS"))),
-    "systems": (("FUEL GAS", ("FUEL GAS",)), ("FIRE", ("FIRE ALARM", "FIRE FIGHTING")), ("WATER", ("WATER TREATMENT", "COOLING WATER"))),
-    "deliverables": (("DATA SHEET", ("DATA SHEET", "DATASHEET")), ("DRAWING", ("DRAWING", "DRAWINGS", "LAYOUT")), ("REPORT", ("REPORT", "STUDY")), ("LIST", ("LIST", "SCHEDULE"))),
-    "actions": (("SUBMIT", ("SUBMIT", "SUBMITTED", "PROVIDE")), ("TEST", ("TEST", "TESTED"))),
-    "constraints": (("CAPACITY", ("CAPACITY", "RATED")), ("REDUNDANCY", ("REDUNDANT", "2X100%", "N+1"))),
-}
-
-
-def extract_deliverable(text: ColumnOrName) -> Column:
-    upper = F.upper(text_or_blank(text))
-    return ladder(*[(upper.contains(w), w) for w in DELIVERABLE_WORDS])
-
-
-def normalize_deliverable(value: ColumnOrName) -> Column:
-    key = F.upper(F.trim(text_or_blank(value)))
-    return F.coalesce(F.create_map(*[F.lit(x) for p in RULE_WORDS.items() for x in p])[key], F.trim(text_or_blank(value)))
+    "equipment": (
+        ("Air Cooled Condenser", ("ACC", "AIR COOLED CONDENSER", "AIR-COOLED CONDENSER")),
+        ("Heat Recovery Steam Generator", ("HRSG", "HEAT RECOVERY STEAM GENERATOR")),
+        ("Gas Turbine Generator", ("GTG", "GAS TURBINE GENERATOR", "GAS TURBINE")),
+        ("Steam Turbine Generator", ("STG", "STEAM TURBINE GENERATOR", "STEAM TURBINE")),
+        ("Distributed Control System", ("DCS", "DISTRIBUTED CONTROL SYSTEM")),
+        ("Continuous Emission Monitoring System", ("CEMS", "CONTINUOUS EMISSION MONITORING")),
+        ("Water Treatment System", ("WATER TREATMENT", "WASTE WATER", "WASTEWATER", "SEWAGE TREATMENT")),
+    ),
+    "systems": (
+        ("Hazardous Area", ("HAZARDOUS AREA", "AREA CLASSIFICATION")),
+        ("Performance", ("PERFORMANCE", "GUARANTEE", "GUARANTEED")),
+        ("Emission Monitoring", ("CEMS", "EMISSION MONITORING")),
+        ("Power Metering", ("POWER METERING", "METERING SYSTEM")),
+        ("Waste Water Treatment", ("WASTE WATER", "WASTEWATER", "SEWAGE TREATMENT")),
+    ),
+    "deliverables": (
+        ("Hazardous Area Classification", ("HAZARDOUS AREA CLASSIFICATION", "AREA CLASSIFICATION")),
+        ("Performance Correction Curve", ("PERFORMANCE CORRECTION CURVE",)),
+        ("Performance Curve", ("PERFORMANCE CURVE", "CAPABILITY CURVE", "CORRECTION CURVE")),
+        ("Degradation Curve", ("DEGRADATION CURVE", "DEGRADATION FACTOR")),
+        ("Technical Specification", ("TECHNICAL SPECIFICATION", "TECHNICAL SPECIFICATIONS", "SPECIFICATION")),
+        ("P&ID", ("P&ID", "P&I DIAGRAM", "PIPING AND INSTRUMENT", "PIPING & INSTRUMENT")),
+        ("System Description", ("SYSTEM DESCRIPTION",)),
+        ("Functional Design Specification", ("FUNCTIONAL DESIGN SPECIFICATION", "FDS")),
+        ("Design Report", ("DESIGN REPORT",)),
+        ("CFD Report", ("CFD REPORT",)),
+        ("Report", ("REPORT",)),
+        ("Process Flow Diagram", ("PROCESS FLOW DIAGRAM", "PFD")),
+        ("Control Logic Diagram", ("CONTROL LOGIC DIAGRAM", "LOGIC DIAGRAM")),
+        ("Power Distribution Diagram", ("POWER DISTRIBUTION",)),
+        ("Diagram", ("DIAGRAM",)),
+        ("Datasheet & Drawings", ("DATASHEET & DRAWING", "DATASHEET AND DRAWING", "DATA SHEET & DRAWING")),
+        ("Instrument List", ("INSTRUMENT LIST",)),
+        ("Equipment List", ("EQUIPMENT LIST",)),
+        ("List", ("LIST",)),
+        ("General Arrangement", ("GENERAL ARRANGEMENT", "ARRANGEMENT")),
+        ("Outline Drawing", ("OUTLINE DRAWING", "OUTLINE")),
+        ("Calculation", ("CALCULATION", "CALCULATIONS")),
+        ("Procedure", ("PROCEDURE",)),
+        ("Manual", ("MANUAL", "O&M")),
+    ),
+    "actions": (
+        ("submit", ("SUBMIT", "SUBMISSION", "DELIVER", "PROVIDE", "FURNISH")),
+        ("prepare", ("PREPARE", "ISSUE", "DEVELOP")),
+        ("calculate", ("CALCULATE", "CALCULATION", "DETERMINE")),
+        ("guarantee", ("GUARANTEE", "GUARANTEED", "WARRANT")),
+        ("review", ("REVIEW", "APPROVAL", "APPROVE")),
+    ),
+    "constraints": (
+        ("post-COD", ("POST-COD", "POST COD", "AFTER COD")),
+        ("long-term", ("LONG TERM", "LONG-TERM")),
+        ("as-built", ("AS BUILT", "AS-BUILT")),
+        ("block-specific", ("BLOCK #", "BLOCK NO", "UNIT #", "UNIT NO")),
+        ("plant overall", ("PLANT OVERALL", "OVERALL PLANT", "WHOLE SITE", "ENTIRE PLANT")),
+    ),
+}
 
 
 def refine_deliverable(value: ColumnOrName, title: ColumnOrName) -> Column:
     """A generic value gives way to a specific painting specification or curve that the title names."""
     found, now = extract_deliverable(title), F.upper(F.trim(text_or_blank(value)))
-    painting = now.isin(*GENERIC_DELIVERABLES) & (found == "PAINTING SPECIFICATION")
-    curve = now.isin("", "DATA", "PERFORMANCE DATA", "CURVE", "CURVES") & found.isin("PERFORMANCE CURVE", "CURVE")
+    painting = now.isin(*GENERIC_DELIVERABLES) & found.isin(*PAINTING_WORDS)
+    curve = now.isin(*GENERIC_DATA) & found.isin(*CURVE_WORDS)
     return F.when(painting | curve, found).otherwise(F.trim(text_or_blank(value)))
 
 
 def normalize_equipment(value: ColumnOrName) -> Column:
-    key = F.upper(collapse(value))
-    return F.coalesce(F.create_map(*[F.lit(x) for p in EQUIPMENT_NAMES.items() for x in p])[key], key)
+    """The canonical name of a raw or short one; other values without their parentheses."""
+    raw = F.trim(text_or_blank(value))
+    cleaned = F.trim(F.regexp_replace(raw, "\\(.*?\\)", ""))
+    return F.coalesce(F.create_map(*[F.lit(x) for p in EQUIPMENT_RAW.items() for x in p])[F.upper(cleaned)], F.when(cleaned != "", cleaned), raw)
 
 
 def equipment_in(title: ColumnOrName) -> Column:
-    """The first known equipment that a title names, in full or short."""
-    upper = F.concat(F.lit(" "), F.regexp_replace(F.upper(text_or_blank(title)), "[^A-Z0-9]+", " "), F.lit(" "))
-    return ladder(*[(upper.contains(f" {short} ") | upper.contains(full), full) for short, full in EQUIPMENT_NAMES.items()])
+    """The canonical name of the first known equipment in a title."""
+    upper = F.upper(text_or_blank(title))
+    return ladder(*[(upper.contains(word), full) for word, full in EQUIPMENT_SCAN])
 
 
 def equipment_short(name: ColumnOrName) -> Column:
-    table = F.create_map(*[F.lit(x) for short, full in EQUIPMENT_NAMES.items() for x in (full, short)])
-    return F.coalesce(table[col(name)], col(name))
+    return F.coalesce(F.create_map(*[F.lit(x) for p in EQUIPMENT_SHORT.items() for x in p])[col(name)], col(name))
+
+
+def named_equipment(title: ColumnOrName, names: dict[str, str]) -> Column:
+    """The first of the names (full by short) that a title has in full or short."""
+    upper = F.concat(F.lit(" "), F.regexp_replace(F.upper(text_or_blank(title)), "[^A-Z0-9]+", " "), F.lit(" "))
+    return ladder(*[(upper.contains(f" {short} ") | upper.contains(full), full) for short, full in names.items()])
 
 
 def canonical_columns(df: DataFrame) -> DataFrame:
@@ -90,9 +173,17 @@ def rule_query(deliverable: ColumnOrName, scope: ColumnOrName) -> Column:
     return F.when((d != "") & (s != ""), F.concat(d, F.lit(" for "), s)).otherwise(F.concat(d, s))
 
 
+def intent_keys(text: ColumnOrName, table: Aliases) -> Column:
+    """Sorted keys of every entry with an alias in the text: single words as whole words, longer aliases anywhere."""
+    value = F.trim(F.regexp_replace(F.upper(text_or_blank(text)), "[^A-Z0-9&#+/-]+", " "))
+    word = lambda a: re.fullmatch("[A-Z0-9&]+", a) is not None
+    has = lambda aliases: contains_any(value, [a for a in aliases if not word(a)]) | (value.rlike(alias_pattern([a for a in aliases if word(a)])) if any(map(word, aliases)) else F.lit(False))
+    return F.array_sort(F.array_compact(F.array(*[F.when(has(aliases), F.lit(key)) for key, aliases in table])))
+
+
 def requirement_intent(text: ColumnOrName) -> Column:
     """Struct of sorted keys for each kind of intent."""
-    return F.struct(*[all_matches(text, table).alias(kind) for kind, table in INTENT.items()])
+    return F.struct(*[intent_keys(text, table).alias(kind) for kind, table in INTENT.items()])
 
 
 def strip_qualifiers(text: ColumnOrName, projects: Sequence[str] = ()) -> Column:

@@ -32,8 +32,21 @@ _T = "(' ' || regexp_replace(upper(title), '[^A-Z0-9]+', ' ', 'g') || ' ')"
 @query(f"""WITH {TITLED}, e AS (SELECT p_partkey, {_case([(f"contains({_T}, ' {s} ') OR contains({_T}, '{f}')", f) for s, f in G.EQUIPMENT_NAMES.items()])} AS equipment FROM tp)
 SELECT p_partkey, equipment, {_case([(f"equipment = '{f}'", s) for s, f in G.EQUIPMENT_NAMES.items()], "equipment")} AS short FROM e""")
 def equipment_words(t: Tables) -> DataFrame:
-    found = titled_parts(t).select("p_partkey", G.equipment_in("title").alias("equipment"))
-    return found.withColumn("short", G.equipment_short("equipment"))
+    found = titled_parts(t).select("p_partkey", G.named_equipment("title", G.EQUIPMENT_NAMES).alias("equipment"))
+    short = F.create_map(*[F.lit(x) for s, f in G.EQUIPMENT_NAMES.items() for x in (f, s)])[F.col("equipment")]
+    return found.withColumn("short", F.coalesce(short, "equipment"))
+
+
+_RAW = ("gt", " WTP (new)", "Fin Fan", "Silo (old)", "(none)")
+
+
+@query(f"""WITH {TITLED}, v AS (SELECT p_partkey, title, ['gt', ' WTP (new)', 'Fin Fan', 'Silo (old)', '(none)'][1 + p_partkey % 5] AS raw FROM tp), c AS (SELECT *, trim(regexp_replace(raw, '\\(.*?\\)', '', 'g')) AS cleaned FROM v),
+e AS (SELECT p_partkey, {_case([(f"upper(cleaned) = '{k}'", v) for k, v in G.EQUIPMENT_RAW.items()], "CASE WHEN cleaned <> '' THEN cleaned ELSE trim(raw) END")} AS canonical, {_case([(f"contains(upper(title), '{w}')", f) for w, f in G.EQUIPMENT_SCAN])} AS equipment FROM c)
+SELECT *, {_case([(f"equipment = '{f}'", s) for f, s in G.EQUIPMENT_SHORT.items()], "equipment")} AS short FROM e""")
+def equipment_names(t: Tables) -> DataFrame:
+    raw = F.element_at(F.array(*[F.lit(x) for x in _RAW]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    out = titled_parts(t).select("p_partkey", G.normalize_equipment(raw).alias("canonical"), G.equipment_in("title").alias("equipment"))
+    return out.withColumn("short", G.equipment_short("equipment"))
 
 
 def _keys_sql(kind: str) -> str:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dossier.functions import vocabulary as V
 from dossier.operators import audit as A
 from dossier.operators import matching as M
+from dossier.operators import registers as G
 
 SCOPES = {
     "acc": ["Air cooled condenser fan", "COND AIR EXT skid"], "bop": ["BALANCE OF PLANT piping"], "bsedg": ["Blackstart diesel generator data", "BSDG PANEL"], "ccw": ["CCW H/EX sizing", "FIN FAN COOLER"],
@@ -73,3 +74,30 @@ def test_fire_is_kept_from_drainage(spark):
     assert guard("FIRE ALARM LAYOUT", "STORMWATER DRAINAGE LAYOUT") == "scope_mismatch"
     assert guard("CCR FIRE ALARM LAYOUT", "CCR STORMWATER DRAINAGE LAYOUT") == "system_scope_conflict"
     assert guard("CCR FIRE ALARM LAYOUT", "CCR FIRE FIGHTING LAYOUT") == ""
+
+
+INTENT = {
+    "AIR-COOLED CONDENSER of the plant": ("equipment", "Air Cooled Condenser"), "DCS cabinets": ("equipment", "Distributed Control System"), "CEMS house": ("equipment", "Continuous Emission Monitoring System"), "wastewater pit": ("equipment", "Water Treatment System"),
+    "hazardous area": ("systems", "Hazardous Area"), "guaranteed output": ("systems", "Performance"), "emission monitoring": ("systems", "Emission Monitoring"), "power metering": ("systems", "Power Metering"), "waste water": ("systems", "Waste Water Treatment"),
+    "P&ID": ("deliverables", "P&ID"), "specification": ("deliverables", "Technical Specification"), "performance correction curves": ("deliverables", "Performance Correction Curve"), "correction curves": ("deliverables", "Performance Curve"), "FDS": ("deliverables", "Functional Design Specification"),
+    "valve list": ("deliverables", "List"), "calculations": ("deliverables", "Calculation"), "procedure": ("deliverables", "Procedure"), "O&M": ("deliverables", "Manual"), "logic diagrams": ("deliverables", "Control Logic Diagram"),
+    "furnish": ("actions", "submit"), "develop": ("actions", "prepare"), "determine": ("actions", "calculate"), "warrant": ("actions", "guarantee"), "approve": ("actions", "review"),
+    "after COD": ("constraints", "post-COD"), "post-COD": ("constraints", "post-COD"), "long-term": ("constraints", "long-term"), "as built": ("constraints", "as-built"), "block #2": ("constraints", "block-specific"), "whole site": ("constraints", "plant overall"),
+}
+
+
+def test_every_kind_of_intent(spark):
+    assert [len(G.INTENT[k]) for k in ("equipment", "systems", "deliverables", "actions", "constraints")] == [7, 5, 24, 5, 5]
+    found = each(spark, list(INTENT), G.requirement_intent("t"))
+    assert {t: key in x[kind] for (t, (kind, key)), x in zip(INTENT.items(), found)} == {t: True for t in INTENT}
+    assert each(spark, ["listing of redundant capacity tests, fuel gas"], G.requirement_intent("t")) == [([], [], [], [], [])]
+
+
+def test_deliverable_and_equipment_words(spark):
+    assert each(spark, ["HRSG WIRING DIAGRAM", "HAZARDOUS AREA CLASSIFICATION", "PIPE RACK ELEVATION", "RELAY SETTINGS", "PUMP"], G.extract_deliverable("t")) == ["WIRING DIAGRAM", "HAZARDOUS AREA CLASSIFICATION", "ELEVATION", "SETTINGS", ""]
+    assert each(spark, ["sld", " GA ", "P&I drawing", "Curve", "Other"], G.normalize_deliverable("t")) == ["Single Line Diagram", "General Arrangement Drawing", "P&ID", "Performance Curve", "Other"]
+    assert each(spark, ["GA", "ELEVATION", "P&I DRAWING", "CURVES"], V.deliverable_type("t", F.lit(""))) == [("drawing", "general_arrangement_drawing"), ("drawing", "drawing"), ("diagram", "p_id"), ("curve", "performance_curve")]
+    assert each(spark, ["gt", "WTP (new)", "CEP & Condenser Foundation", "Silo (old)", "(none)", None], G.normalize_equipment("t")) == ["Gas Turbine Generator", "Water Treatment Plant", "Steam Turbine", "Silo", "(none)", ""]
+    assert each(spark, ["STEAM TURBINE & GENERATOR HALL", "Fuel oil pit", "GIS ROOM", "DOOR"], G.equipment_in("t")) == ["Steam Turbine & Generator", "Fuel Oil System", "GIS", ""]
+    assert each(spark, ["Steam Turbine", "Cooling Water Package", "Door"], G.equipment_short("t")) == ["STG", "CCWP", "Door"]
+    assert each(spark, ["PAINT SPECIFICATION", "CAPABILITY CURVES"], G.refine_deliverable(F.lit(""), "t")) == ["PAINT SPECIFICATION", "CAPABILITY CURVES"]
