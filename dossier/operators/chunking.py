@@ -20,22 +20,41 @@ def html_text(html: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[ \\t]+", " "), " ?\\n[ \\n]*", "\n"))
 
 
-def chunk_paragraphs(docs: DataFrame, doc_id: str, text: str, most: int = MOST_TOKENS) -> DataFrame:
-    """(doc_id, chunk_index, text, token_count, chunk_id): paragraphs packed in order up to `most` words.
+def packed_paragraphs(docs: DataFrame, doc_id: str, text: str, most: int = MOST_TOKENS) -> DataFrame:
+    """(doc_id, chunk_index, text, token_count, chunk_id, continues): paragraphs packed in order, no chunk over `most` words.
 
-    A paragraph longer than the budget is a chunk of its own. chunk_id holds the
-    document, the index and 12 digits of the text's SHA-256.
+    A paragraph longer than the budget is cut into windows of `most` words, joined
+    by single spaces; the last one takes what follows. continues marks chunks that
+    start inside a paragraph. chunk_id holds the document, the index and 12 digits
+    of the text's SHA-256.
     """
+    if most < 1:
+        raise ValueError("a chunk needs a budget of one word at least")
     paragraphs = F.filter(F.split(text_or_blank(text), "\\n+"), lambda p: F.trim(p) != "")
-    sized = F.transform(paragraphs, lambda p: F.struct(F.trim(p).alias("t"), F.size(F.split(F.trim(p), "\\s+")).alias("n")))
-    empty = F.array().cast("array<struct<t:string,n:int>>")
+    worded = F.transform(paragraphs, lambda p: F.struct(F.trim(p).alias("t"), F.split(F.trim(p), "\\s+").alias("w")))
+    piece = lambda t, n, more: F.struct(t.alias("t"), n.cast("int").alias("n"), more.alias("more"))
+
+    def windows(p: Column) -> Column:
+        def cut(i: Column) -> Column:
+            part = F.slice(p["w"], i + 1, F.lit(most))
+            return piece(F.array_join(part, " "), F.size(part), i > 0)
+
+        return F.when(F.size(p["w"]) <= most, F.array(piece(p["t"], F.size(p["w"]), F.lit(False)))).otherwise(F.transform(F.sequence(F.lit(0), F.size(p["w"]) - 1, F.lit(most)), cut))
+
+    sized = F.flatten(F.transform(worded, windows))
+    empty = F.array().cast("array<struct<t:string,n:int,more:boolean>>")
 
     def add(done: Column, p: Column) -> Column:
         last = F.element_at(done, -1)
-        joined = F.struct(F.concat(last["t"], F.lit("\n"), p["t"]).alias("t"), (last["n"] + p["n"]).alias("n"))
-        fits = (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1)["n"], F.lit(0)) + p["n"] <= most)
+        joined = piece(F.concat(last["t"], F.lit("\n"), p["t"]), last["n"] + p["n"], last["more"])
+        fits = ~p["more"] & (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1)["n"], F.lit(0)) + p["n"] <= most)
         return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(p)))
 
     packed = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.aggregate(sized, empty, add)).alias("chunk_index", "c"))
     name = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.format_string("%06d", "chunk_index"), F.lit("_"), F.substring(F.sha2("c.t", 256), 1, 12))
-    return packed.select("doc_id", "chunk_index", F.col("c.t").alias("text"), F.col("c.n").alias("token_count"), name.alias("chunk_id"))
+    return packed.select("doc_id", "chunk_index", F.col("c.t").alias("text"), F.col("c.n").alias("token_count"), name.alias("chunk_id"), F.col("c.more").alias("continues"))
+
+
+def chunk_paragraphs(docs: DataFrame, doc_id: str, text: str, most: int = MOST_TOKENS) -> DataFrame:
+    """(doc_id, chunk_index, text, token_count, chunk_id) of the packed paragraphs."""
+    return packed_paragraphs(docs, doc_id, text, most).drop("continues")

@@ -54,9 +54,9 @@ def boundary_rejection(t: Tables) -> DataFrame:
 @query(r"""SELECT doc_id, len(l) AS n_lines, sum_words AS n_words FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\n+'), lambda x: trim(x) <> '') AS l FROM documents) d,
 LATERAL (SELECT sum(len(regexp_split_to_array(trim(x), '\s+')))::BIGINT AS sum_words FROM (SELECT unnest(l) AS x)) WHERE len(l) > 0""")
 def chunk_totals(t: Tables) -> DataFrame:
-    """Chunking keeps each line and word of a text."""
-    chunks = K.chunk_paragraphs(t.documents, "doc_id", "text", 100)
-    return chunks.groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n"))).alias("n_lines"), F.sum("token_count").cast("long").alias("n_words"))
+    """Chunking keeps each line and word of a text; a chunk that starts inside a line adds none."""
+    chunks = K.packed_paragraphs(t.documents, "doc_id", "text", 100)
+    return chunks.groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n")) - F.col("continues").cast("int")).alias("n_lines"), F.sum("token_count").cast("long").alias("n_words"))
 
 
 @query()
