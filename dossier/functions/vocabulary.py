@@ -179,6 +179,21 @@ COMPATIBLE_PHASES = (
     ("design_drawing", "system_design"), ("design_drawing", "civil_design"), ("manual", "delivery"), ("manual", "procurement"),
     ("manual", "installation"), ("design_criteria", "system_design"), ("design_criteria", "civil_design"),
 )
+# Activity phases open to a document's phase, and the terms that steer its activity query.
+PHASE_BUCKETS = {
+    "design_criteria": ("design_criteria", "system_design", "civil_design"), "design_drawing": ("system_design", "civil_design"),
+    "system_design": ("system_design",), "civil_design": ("civil_design",), "procurement": ("procurement",), "commissioning": ("commissioning",),
+    "manual": ("delivery", "procurement", "installation"), "delivery": ("delivery", "procurement"),
+}
+DELIVERABLE_BOOST = {
+    "DESIGN CRITERIA": "Design Criteria engineering", "SYSTEM DESCRIPTION": "System Description P&ID", "LAYOUT": "Layout Arrangement Drawing",
+    "OVERVIEW": "System Description overview",
+}
+KEYWORD_BOOST = {
+    "p.o": "P.O Procurement", "po": "P.O Procurement", "pof": "P.O Procurement finish", "delivery": "transportation delivery",
+    "fob": "transportation delivery FOB", "transportation": "transportation delivery", "manufacturing": "manufacturing P.O",
+    "fo b": "transportation delivery", "commissioning": "commissioning test",
+}
 # Score multipliers by status, and tokens that confirm nothing.
 PHASE_FACTOR = {"match": 1.0, "compatible": 0.75, "query_unknown": 0.75, "activity_unknown": 0.75, "mismatch": 0.25}
 SCOPE_FACTOR = {"match": 1.0, "query_unscoped": 0.75, "activity_unscoped": 0.75, "discipline_only": 0.5, "mismatch": 0.25}
@@ -256,6 +271,17 @@ def query_phase(deliverable: ColumnOrName, title: ColumnOrName, scope: ColumnOrN
     return ladder(*steps, otherwise="" if keywords is None else keyword_phase(keywords))
 
 
+def activity_query(equipment: ColumnOrName, system: ColumnOrName, deliverable: ColumnOrName, title: ColumnOrName, keywords: Column | None = None) -> Column:
+    """The document's words, then the terms of its deliverable, or else those of each of the rule's activity keywords."""
+    table = lambda d: F.create_map(*[F.lit(x) for p in d.items() for x in p])
+    parts = [F.trim(x) for x in (text_or_blank(equipment), text_or_blank(system), normalize_deliverable(deliverable), text_or_blank(title))]
+    boost = table(DELIVERABLE_BOOST)[F.upper(F.trim(text_or_blank(deliverable)))]
+    if keywords is not None:
+        terms = F.array_compact(F.transform(keywords, lambda k: table(KEYWORD_BOOST)[F.lower(F.trim(k))]))
+        boost = F.coalesce(boost, F.when(F.size(terms) > 0, F.array_join(terms, " ")))
+    return F.concat_ws(" ", *[F.when(p != "", p) for p in parts], boost)
+
+
 def activity_phase(text: ColumnOrName) -> Column:
     return first_match(F.upper(text_or_blank(text)), ACTIVITY_PHASES)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.columns import ranked
 from dossier.functions.text import word_tokens
+from dossier.functions.vocabulary import PHASE_BUCKETS
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -132,6 +133,19 @@ def fuse_scored(pairs: DataFrame, allowed: Column | None, retrieve_k: int, top:
     return out.withColumn("rank", ranked(by, F.desc("rrf"), F.asc("doc_id"))).filter(F.col("rank") <= top)
 
 
+def activity_shortlist(pairs: DataFrame, retrieve_k: int, top: int) -> DataFrame:
+    """Fused activities of each query, of the phases that its phase is open to.
+
+    pairs: query_id, query_phase, doc_id (the activity), activity_phase, a_score,
+    b_score, for all activities of a query. Ranks are those of all activities; a
+    query whose phase has no bucket, or no activity in it, keeps them all.
+    """
+    table = [(q, a) for q, phases in PHASE_BUCKETS.items() for a in phases]
+    buckets = pairs.sparkSession.createDataFrame(table, "query_phase string, activity_phase string").withColumn("_open", F.lit(True))
+    both = pairs.join(F.broadcast(buckets), ["query_phase", "activity_phase"], "left")  # a fixed table of a few rows
+    return fuse_scored(both, F.coalesce("_open", F.lit(False)), retrieve_k, top).drop("_open")
+
+
 def rerank(pairs: DataFrame, score: str, k: int, by: str = "query_id", prior: str = "retrieval_rank") -> DataFrame:
     """Order by pair score, then by retrieval rank; keep k with final_rank."""
     return pairs.withColumn("final_rank", ranked([by], F.desc(score), F.asc(prior))).filter(F.col("final_rank") <= k)

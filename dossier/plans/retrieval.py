@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions import vocabulary as V
 from dossier.operators import evaluation as E
 from dossier.operators import retrieval as R
 from dossier.plans.registry import Tables, query
@@ -130,6 +131,35 @@ def rrf_phase_filtered_global_rank(t: Tables) -> DataFrame:
     return R.fuse_scored(_pairs(t), allowed, 3, 2).select("query_id", "doc_id", "a_rank", "b_rank", "rrf", "rank")
 
 
+#: Phases that priorities and return flags stand for.
+QUERY_PHASE = {"1-URGENT": "design_criteria", "2-HIGH": "manual", "3-MEDIUM": "delivery", "4-NOT SPECIFIED": "", "5-LOW": "commissioning"}
+ACTIVITY_PHASE = {"A": "procurement", "N": "system_design", "R": "delivery"}
+_named = lambda x, table: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+@query(f"""WITH {SCORED.format(by="query_id")},
+bk AS (SELECT * FROM (VALUES {", ".join(f"('{q}', '{a}')" for q, x in V.PHASE_BUCKETS.items() for a in x)}) AS b(query_phase, activity_phase)),
+ph AS (SELECT *, {_named("q_phase", QUERY_PHASE)} AS query_phase, {_named("phase", ACTIVITY_PHASE)} AS activity_phase FROM rk),
+al AS (SELECT *, (query_phase, activity_phase) IN (SELECT (query_phase, activity_phase) FROM bk) AS ok FROM ph),
+fb AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM al) WHERE ok OR NOT any_ok),
+ca AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a_rank, doc_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY b_rank, doc_id) AS rb FROM fb),
+sc AS (SELECT query_id, doc_id, query_phase, activity_phase, round(1.0 / (60 + a_rank) + 1.0 / (60 + b_rank), 9) AS rrf FROM ca WHERE ra <= 3 OR rb <= 3)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM sc) WHERE rank <= 2""")
+def activity_shortlist(t: Tables) -> DataFrame:
+    table = lambda d: F.create_map(*[F.lit(x) for p in d.items() for x in p])
+    pairs = _pairs(t).withColumns({"query_phase": table(QUERY_PHASE)[F.col("q_phase")], "activity_phase": table(ACTIVITY_PHASE)[F.col("phase")]})
+    return R.activity_shortlist(pairs, 3, 2).select("query_id", "doc_id", "query_phase", "activity_phase", "rrf", "rank")
+
+
+@query("""WITH x AS (SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE ' ' END AS sy, ['Layout', 'DATASHEET', 'overview', ''][1 + p_partkey % 4] AS de, ['Layout Drawing', 'Data Sheet', 'overview', ''][1 + p_partkey % 4] AS norm, p_size % 3 AS k FROM part)
+SELECT p_partkey, array_to_string(list_filter([p_name, trim(sy), norm, 'T', CASE de WHEN 'Layout' THEN 'Layout Arrangement Drawing' WHEN 'overview' THEN 'System Description overview' ELSE CASE k WHEN 0 THEN 'P.O Procurement transportation delivery FOB' WHEN 1 THEN 'commissioning test' ELSE '' END END], lambda v: v <> ''), ' ') AS q FROM x""")
+def activity_query(t: Tables) -> DataFrame:
+    s, words = F.col("p_size"), lambda *v: F.array(*[F.lit(x) for x in v])
+    deliverable = F.element_at(words("Layout", "DATASHEET", "overview", ""), (F.col("p_partkey") % 4 + 1).cast("int"))
+    keywords = F.when(s % 3 == 0, words(" P.O", "other", "FOB")).when(s % 3 == 1, words("Commissioning"))
+    return t.part.select("p_partkey", V.activity_query("p_name", F.when(s % 2 == 0, F.col("p_brand")).otherwise(" "), deliverable, F.lit("T"), keywords).alias("q"))
+
+
 @query(f"""WITH {SCORED.format(by="query_id, phase")},
 ca AS (SELECT *, row_number() OVER (PARTITION BY query_id, phase ORDER BY a_rank, doc_id) AS ra, row_number() OVER (PARTITION BY query_id, phase ORDER BY b_rank, doc_id) AS rb FROM rk),
 sc AS (SELECT query_id, phase, doc_id, a_rank, b_rank, round(1.0 / (60 + a_rank) + 1.0 / (60 + b_rank), 9) AS rrf FROM ca WHERE ra <= 50 OR rb <= 50)
