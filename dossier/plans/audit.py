@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as T
 from dossier.operators import audit as A
+from dossier.operators import standard_list as B
 from dossier.plans.registry import Tables, query
 from dossier.plans.wording import TITLED, titled_parts
 
@@ -77,3 +78,12 @@ def output_checks(t: Tables) -> DataFrame:
     s = F.col("p_size")
     title = F.when(s == 1, "").when(s == 2, F.concat("p_name", F.lit(" unit 3"))).otherwise(F.col("p_name"))
     return A.output_checks(t.part.select(title.alias("title"), "p_brand", "p_type"), "title", "p_brand", "p_type", ("PROMO", "ECONOMY"))
+
+
+@query()
+def standard_ladders(t: Tables) -> DataFrame:
+    """All ladders of the standard list, with structured fields in some rows."""
+    s = F.col("p_size")
+    fields = {"equipment": F.when(s % 4 == 1, F.col("p_name")), "building": F.when(s % 5 == 1, F.col("p_brand")), "system": F.when(s % 3 == 0, F.col("scope")), "study": F.when(s % 7 == 0, "HAZOP"), "others": F.when(s % 11 == 0, "Spares for CVP"), "deliverable": F.when(s % 2 == 0, "GA drawing")}
+    rows = titled_parts(t).drop("deliverable").join(t.part.select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    return B.with_standard_facets(rows.select("p_partkey", "title", *[c.alias(k) for k, c in fields.items()]))
