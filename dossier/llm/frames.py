@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,35 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a session whose tasks run in the driver's own process gets
+    a folder of its own; any other session is refused, as executors would not see it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="dossier-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="dossier-"))
+    return context.getCheckpointDir()
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Compute once, keep in the shared folder, cut the lineage: lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
+    folder, context = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,8 @@ length. Pieces of a length are ranked in salted parts with exact offsets, and a
 search in the broadcast ranges gives each piece its sequence and place.
 
 Defined results: null and empty texts are one separator token. Repeated rows are
-packed each on their own. Extra columns are not read; an empty table gives an
+packed each on their own; which of several pieces of one length lies where
+follows the order in which they were written, not their doc_id. Extra columns are not read; an empty table gives an
 empty result.
 """
 
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,73 +24,49 @@ from pyspark.sql import functions as F
 
 from dossier.llm.bin_completion import pack
 from dossier.llm.frames import documents, settled
-from dossier.llm.pieces import ChunkEncoder, chunk_spans, distinct_chunks, gather
-from dossier.llm.token_counts import load_tokenizer, tokenizer_path
+from dossier.llm.pieces import distinct_chunks, gather
+from dossier.llm.token_counts import tokenizer_path
+from dossier.llm.word_runs import word_runs
 from dossier.llm.words import slices, texts_of
 
 CAPACITY = 2048
 SEPARATOR = 0
 SLICE = 8 << 20
-MARK = "\x01"
-TOGETHER = 1000
 PART_ROWS = 20_000
 _RANK_BITS = 44
 
 
-@lru_cache(maxsize=2)
-def _word_encoder(path: str) -> ChunkEncoder:
-    tokenizer = load_tokenizer(path)
-    ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-    mark = ids_of(MARK)
-
-    def together(words: list[str]) -> list[np.ndarray]:
-        """Words in one call, parted by a mark that none of them holds; one by one if the marks don't come back."""
-        ids = ids_of(f" {MARK} ".join(words))
-        cuts = np.flatnonzero(ids == mark[0])
-        if len(mark) != 1 or len(cuts) != len(words) - 1:
-            return [ids_of(w) for w in words]
-        return [x[i:] for x, i in zip(np.split(ids, cuts), [0] + [1] * len(cuts), strict=True)]
-
-    def encode(chunks: list[bytes]) -> list[np.ndarray]:
-        words = [c.decode() for c in chunks]
-        plain = [i for i, w in enumerate(words) if MARK not in w]
-        out: list[np.ndarray] = [None] * len(words)
-        for lo in range(0, len(plain), TOGETHER):
-            part = plain[lo : lo + TOGETHER]
-            for i, ids in zip(part, together([words[i] for i in part]), strict=True):
-                out[i] = ids
-        return [ids_of(w) if x is None else x for w, x in zip(words, out, strict=True)]
-
-    return ChunkEncoder(encode)
-
-
 def _piece_batches(path: str, cap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _word_encoder(path)
+        tokenizer = word_runs(path)
         for batch in batches:
             raw_all, at = texts_of(batch.column(1))
             source, piece, begin, length, crc = [], [], [], [], []
             for lo, hi in slices(at, SLICE):
-                raw, offsets = raw_all[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                # the vocabulary drops white space, so words are its chunks
-                start, end = chunk_spans(raw, offsets, with_space=False) if len(raw) else (np.zeros(0, np.int64),) * 2
-                if len(start):
-                    codes, chunks = distinct_chunks(raw, start, end)
-                    ids, ends = gather(encoder(chunks), codes)
-                else:
-                    ids, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                edges = np.append(0, ends)[np.searchsorted(start, offsets)]
-                for i in range(hi - lo):
-                    own = np.append(ids[edges[i] : edges[i + 1]], SEPARATOR).astype("<u4")
-                    for k, first in enumerate(range(0, len(own), cap)):
-                        part = own[first : first + cap]
-                        source.append(lo + i)
-                        piece.append(k)
-                        begin.append(first)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-            columns = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (begin, length, crc))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                raw, start, end = tokenizer.chunks(raw_all[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                rows = hi - lo
+                codes, chunks = distinct_chunks(raw, start, end)
+                flat, edges = tokenizer.encoder(chunks)
+                # one more chunk, the separator, after the last of each text
+                last = np.searchsorted(start, at[lo + 1 : hi + 1] - at[lo])
+                codes = np.insert(codes.astype(np.int64), last, len(edges) - 1)
+                ids, ends = gather(np.append(flat, np.uint32(SEPARATOR)), np.append(edges, edges[-1] + 1), codes)
+                text_ends = ends[last + np.arange(rows)]
+                n = np.diff(text_ends, prepend=0)
+                pieces = -(-n // cap)
+                of = np.repeat(np.arange(rows), pieces)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                size = np.minimum(cap, n[of] - nth * cap)
+                past = text_ends[of] - n[of] + nth * cap + size
+                view = memoryview(ids.astype("<u4").tobytes())
+                crc.append(np.array([zlib.crc32(view[4 * (p - k) : 4 * p]) for p, k in zip(past.tolist(), size.tolist(), strict=True)], np.int64))
+                source.append(of + lo)
+                piece.append(nth)
+                begin.append(nth * cap)
+                length.append(size)
+            join = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
+            columns = [join(piece, pa.int32()), *(join(x, pa.int64()) for x in (begin, length, crc))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(join(source, pa.int64())), *columns], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -129,19 +105,19 @@ def _place_batches(shared):
 def best_fit_packing(docs: DataFrame, tokenizer: str, cap: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = settled(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_piece_batches(tokenizer, cap), schema))
+    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_piece_batches(tokenizer, cap), schema)
+    pieces = settled(pieces.withColumn("row", F.monotonically_increasing_id()))  # written once: the numbers stay
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # cap rows at most
     counts = np.zeros(cap + 1, np.int64)
     for r in histogram:
         counts[r["length"]] = r["n"]
-    parts = min(1024, max(64, -(-int(counts.sum()) // PART_ROWS)))
-    ties = ["doc_id", "piece", "ids_crc32"]
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(*ties), F.lit(parts)).cast("int"))
-    # cap x 1024 rows at most
+    parts = F.array(*(F.lit(max(1, -(-int(n) // PART_ROWS))) for n in counts))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.element_at(parts, F.col("length").cast("int") + 1)).cast("int"))
+    # a row for PART_ROWS pieces, and one for each length
     sizes = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("length", "part").orderBy(*ties)) - 1
+    inner = F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1
     ranked = dealt.withColumn("inner", inner).join(offsets, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("inner") + F.col("before")).cast("long").alias("rank"))
     shared = docs.sparkSession.sparkContext.broadcast(rank_ranges(counts, cap))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.frames import documents
-from dossier.llm.pieces import ChunkEncoder, chunk_spans, distinct_chunks, gather
+from dossier.llm.pieces import ChunkEncoder, chunk_spans, cut_points, distinct_chunks, flattened, gather
 from dossier.llm.token_counts import tokenizer_path
 from dossier.llm.words import slices, texts_of
 
@@ -52,10 +52,16 @@ class PieceCoder:
                 self.byte_ids[value], self.text[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece], self.rank[piece], self.text[i] = i, -model.get_score(i), piece.replace(MARK, " ").encode()
+        #: bytes of all ids in one array, and where each id's begin
+        texts = [self.text.get(i, b"") for i in range(model.get_piece_size())]
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.byte_edges = np.append(0, np.cumsum([len(t) for t in texts]))
         self.matcher = ahocorasick.Automaton()
         for piece in self.ids:
             self.matcher.add_word(piece, piece)
         self.matcher.make_automaton()
+        #: white space that a piece has after another character (here a carriage return) doesn't begin a chunk
+        self.cuts = cut_points(piece.replace(MARK, " ") for piece in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.shorter: dict[str, str | None] = {}
 
@@ -143,8 +149,8 @@ class PieceCoder:
 def coder(path: str) -> tuple[PieceCoder, ChunkEncoder]:
     own = PieceCoder(path)
 
-    def encode(chunks: list[bytes]) -> list[np.ndarray]:
-        return [np.array(own.encode_marked(c.decode().replace(" ", MARK)), np.uint32) for c in chunks]
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([own.encode_marked(c.decode().replace(" ", MARK)) for c in chunks])
 
     return own, ChunkEncoder(encode)
 
@@ -160,12 +166,12 @@ def _encode_batches(path: str):
             counts, id_sums, text_sums = [], [], []
             for lo, hi in slices(at_all, SLICE):
                 raw, offsets = raw_all[at_all[lo] : at_all[hi]], at_all[lo : hi + 1] - at_all[lo]
-                start, end = chunk_spans(raw, offsets, with_space=True)
+                start, end = chunk_spans(raw, offsets, own.cuts)
                 codes, chunks = distinct_chunks(raw, start, end)
-                parts = chunk_ids(chunks)
-                ids, id_ends = gather(parts, codes)
-                back = [np.frombuffer(b"".join([own.text[int(i)] for i in p]), np.uint8) for p in parts]
-                plain, plain_ends = gather(back, codes)
+                flat, edges = chunk_ids(chunks)
+                ids, id_ends = gather(flat, edges, codes)
+                plain, plain_ends = gather(own.bytes, own.byte_edges, ids)
+                plain_ends = np.append(0, plain_ends)[id_ends]  # by chunk
                 first = np.searchsorted(start, offsets)
                 id_at, plain_at = np.append(0, id_ends)[first], np.append(0, plain_ends)[first]
                 blob, marked = raw.tobytes(), MARK.encode()

@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.frames import documents, settled, shared_dir
+from dossier.llm.frames import documents, removed, settled, shared_dir
 from dossier.llm.pieces import ChunkEncoder, chunk_spans, distinct_chunks
 from dossier.llm.words import slices, texts_of
 
@@ -63,18 +63,18 @@ def load_tokenizer(path: str):
 def _counter(path: str) -> ChunkEncoder:
     tokenizer = load_tokenizer(path)
 
-    def encode(chunks: list[bytes]) -> list[np.ndarray]:
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         done = tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.array([len(e)]) for e in done]
+        return np.array([len(e) for e in done], np.uint32), np.arange(len(done) + 1)
 
     return ChunkEncoder(encode)
 
 
 def count_slice(raw: np.ndarray, offsets: np.ndarray, path: str) -> np.ndarray:
-    """Tokens of each text of the slice."""
-    start, end = chunk_spans(raw, offsets, with_space=True)
+    """Tokens of each text of the slice; byte-level vocabularies part words before white space, whatever stands there."""
+    start, end = chunk_spans(raw, offsets)
     codes, chunks = distinct_chunks(raw, start, end)
-    sizes = np.array([int(x[0]) for x in _counter(path)(chunks)], np.int64)
+    sizes, _ = _counter(path)(chunks)
     total = np.zeros(len(start) + 1, np.int64)
     np.cumsum(sizes[codes], out=total[1:])
     out = np.diff(total[np.searchsorted(start, offsets)])
@@ -114,9 +114,12 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, limit: int = TOKEN
     distinct = keyed.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     misses = distinct.join(stored.select("content"), "content", "left_anti")
     texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"), content.alias("content"))
-    wanted = texts.join(misses.filter("doc_id is not null"), ["doc_id", "content"]).select("content", "text")
+    # rows that repeat both are combined before the exchange
+    single = texts.filter("doc_id is not null").groupBy("doc_id", "content").agg(F.first("text").alias("text"))
+    wanted = single.join(misses.filter("doc_id is not null"), ["doc_id", "content"]).select("content", "text")
     # a digest that only rows without doc_id have is found by its content
-    nameless = texts.filter("doc_id is null").join(misses.filter("doc_id is null").select("content"), "content", "left_semi")
+    unnamed = texts.filter("doc_id is null").groupBy("content").agg(F.first("text").alias("text"))
+    nameless = unnamed.join(misses.filter("doc_id is null").select("content"), "content", "left_semi")
     counted = wanted.unionByName(nameless.select("content", "text")).mapInArrow(_count_batches(tokenizer), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # texts of one digest are equal, so repeated cache rows (two writers at once) agree
@@ -126,4 +129,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, limit: int = TOKEN
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own for each call: what it costs is the cost of a cold cache."""
-    return token_counts(documents(spark, sf_dir), f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}", tokenizer_path("byte_bpe_50k.json"))
+    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    out = token_counts(documents(spark, sf_dir), cache, tokenizer_path("byte_bpe_50k.json"))
+    removed(spark, cache)  # the result rests on checkpoints
+    return out

@@ -7,6 +7,7 @@ and lead bytes are all above 0x7F, so the byte view and the character view of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,7 @@ U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SLICE_BYTES = 2 << 20
+LONG_SPAN = 256
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,14 +100,21 @@ def byte_table(seed: int) -> np.ndarray:
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-    """64-bit hash of each byte span, from one running polynomial sum."""
+    """64-bit hash of each byte span: from one running polynomial sum, from BLAKE2 where the span is long.
+
+    Sums modulo 2^64 have colliding spans of some hundred bytes for any base (Thue-Morse words).
+    """
     if not len(start):
         return np.zeros(0, U64)
     base = (0x2545F4914F6CDD1D + 2 * seed) | 1
     up, down = powers(base, len(raw) + 1)
     total = np.zeros(len(raw) + 1, U64)
     np.cumsum(byte_table(seed)[raw] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    out = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(end - start >= LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=salt).digest(), "little")
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
