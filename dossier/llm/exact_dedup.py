@@ -1,47 +1,56 @@
 """Exact dedup by a heavy-hitter split.
 
-Every text is reduced to the SHA-256 of its bytes without white space. A
-Misra-Gries summary per task finds digests that hold more than 1/(k+1) of the
-rows; at most k of them exist. Their groups are aggregated exactly (verified),
-the winners are broadcast and those rows are settled on the map side. All other
-digests go through an ordinary shuffle, where no key can be hot any more.
+Every text is reduced to the SHA-256 of its bytes without white space, in the
+JVM. A Misra-Gries summary per task finds digests that hold more than 1/(k+1) of
+the rows; at most k of them exist. Their groups are aggregated exactly
+(verified), the winners are broadcast and those rows are settled on the map
+side. All other digests go through an ordinary shuffle, where no key can be hot
+any more.
 
 Defined results: a null text counts as empty, so null, empty and blank texts
-are one group. Rows are known by doc_id: repeated rows of one doc_id add to
-group_size and share one verdict; a null doc_id loses ties. Extra columns of
-the input are not read. An empty table gives an empty result.
+are one group. One row of each group is kept: most code points, then smallest
+doc_id (null last), then smallest text digest; of rows that are alike in all of
+these, the first in the order read. Extra columns are carried by without_copies
+and not read otherwise, whatever their names. Texts of any length pass as they
+are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dossier.llm.frames import documents, settled
 
 HEAVY_COUNTERS = 4096
-_BLANKS = b" \t\n\x0b\x0c\r"
+BLANKS = " \t\n\x0b\x0c\r"
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, points = [], []
-        for text in batch.column(1).cast(pa.large_binary()):
-            raw = text.as_py() or b""
-            points.append(len(raw.decode()))
-            digests.append(hashlib.sha256(raw.translate(None, _BLANKS)).digest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(points, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "n_points", "digest"]
-        )
+def normalised(text: Column) -> Column:
+    out = F.coalesce(text, F.lit(""))
+    for blank in BLANKS:
+        out = F.replace(out, F.lit(blank), F.lit(""))
+    return out
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+
+
+def _order(text: Column, doc_id: Column) -> Column:
+    """What decides within a group, smallest first."""
+    return F.struct(
+        (-F.length(F.coalesce(text, F.lit("")))).cast("long").alias("points"), doc_id.isNull().alias("unnamed"), doc_id.alias("doc_id"), F.xxhash64(text).alias("as_written")
+    )
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digest_batches, "doc_id long, n_points long, digest binary")
+    """(doc_id, digest, rank) of each row; rank decides within a digest, its last field the row's number as written."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), _digest(F.col("text")).alias("digest"), _order(F.col("text"), doc_id).withField("row", F.monotonically_increasing_id()).alias("rank"))
 
 
 def misra_gries(counters: int):
@@ -68,41 +77,42 @@ def heavy_digests(rows: DataFrame, total: int, counters: int = HEAVY_COUNTERS) -
 
 
 def _winners(rows: DataFrame) -> DataFrame:
-    order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))
-    return rows.groupBy("digest").agg(F.min_by("doc_id", order).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return rows.groupBy("digest").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
+
+
+def heavy_winners(rows: DataFrame, counters: int) -> DataFrame:
+    """(digest, best, group_size) of the digests that are heavy, `counters` rows at most."""
+    heavy = F.broadcast(heavy_digests(rows, rows.count(), counters))
+    return settled(_winners(rows.join(heavy, "digest", "left_semi")))
 
 
 def exact_dedup(docs: DataFrame, counters: int = HEAVY_COUNTERS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row."""
     rows = settled(text_digests(docs))
-    heavy = F.broadcast(heavy_digests(rows, rows.count(), counters))
-    verified = settled(_winners(rows.join(heavy, "digest", "left_semi")))
-    marked = rows.join(F.broadcast(verified), "digest", "left")
-    rest = marked.filter("group_size is null").select("digest", "doc_id", "n_points")
-    columns = ["doc_id", "keep_id", "group_size", "digest"]
+    marked = rows.join(F.broadcast(heavy_winners(rows, counters)), "digest", "left")
+    rest = marked.filter("group_size is null").select("digest", "doc_id", "rank")
+    columns = ["doc_id", "rank", "best", "group_size", "digest"]
     resolved = marked.filter("group_size is not null").select(*columns).union(rest.join(_winners(rest), "digest").select(*columns))
     return resolved.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
-
-
-def _with_digest(text_at: int, name: str = "_digest"):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = [hashlib.sha256((x.as_py() or b"").translate(None, _BLANKS)).hexdigest() for x in batch.column(text_at).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, name])
-
-    return run
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rank.row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
 
 
 def without_copies(docs: DataFrame, counters: int = HEAVY_COUNTERS) -> DataFrame:
-    """The rows of docs, all columns, that exact_dedup keeps; of rows that repeat a kept doc_id and text, one."""
-    digest, kept_id, first = (free_name(docs, n) for n in ("digest", "kept_id", "first"))
-    kept = exact_dedup(docs, counters).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(f"{digest}_")).distinct()
-    marked = docs.mapInArrow(_with_digest(docs.columns.index("text"), digest), _plus(docs, digest))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(f"{digest}_"))
-    order = Window.partitionBy("doc_id", digest).orderBy(F.length("text").desc_nulls_last(), F.col("text"))
-    one = marked.join(kept, same, "left_semi").withColumn(first, F.row_number().over(order)).filter(F.col(first) == 1)
+    """The rows of docs, all columns, that exact_dedup keeps.
+
+    Rows of heavy digests that their broadcast winner beats go on the map side.
+    The others meet once, by digest; each task sends one row of a digest at most.
+    """
+    digest, rank, best, place = (free_name(docs, n) for n in ("digest", "rank", "best", "place"))
+    doc_id = F.col("doc_id").cast("long")
+    heavy = heavy_winners(settled(text_digests(docs)), counters)
+    # rows are read anew here, so they are matched by all of the rank but its row number
+    known = heavy.select(F.col("digest").alias(f"{digest}_"), F.col("best").dropFields("row").alias(best))
+    marked = docs.withColumns({digest: _digest(F.col("text")), rank: _order(F.col("text"), doc_id)})
+    left = marked.join(F.broadcast(known), F.col(digest) == F.col(f"{digest}_"), "left").filter(F.col(best).isNull() | (F.col(best) == F.col(rank)))
+    order = Window.partitionBy(digest).orderBy(rank)
+    one = left.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
     return one.select(*(f"`{c}`" for c in docs.columns))
 
 
@@ -113,10 +123,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return f"_{name}"
 
 
-def _plus(docs: DataFrame, name: str) -> T.StructType:
-    return T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
-
-
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -126,8 +132,7 @@ WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS pts
   FROM documents),
 w AS (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY pts DESC, doc_id) AS keep_id,
-         count(*) OVER (PARTITION BY text_sha256) AS group_size
-  FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
+  SELECT *, first_value(doc_id) OVER g AS keep_id, row_number() OVER g = 1 AS kept, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM n WINDOW g AS (PARTITION BY text_sha256 ORDER BY pts DESC, doc_id))
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM w
 """
