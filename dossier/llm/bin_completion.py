@@ -13,14 +13,16 @@ packing found so far stands.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 #: (items of each size in the bin, how many such bins)
 Pattern = tuple[tuple[tuple[int, int], ...], int]
-#: Steps (items tried in a filling, and a quarter for each size left at a node) that one call may spend in all.
+#: Steps that one call may spend in all: one for an item tried in a filling, NODE_STEPS and a quarter for each size left at a node.
 SEARCH_STEPS = 300_000
+NODE_STEPS = 20
 
 
 def lower_bound(counts: np.ndarray, cap: int) -> int:
@@ -105,7 +107,10 @@ def _dominated(filling: tuple[int, ...], slack: int, others: int) -> bool:
 class _Search:
     def __init__(self, counts: np.ndarray, cap: int, steps: int):
         self.counts, self.cap, self.steps = counts.astype(np.int64).copy(), cap, steps
-        self.failed: dict[bytes, int] = {}
+        self.failed: dict[bytes, int] = {}  # digest of the counts left: most waste that didn't do
+
+    def _state(self) -> bytes:
+        return hashlib.blake2b(self.counts, digest_size=16).digest()
 
     def fillings(self, room: int, waste: int) -> Iterator[tuple[int, ...]]:
         """Undominated fillings of a room that leave `waste` at most: least waste first, larger items first."""
@@ -115,7 +120,7 @@ class _Search:
             if room <= waste:
                 yield ()
             return
-        self.steps -= len(sizes) // 4
+        self.steps -= NODE_STEPS + len(sizes) // 4
         reach = _reachable(sizes, counts, room)
         available = sum(1 << s for s in sizes)
 
@@ -161,7 +166,8 @@ class _Search:
             if choice is None:
                 stack.pop()
                 if path:
-                    self.failed[counts.tobytes()] = max(waste, self.failed.get(counts.tobytes(), -1))
+                    state = self._state()
+                    self.failed[state] = max(waste, self.failed.get(state, -1))
                     (content, times), lost = path.pop()
                     for s, k in content:
                         counts[s] += k * times
@@ -174,7 +180,7 @@ class _Search:
             waste -= lost
             if not counts.any():
                 return [p for p, _ in path]
-            hopeless = self.failed.get(counts.tobytes(), -1) >= waste
+            hopeless = self.failed.get(self._state(), -1) >= waste
             if not hopeless and len(path) % 4 == 0:
                 rest = int(counts @ np.arange(len(counts)))
                 hopeless = lower_bound(counts, cap) * cap - rest > waste
