@@ -79,13 +79,19 @@ def _sparse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def sparse_sample(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Targets, buckets and values of a bounded sample of rows (key, target, text), in order of the key."""
+    """Targets, buckets and values of a bounded sample of rows (key, target, text), one a key, in order of the key."""
     table = rows.mapInArrow(_sparse_batches, "key long, target double, buckets array<int>, values array<float>").orderBy("key").toArrow()
     columns = {c: table[c].combine_chunks() for c in ("buckets", "values")}
     lists = {c: [x.values.to_numpy() for x in columns[c]] for c in columns}
     return table["target"].to_numpy(), lists["buckets"], lists["values"]
 
 
+def one_text_a_key(docs: DataFrame, chosen: DataFrame, keep: str = "target") -> DataFrame:
+    """(key, `keep`, text) of the chosen keys: one row each, the smallest, however many rows share a key."""
+    rows = docs.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min(F.struct(keep, "text")).alias("row"))
+    return rows.select("key", f"row.{keep}", "row.text")
+
+
 def hash_sample(keys: DataFrame, most: int) -> DataFrame:
     """`most` rows at most, those with the smallest keyed hash of `key`: the same rows at any partitioning."""
     return keys.orderBy(F.xxhash64(F.lit(77), "key"), "key").limit(most)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.frames import documents
-from dossier.llm.hashed_linear import hash_sample
+from dossier.llm.hashed_linear import hash_sample, one_text_a_key
 from dossier.llm.words import SPACE, slices, texts_of
 
 TRAIN_ROWS = 3000
@@ -153,8 +153,8 @@ def fit(langs: list[str], buckets: list[np.ndarray], shares: list[np.ndarray], e
 
 def train_language_model(labelled: DataFrame, most: int = TRAIN_ROWS) -> LanguageModel | None:
     """From rows (key, lang, text); lang is never null."""
-    chosen = F.broadcast(hash_sample(labelled.select("key").filter("key is not null").distinct(), most))
-    table = labelled.join(chosen, "key").select("key", "lang", "text").mapInArrow(_bag_batches, "key long, lang string, buckets array<int>, shares array<float>").orderBy("key", "lang").toArrow()
+    chosen = hash_sample(labelled.select("key").filter("key is not null").distinct(), most)
+    table = one_text_a_key(labelled, chosen, "lang").mapInArrow(_bag_batches, "key long, lang string, buckets array<int>, shares array<float>").orderBy("key").toArrow()
     lists = {c: [x.values.to_numpy() for x in table[c].combine_chunks()] for c in ("buckets", "shares")}
     return fit(table["lang"].to_pylist(), lists["buckets"], lists["shares"])
 

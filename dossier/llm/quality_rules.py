@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.frames import documents
-from dossier.llm.hashed_linear import HashedLinear, hash_sample, sparse_sample, train
+from dossier.llm.hashed_linear import HashedLinear, hash_sample, one_text_a_key, sparse_sample, train
 from dossier.llm.text_stats import text_stats
 from dossier.llm.words import slices, texts_of
 
@@ -36,8 +36,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> H
     """The classifier of quality 1 against 0, from at most `most` labelled rows."""
     labelled = labels.filter("quality in (0, 1) and doc_id is not null")
     labelled = labelled.groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max("quality").cast("double").alias("target"))
-    chosen = F.broadcast(hash_sample(labelled, most))
-    return train(*sparse_sample(docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "key").select("key", "target", "text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return train(*sparse_sample(one_text_a_key(texts, hash_sample(labelled, most))))
 
 
 def _judge(model: HashedLinear | None, column: pa.Array, keep_at: float) -> dict[str, np.ndarray]:

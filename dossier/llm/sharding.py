@@ -2,14 +2,15 @@
 
 Rows are hashed to units. The driver draws, unit by unit, how many of its rows
 each shard gets: multivariate hypergeometric against the capacity that is left,
-so each shard ends at its exact size (units x shards numbers, 4096 x shards at
-most). A unit permutes its rows by a keyed hash and deals them out by those
+so each shard ends at its exact size (units x shards numbers; a unit has up to
+5 million rows, so 10^11 rows are 20,000 units). A unit permutes its rows by a keyed hash and deals them out by those
 counts; after the exchange each shard permutes again, in hashed blocks with
 exact offsets, so no task ever holds a shard.
 
 Defined results: law `rows`, counts at most one apart. A null text has size 8
-and CRC 0. Repeated rows each take a slot of their own. Equal texts aren't kept
-together. Extra columns aren't read; an empty table gives an empty result.
+and CRC 0. Rows are dealt by their number in the written table, so repeated rows
+are dealt independently and no two keys tie. A uniform deal with exact sizes
+parts equal texts: groups of equal texts are not kept together. Extra columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from dossier.llm.frames import documents, settled
 
 SHARDS = 24
+#: A unit holds UNIT_ROWS rows; beyond MANY_UNITS units they grow to LARGE_UNIT_ROWS before there are more of them.
 UNIT_ROWS = 50_000
-MOST_UNITS = 4096
+LARGE_UNIT_ROWS = 5_000_000
+MANY_UNITS = 4096
 LEAST_UNITS = 64
 _NUMPY_LIMIT = 900_000_000
 
@@ -67,18 +70,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 20_240_501, unit_ro
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each row."""
     spark, text = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    key = lambda salt: F.xxhash64(F.lit(seed + salt), "doc_id", "size", "text_crc32")
-    rows = settled(rows.withColumns({"first_key": key(1), "second_key": key(2)}))
+    rows = settled(rows.withColumn("row", F.monotonically_increasing_id()))  # written once: the numbers stay
     total = rows.count()
-    units = min(MOST_UNITS, max(LEAST_UNITS, -(-total // unit_rows)))
-    blocks = min(1024, max(4, -(-total // (shards * unit_rows))))
+    unit_rows = max(unit_rows, min(LARGE_UNIT_ROWS, total // MANY_UNITS))
+    units = max(LEAST_UNITS, -(-total // unit_rows))
+    blocks = max(4, -(-total // (shards * unit_rows)))
+    key = lambda salt: F.xxhash64(F.lit(seed + salt), "row")
+    rows = rows.withColumns({"first_key": key(1), "second_key": key(2)})
     rows = rows.withColumns({"unit": F.pmod(key(0), F.lit(units)).cast("int"), "block": F.pmod(F.shiftrightunsigned("second_key", 20), F.lit(blocks)).cast("int")})
-    counted = sorted((r["unit"], r["n"]) for r in rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect())  # MOST_UNITS rows at most
+    counted = sorted((r["unit"], r["n"]) for r in rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a unit: 20,000 for 10^11 rows
     matrix = np.cumsum(communication_matrix([n for _, n in counted], shards, seed), axis=1)
     dealt = spark.createDataFrame([(u, [int(x) for x in row]) for (u, _), row in zip(counted, matrix, strict=True)], "unit int, upto array<long>")
 
-    ties = ["doc_id", "size", "text_crc32"]
-    local = F.row_number().over(Window.partitionBy("unit").orderBy("first_key", *ties))
+    local = F.row_number().over(Window.partitionBy("unit").orderBy("first_key", "row"))
     placed = (
         rows.withColumn("r", local)
         .join(F.broadcast(dealt), "unit")
@@ -86,10 +90,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 20_240_501, unit_ro
         .drop("upto", "r", "unit", "first_key")
     )
     placed = settled(placed)
-    sizes = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))  # shards x 1024 rows at most
+    sizes = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))  # about a row a unit
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("shard", "block", before.alias("before"))
-    inner = F.row_number().over(Window.partitionBy("shard", "block").orderBy("second_key", *ties))
+    inner = F.row_number().over(Window.partitionBy("shard", "block").orderBy("second_key", "row"))
     return (
         placed.withColumn("inner", inner)
         .join(F.broadcast(offsets), ["shard", "block"])

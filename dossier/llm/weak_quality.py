@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.frames import documents, settled
-from dossier.llm.hashed_linear import hash_sample, sparse_sample, train
+from dossier.llm.hashed_linear import hash_sample, one_text_a_key, sparse_sample, train
 from dossier.llm.text_stats import text_stats
 from dossier.llm.words import slices, texts_of
 
@@ -114,8 +114,8 @@ def weak_quality(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     posterior = dict(zip([r["votes"] for r in seen], map(float, post), strict=True))
     known = docs.sparkSession.createDataFrame([*posterior.items()], "votes string, target double")
     keys = voted.filter("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.max("votes").alias("votes"))
-    chosen = F.broadcast(hash_sample(keys, most).join(F.broadcast(known), "votes").select("key", "target"))
-    sample = rows.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "key").select("key", "target", "text")
+    chosen = hash_sample(keys, most).join(F.broadcast(known), "votes").select("key", "target")
+    sample = one_text_a_key(rows.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")), chosen)
     shared = docs.sparkSession.sparkContext.broadcast((train(*sparse_sample(sample)), posterior))
     return rows.mapInArrow(_score_batches(shared), "doc_id long, votes string, posterior double, score double, kept boolean")
 
