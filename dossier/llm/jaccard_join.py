@@ -6,7 +6,7 @@ Equal sets become one class first. Links among the classes come in two steps:
    of that key, so a group of thousands of near copies costs one comparison a
    member. Components of these links are known before anything else is opened.
 2. Token-group matrix. Classes are partitioned into groups of similar sets (a
-   component, or one min-hash, in parts of GROUP_SETS at most). The matrix holds
+   component, or one min-hash, in hashed parts of about GROUP_SETS). The matrix holds
    which tokens each group's union has. A query class probes it with its prefix
    tokens (rarest first; two sets with a Jaccard of 0.8 share one there), skips
    groups wholly inside its own component, and at each token only classes
@@ -16,7 +16,7 @@ Equal sets become one class first. Links among the classes come in two steps:
 
 Both steps only find true links, and step 2 misses none between components, so
 the components are exact. The token order comes from all classes: hash buckets
-count every token and answer with the logarithm of its count in 3 bits. Tokens
+count every token and answer with twice the logarithm of its count in 6 bits. Tokens
 of one class come first and are never probed, so a document that merely quotes
 a shared passage has nothing to ask.
 
@@ -49,6 +49,8 @@ SKETCH = 16
 STAR_KEYS = 3
 SKETCH_AGREES = 10
 GROUP_SETS = 64
+#: Enough for counts up to 2^31.
+RARITY_BITS = 6
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -125,7 +127,7 @@ def _send_tokens(bits: int):
 
 
 def _count_tokens(table: pa.Table) -> pa.Table:
-    """3 bits: 0 for a token of one class, else the logarithm of its count, 7 at most (tokens that look alike count as one)."""
+    """RARITY_BITS bits: 0 for a token of one class, else twice the logarithm of its count (tokens that look alike count as one)."""
     parts = [np.frombuffer(x, np.uint32) for x in table["packed"].to_pylist()]
     code = np.concatenate(parts)
     order = np.argsort(code >> np.uint32(1), kind="stable")
@@ -134,8 +136,8 @@ def _count_tokens(table: pa.Table) -> pa.Table:
     runs = np.diff(np.append(head, len(key)))
     count = runs + np.add.reduceat((code[order] & 1).astype(np.int64), head)
     level = np.zeros(len(code), np.int64)
-    level[order] = np.repeat(np.minimum(7, np.log2(count).astype(np.int64)), runs)
-    return _answers(1, table, [len(p) for p in parts], [(level >> b) & 1 for b in range(3)])
+    level[order] = np.repeat(np.minimum((1 << RARITY_BITS) - 1, (2 * np.log2(count)).astype(np.int64)), runs)
+    return _answers(1, table, [len(p) for p in parts], [(level >> b) & 1 for b in range(RARITY_BITS)])
 
 
 CLASS = "class binary, rep long, n long, sketch array<long>, probes array<long>, tokens array<long>"
@@ -143,7 +145,7 @@ CLASS = "class binary, rep long, n long, sketch array<long>, probes array<long>,
 
 def _keep_linked(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
     found, tokens, _, number = _tokens(table)
-    told = _told(answers, 1, len(tokens), 3)
+    told = _told(answers, 1, len(tokens), RARITY_BITS)
     level = sum(flags.astype(np.int8) << b for b, flags in enumerate(told))[number]
     at, rows = 0, []
     for name, rep, whole in found:
@@ -221,7 +223,7 @@ def matrix_links(linked: DataFrame, components: DataFrame) -> DataFrame:
     sets = linked.select("class", "tokens")
     opened = candidates.select("group").distinct()
     member = F.struct("rep", "n", "component", "probes", "tokens")
-    members = placed.join(opened, "group", "left_semi").join(sets, "class").groupBy("group").agg(F.collect_list(member).alias("members"))  # GROUP_SETS at most
+    members = placed.join(opened, "group", "left_semi").join(sets, "class").groupBy("group").agg(F.collect_list(member).alias("members"))  # about GROUP_SETS
     groups = settled(members.withColumn("union", F.array_distinct(F.flatten("members.tokens"))))
     query = placed.select("class", "rep", "n", "component", "probes").join(sets, "class")
     bounded = candidates.join(query, "class").join(groups, "group")
@@ -237,7 +239,7 @@ def matrix_links(linked: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of each row; class_id names the equal sets."""
+    """(doc_id, n_shingles, component_id, class_id) of each row; class_id is the smallest doc_id with an equal set."""
     rows = settled(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_profile_batches, "doc_id long, n long, class binary"))
     classes = settled(rows.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
     linked = linked_classes(docs, classes)
@@ -251,7 +253,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     components = connected_components(links.union(same))
     out = member.withColumn("vertex", F.coalesce("rep", "doc_id")).join(components, F.col("vertex") == components["id"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "vertex"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.lower(F.hex("class")).alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("rep").alias("class_id"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
@@ -263,3 +265,24 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+  FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) AS component_id,
+       CASE WHEN len(s.s) > 0 THEN min(s.doc_id) OVER (PARTITION BY s.s) END AS class_id
+FROM sets s LEFT JOIN reached r ON r.x = s.doc_id
+GROUP BY s.doc_id, s.s
+"""

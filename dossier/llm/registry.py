@@ -16,4 +16,4 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLE_SQL = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}

@@ -18,7 +18,9 @@ Batches and buckets grow with the square root of the input.
 Defined results: a null text has no words; texts below WINDOW words lose none.
 Rows with a null doc_id count as later than all others. Rows that repeat a
 doc_id are not smaller than each other and take nothing from each other. Extra
-columns are not read; an empty table gives an empty result.
+columns are not read; an empty table gives an empty result. Rows are dealt to
+batches by doc_id and place, so docs must be a table or checkpoint that every
+job reads alike; answers that don't fit their batch raise.
 """
 
 from __future__ import annotations
@@ -266,16 +268,22 @@ def _finish(with_text: bool):
 
 
 def plan_sizes(total_bytes: int) -> tuple[int, int]:
-    """(batches, bucket bits): 6 MB batches for small inputs, growing to 64 MB; buckets of about 2^17 windows, 64 or more a batch."""
+    """(batches, bucket bits).
+
+    Batches are 6 MB for small inputs and grow to 64 MB. A bucket has about 2^17
+    windows as long as a batch sends it 64 or more; from there on buckets grow to
+    2^24 windows (64 MB packed), and then a batch sends fewer to each.
+    """
     batch_bytes = min(64 << 20, max(6 << 20, int(6e6 * math.sqrt(total_bytes / 64e9))))
     windows = total_bytes / 6
-    buckets = min(windows / (1 << 17), batch_bytes / 6 / 64)
+    buckets = max(min(windows / (1 << 17), batch_bytes / 6 / 64), windows / (1 << 24))
     return max(64, math.ceil(total_bytes / batch_bytes)), max(8, math.ceil(math.log2(max(1, buckets))))
 
 
 def _swept(docs: DataFrame, with_text: bool) -> DataFrame:
     batches, bits = plan_sizes(volume(docs)[1])
-    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch")
+    # by the place of a row in the table, so that rows which repeat are dealt out as well
+    batch = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(batches)).cast("int").alias("batch")
     rest = F.struct(F.lit(None).cast("int").alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("rest")
     rows = docs.select(batch, F.col("doc_id").cast("long").alias("doc_id"), "text", *[rest] * with_text)
     by_batch = rows.groupBy("batch")
@@ -307,3 +315,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
+
+
+OP1_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+repeated AS (
+  SELECT v.doc_id, v.i FROM windows v JOIN (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h) f ON v.h = f.h AND f.first_id < v.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM repeated, range(50) AS t(k)),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
