@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.columns import ColumnOrName, col, text_or_blank
+from dossier.functions.columns import ColumnOrName, col, contains_any, text_or_blank
 from dossier.functions.text import collapse, is_yes
 
 LEAST_CHARS = 80
@@ -16,8 +16,11 @@ LEAST_SHARE = 0.25
 # Chunk types and labels that carry no requirement.
 NOISE_TYPES = ("separator", "toc")
 NOISE_LABELS = ("document_index",)
-# Titles that are notes, dates or placeholders.
-NOT_TITLES = ("(?i)^\\s*(?:n/?a|tbd|-+|none|nan)\\s*$", "(?i)^\\s*(?:remark|note|date)s?\\b.{0,12}$", "^\\s*[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}\\s*$", "(?i)internal (?:use|note)")
+# What marks a title as a date, an internal note or a placeholder.
+NOT_TITLES = ("(?iU)\\bpo\\s*기준\\b", "(?iU)\\bpo\\s*base(?:d)?\\b", "(?U)\\b\\d{1,2}\\s*월\\s*\\d{1,2}\\s*일\\b", "(?U)\\b\\d{4}[-./]\\d{1,2}[-./]\\d{1,2}\\b", "(?U)제출\\s*날짜", "플기팀|구매팀")
+PLACEHOLDERS = ("-", "--", "tbd", "n a", "na", "none", "null")
+MISSING = ("nan", "none", "null", "n/a")
+SHORT_NOTES = ("remark", "note", "date", "schedule 기준")
 
 
 def text_noise(df: DataFrame, text: str) -> DataFrame:
@@ -42,11 +45,14 @@ def touches_pages(pages: ColumnOrName, first: int | None, last: int | None) -> C
 
 
 def is_not_title(title: ColumnOrName) -> Column:
-    value = collapse(title)
-    out = value == ""
+    """Blank, a placeholder, a date or internal note, or a remark of two words at most."""
+    raw = collapse(title)
+    value = F.when(F.lower(raw).isin(*MISSING), "").otherwise(raw)
+    key = F.trim(F.regexp_replace(F.lower(value), "[^a-z0-9가-힣]+", " "))
+    out = (value == "") | key.isin(*PLACEHOLDERS)
     for pattern in NOT_TITLES:
         out = out | value.rlike(pattern)
-    return out
+    return out | ((F.size(F.split(value, " ")) <= 2) & contains_any(key, SHORT_NOTES))
 
 
 def split_rows(df: DataFrame, rejected: Column) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.columns import ladder, ordered_distinct, ordered_values, ranked, reasons
+from dossier.functions.columns import ColumnOrName, ladder, ordered_distinct, ordered_values, ranked, reasons
 from dossier.functions.text import collapse, title_id, title_key
 
 MERGED = {"project_names": " | ", "source_file": " | ", "document_no": " | ", "equipment": " ; ", "building": " ; ", "system": " ; ", "study_survey": " ; ", "others": " ; ", "deliverable": " ; "}
@@ -159,6 +159,60 @@ def package_of(text: Column, rules: Sequence[tuple[str, str]], otherwise: str =
     return ladder(*[(F.coalesce(text, F.lit("")).rlike(pattern), name) for name, pattern in rules], otherwise=otherwise)
 
 
+# Package, its section and what its equipment is called, first hit wins; short names; equipment that has no package.
+PACKAGES = (
+    ("GT / GTG", "GT Vendor Document List", ("gas turbine", r"\bgt\b", "gtg")),
+    ("ST / STG", "ST/STG Vendor Document List", ("steam turbine", r"\bst\b", "stg", "steam turbine generator")),
+    ("Pump", "Pump Vendor Document List", (r"\bpump\b", r"\bbfp\b", r"\bcep\b", r"\bcwp\b", r"\bccwp\b", "vacuum pump", "feed water pump", "boiler feed pump")),
+    ("Tank", "Tank Vendor Document List", (r"\btank\b", "deaerator")),
+    ("Air / Gas Package", "Air/Gas Package Vendor Document List", ("air compressor", "compressed air", "fuel gas compressor", "fuel gas conditioning", "gas treatment", "hydrogen generation", "industrial gas")),
+    ("Boiler / Heater / Cooler", "Boiler/Cooler Vendor Document List", ("boiler", "fin fan cooler", "air cooled heat exchanger", "heat exchanger", r"\bache\b")),
+    ("Electrical Major Equipment", "Electrical Major Equipment Vendor Document List", (
+        "transformer", "switchgear", "generator circuit breaker", r"\bgcb\b", r"\bgis\b", "air insulated switchgear", "motor control center", r"\bmcc\b", r"\bups\b", r"\bdc system\b", r"\bipbd\b", r"\bipb\b", "phase bus", r"\bais\b",
+    )),
+    ("Water Treatment Package", "Water Treatment Vendor Document List", ("water treatment", "waste water", r"\betp\b", r"\bswas\b", r"\bstp\b", r"\bows\b")),
+    ("Diesel Generator Package", "Diesel Generator Vendor Document List", ("blackstart diesel generator", "emergency diesel generator", r"\bbsedg\b", r"\bedg\b", "diesel generator")),
+    ("Cooling Tower Package", "Cooling Tower Vendor Document List", ("cooling tower",)),
+    ("Condenser / CTCS", "Condenser Vendor Document List", ("condenser tube cleaning", "^condenser$", "water box vacuum pump", r"\bctcs\b")),
+    ("Crane / Hoist Package", "Crane & Hoist Vendor Document List", ("crane", "hoist", "lifting device")),
+    ("Valve Package", "Valve Vendor Document List", ("valve", "control valve", "prds", "safety relief valve", r"\bmov\b")),
+    ("Instrument / Protection Package", "Instrument/Protection Vendor Document List", ("field instrument", "protection panel", "telecommunication panel", r"\bfms\b", "closed circuit television", r"\bcctv\b")),
+    ("Cable / Tray Package", "Cable Vendor Document List", ("cable tray", r"\bcable\b", "cable termination", "cable raceway", "fiber optic")),
+)
+SHORT_EQUIPMENT = (
+    ("Gas Turbine Generator", "GTG"), ("Steam Turbine Generator", "STG"), ("Generator Step[- ]Up Transformer", "GSUT"), ("Generator Circuit Breaker", "GCB"), ("Motor Control Center", "MCC"), ("Condensate Extraction Pump", "CEP"),
+    ("Boiler Feed Pump", "BFP"), ("Closed Cooling Water Pump", "CCWP"), ("Circulating Water Pump", "CWP"), ("Water Box Vacuum Pump", "WBVP"), ("Condenser Vacuum Pump", "CVP"),
+)
+EXCLUDED_EQUIPMENT = ("acc", "air cooled condenser", "hrsg", "heat recovery steam generator", "dcs", "balance of plant", "bop")
+PROJECT_QUALIFIERS = r"(?i)\s*\((?:[^)]*for\s+)?(?:block|unit|project)[^)]*\)|\(V\)|（V）|\[V\]|\[[^\]]+\]"
+
+
+def equipment_name(raw: ColumnOrName) -> Column:
+    """Without project qualifiers, known names in their short form."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(collapse(raw), PROJECT_QUALIFIERS, " "), "\\s+", " "))
+    out = F.regexp_replace(out, "^[ _/,-]+|[ _/,-]+$", "")
+    for name, short in SHORT_EQUIPMENT:
+        out = F.regexp_replace(out, f"(?i)\\b{name}\\b", short)
+    return out
+
+
+def _name_key(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(value), "[^a-z0-9가-힣]+", " "))
+
+
+def vendor_package(raw: ColumnOrName) -> Column:
+    """Struct (package, section, status) of an equipment name."""
+    key = _name_key(equipment_name(raw))
+    made = lambda p, s, how: F.struct(F.lit(p).alias("package"), F.lit(s).alias("section"), F.lit(how).alias("status"))
+    return ladder(*[(key.rlike("|".join(patterns)), made(package, section, "mapped_by_rule")) for package, section, patterns in PACKAGES], otherwise=made("Review Needed", "", "needs_review"))
+
+
+def excluded_equipment(raw: ColumnOrName) -> Column:
+    """Equipment that vendor packages leave out, by its name before shortening."""
+    bare = F.regexp_replace(collapse(raw), PROJECT_QUALIFIERS, " ")
+    return _name_key(bare).isin(*EXCLUDED_EQUIPMENT)
+
+
 KEEP_UPPER = ("P&ID", "HVAC", "UPS", "GT", "ST", "HRSG", "DCS")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.columns import ladder, ranked
+from dossier.functions.columns import ColumnOrName, ladder, ranked, text_or_blank
+from dossier.functions.text import expand_query_tokens, rule_tokens
 
 # Priority weights, families and systems that admit no substitute, tokens without identity.
 PRIORITY_WEIGHT = {1: 1.0, 2: 0.85, 3: 0.70}
@@ -18,10 +19,21 @@ STRUCTURED_LEAD = 1.05
 STRICT_FAMILIES = ("classification", "curve", "design_recommendation", "painting_specification", "foundation", "diagram", "procedure", "study")
 GENERIC_SUBTYPES = ("", "calculation", "data_sheet", "diagram", "drawing", "list", "manual", "procedure", "report", "specification", "technical_specification")
 EXCLUSIVE_SYSTEMS = ("fire_protection", "drainage", "cooling_tower")
-STOP_TOKENS = ("and", "data", "design", "drawing", "for", "general", "of", "sheet", "system", "systems", "technical", "the", "with")
+STOP_TOKENS = ("and", "for", "general", "document", "documents", "drawing", "drawings", "system", "systems", "technical", "with")
+# Abbreviations that a query's words spell out.
+FULL_NAMES = {
+    "heat recovery steam generator": "hrsg", "gas turbine generator": "gtg", "gas turbine": "gt", "steam turbine generator": "stg", "air cooled condenser": "acc",
+    "condensate extraction pump": "cep", "boiler feed pump": "bfp", "fuel gas package": "fgp", "balance plant": "bop",
+}
 COMPATIBLE_FAMILIES = (("specification", "datasheet"), ("specification", "description"), ("datasheet", "specification"), ("drawing", "diagram"), ("diagram", "drawing"))
 
 
+def query_tokens(document: ColumnOrName, equipment: ColumnOrName = "") -> Column:
+    """Tokens of a document and its equipment, with the abbreviations that they spell out."""
+    words = F.concat_ws(" ", text_or_blank(document), *([] if isinstance(equipment, str) and not equipment else [text_or_blank(equipment)]))
+    return expand_query_tokens(rule_tokens(words), FULL_NAMES)
+
+
 def rule_candidates(queries: DataFrame, rules: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     """(query_id, rule_id, token_score) of rules that share a meaningful token with a query.
 
@@ -139,14 +151,18 @@ def cells(left: DataFrame, right: DataFrame, system: str = "systems", phase: str
     return spread(left, "query_id").join(spread(right, "activity_id"), ["system", "phase"]).select("query_id", "activity_id").distinct()
 
 
-def cell_reason(df: DataFrame) -> Column:
-    """Why a structured lookup found nothing: has_index, n_systems, n_phases, phase_known, system_known, n_found."""
+def cell_reason_of(has_index: Column, n_systems: Column, n_phases: Column, system_known: Column, n_found: Column) -> Column:
+    """Why a structured lookup found nothing; blank where it found something."""
     return ladder(
-        (~F.col("has_index"), "structured_index_missing"), (F.col("n_systems") == 0, "no_system"), (F.col("n_phases") == 0, "no_phase"), (F.col("n_found") > 0, ""),
-        (~F.col("system_known"), "system_absent"), otherwise="phase_gap",
+        (~has_index, "structured_index_missing"), (n_systems == 0, "no_system"), (n_phases == 0, "no_phase"), (n_found > 0, ""), (~system_known, "system_absent"), otherwise="phase_gap",
     )
 
 
+def cell_reason(df: DataFrame) -> Column:
+    """The reason from the columns has_index, n_systems, n_phases, system_known and n_found of df."""
+    return cell_reason_of(*[df[c] for c in ("has_index", "n_systems", "n_phases", "system_known", "n_found")])
+
+
 def mapped(queries: DataFrame, mapping: DataFrame, keys: str = "mapping_keys", scopes: str = "scopes") -> DataFrame:
     """The first mapping row by key order, then scope order, then the wildcard scope.
 

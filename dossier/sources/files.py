@@ -23,29 +23,40 @@ SUBMISSION = {"for approval": "FA", "fa": "FA", "for construction": "FC", "fc":
 CHUNKS = "chunks array<struct<chunk_id string, page_num array<int>, section string, section_path array<int>, chunk_type string, label array<string>, hierarchy_context string, text string>>"
 
 
-def _decoded_rows(encoding: str, separator: str):
-    """Arrow mapper: (content) of whole files to rows (place, cells)."""
+def _rows_of(separator: str):
+    """Arrow mapper: (path, content) of whole files that aren't UTF-8 to rows (path, place, cells), by their own charset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = [*csv.reader(io.StringIO(content.decode(encoding, "replace"), newline=""), delimiter=separator)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["place", "cells"])
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    content.decode("utf-8")
+                    continue
+                except UnicodeDecodeError:
+                    rows = [*csv.reader(io.StringIO(content.decode(FALLBACK_ENCODING, "replace"), newline=""), delimiter=separator)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["path", "place", "cells"])
 
     return run
 
 
 def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """All columns as text, blanks and `nan` as null; files that are not UTF-8 are decoded as FALLBACK_ENCODING."""
+    """All columns as text, blanks and `nan` as null; a file that isn't UTF-8 is decoded as FALLBACK_ENCODING, the others are not."""
     df = spark.read.csv(path, header=True, sep=separator, multiLine=True, escape='"', encoding="utf-8")
-    broken = F.array(*[F.contains(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(BAD_CHARACTER)) for c in df.columns])
-    if any(BAD_CHARACTER in c for c in df.columns) or not df.filter(F.array_contains(broken, True)).isEmpty():
-        # Spark's reader has no such charset; whole files are decoded in Arrow batches
-        files = spark.read.format("binaryFile").load(path).select("content")
-        rows = files.mapInArrow(_decoded_rows(FALLBACK_ENCODING, separator), "place int, cells array<string>")
-        names = rows.filter("place = 0").first()["cells"]
-        df = rows.filter("place > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+    names = [c.lstrip("\ufeff").strip() for c in df.columns]
+    broken = F.exists(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]), lambda v: v.contains(BAD_CHARACTER))
+    marked = df.withColumns({"_path": F.col("_metadata.file_path"), "_broken": broken | F.lit(any(BAD_CHARACTER in c for c in df.columns))})
+    if not marked.filter("_broken").isEmpty():
+        # Spark's reader has no such charset; whole files of it are decoded in Arrow batches
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        rows = files.mapInArrow(_rows_of(separator), "path string, place int, cells array<string>")
+        heads = rows.filter("place = 0").select("path", F.transform("cells", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", ""))).alias("heads"))
+        # every file keeps its own header; the columns asked for are those of the first header by path
+        names = heads.orderBy("path").first()["heads"] if any(BAD_CHARACTER in c for c in df.columns) else names
+        own = rows.filter("place > 0").join(heads, "path").select(*[F.get("cells", F.array_position("heads", F.lit(n)).cast("int") - 1).alias(n) for n in names])
+        bad = rows.select("path").distinct()
+        good = marked.join(bad, F.regexp_replace("_path", "^file:/+", "/") == F.regexp_replace("path", "^file:/+", "/"), "left_anti").select(*[f"`{c}`" for c in df.columns]).toDF(*names)
+        df = good.unionByName(own)
+    df = df.toDF(*names)
     return df.select(*[blank_to_null(f"`{c}`").alias(c) for c in df.columns])
 
 
@@ -184,3 +195,50 @@ def graph_differences(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFr
     types = lambda df: df.select(F.lit("rel").alias("kind"), F.col("type").alias("name"))
     count = lambda g, n: labels(g[0]).union(types(g[1])).groupBy("kind", "name").agg(F.count(F.lit(1)).alias(n))
     return count(a, "left_n").join(count(b, "right_n"), ["kind", "name"], "full_outer").fillna(0, ["left_n", "right_n"]).filter("left_n <> right_n")
+
+
+def replaced(spark: SparkSession, path: str, df: DataFrame) -> int:
+    """Replace a stored table by df; the number of rows that were there before."""
+    held = table_or_none(spark, path)
+    before = 0 if held is None else held.count()
+    df.write.mode("overwrite").parquet(path)
+    return before
+
+
+def emptied(spark: SparkSession, path: str) -> int:
+    """Delete all rows of a stored table, keep its schema; the number of rows deleted."""
+    held = table_or_none(spark, path)
+    return 0 if held is None else replaced(spark, path, spark.createDataFrame([], held.schema))
+
+
+def write_csv_with_mark(df: DataFrame, folder: str, columns: list[str]) -> None:
+    """CSV files of the named columns, in order, absent ones blank, each file begun by a byte order mark (in its first header)."""
+    out = with_columns_of(df, columns).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns])
+    out.withColumnRenamed(columns[0], "\ufeff" + columns[0]).write.mode("overwrite").csv(folder, header=True, quoteAll=True, escape='"', emptyValue="")
+
+
+def write_json_document(df: DataFrame, folder: str, metadata: DataFrame, order: str) -> None:
+    """`{metadata, rows}` split for scale: metadata as one JSON line, rows as JSON lines in order."""
+    metadata.coalesce(1).write.mode("overwrite").json(f"{folder}/metadata")
+    df.orderBy(order).write.mode("overwrite").json(f"{folder}/rows")
+
+
+def chunk_documents(chunks: DataFrame, source: str, most: int) -> DataFrame:
+    """(document_id, source_path, max_tokens, chunk_count, chunks) of each document: the persisted chunk payload."""
+    fields = [c for c in chunks.columns if c != "document_id"]
+    listed = F.array_sort(F.collect_list(F.struct("place", *[c for c in fields if c != "place"])))
+    found = chunks.groupBy("document_id").agg(listed.alias("chunks"))
+    return found.select("document_id", F.concat(F.lit(source), F.col("document_id").cast("string")).alias("source_path"), F.lit(most).alias("max_tokens"), F.size("chunks").alias("chunk_count"), "chunks")
+
+
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of files that hold one JSON list each, beside CSV files of the same fields."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def sections_of_modes(files: DataFrame, prefix: str, suffix: str = ".csv") -> DataFrame:
+    """(section) of artifacts `mode/prefix<section>suffix` that every mode has; files: mode, name."""
+    named = files.filter(F.col("name").startswith(prefix) & F.col("name").endswith(suffix))
+    found = named.select("mode", F.expr(f"substring(name, {len(prefix) + 1}, length(name) - {len(prefix) + len(suffix)})").alias("section"))
+    modes = files.select("mode").distinct().agg(F.count(F.lit(1)).alias("modes"))
+    return found.groupBy("section").agg(F.count_distinct("mode").alias("n")).join(F.broadcast(modes), F.col("n") == F.col("modes")).select("section")

@@ -94,17 +94,17 @@ def workbooks(spark: SparkSession, folder: str) -> DataFrame:
 def register_titles(cells: DataFrame) -> DataFrame:
     """(source_file, sheet, row, document_no, title) below each sheet's header, repeated headers left out.
 
-    The header is the first of the top rows that has both a title and a number
-    column; sheets without one give no rows.
+    The header is the first of the top rows with a title column; a sheet without
+    one gives no rows, and one without a number column gives blank numbers.
     """
     upper = F.transform("cells", lambda c: F.upper(F.trim(c)))
     place = lambda names: F.array_max(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.array_position(F.col("u"), n)))
     marked = cells.withColumn("u", upper).withColumns({"t": place(TITLE_HEADERS), "n": place(NUMBER_HEADERS)})
-    is_header = (F.col("t") > 0) & (F.col("n") > 0)
-    heads = marked.filter(is_header & (F.col("row") <= HEADER_ROWS)).groupBy("source_file", "sheet").agg(F.min_by(F.struct("row", "t", "n"), "row").alias("h"))
-    body = marked.join(heads, ["source_file", "sheet"]).filter((F.col("row") > F.col("h.row")) & ~is_header)
-    cell = lambda at: F.trim(F.coalesce(F.get("cells", at - 1), F.lit("")))
-    return body.select("source_file", "sheet", "row", cell(F.col("h.n")).alias("document_no"), cell(F.col("h.t")).alias("title")).filter("title <> ''")
+    heads = marked.filter((F.col("t") > 0) & (F.col("row") <= HEADER_ROWS)).groupBy("source_file", "sheet").agg(F.min_by(F.struct("row", "t", "n"), "row").alias("h"))
+    body = marked.join(heads, ["source_file", "sheet"]).filter(F.col("row") > F.col("h.row"))
+    cell = lambda at: F.when(at > 0, F.trim(F.coalesce(F.get("cells", at - 1), F.lit("")))).otherwise("")
+    titles = body.select("source_file", "sheet", "row", cell(F.col("h.n")).alias("document_no"), cell(F.col("h.t")).alias("title"))
+    return titles.filter((F.col("title") != "") & ~F.upper("title").isin(*TITLE_HEADERS))
 
 
 def guide_schedule(cells: DataFrame) -> DataFrame:
