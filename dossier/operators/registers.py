@@ -149,8 +149,8 @@ def named_equipment(title: ColumnOrName, names: dict[str, str]) -> Column:
 def canonical_columns(df: DataFrame) -> DataFrame:
     """Adds canonical_equipment, _system, _building, _family, _subtype and _scope_text from the raw facets."""
     equipment = F.when(F.trim(text_or_blank("equipment")) != "", normalize_equipment("equipment")).otherwise(equipment_in("title"))
-    kind = deliverable_type(refine_deliverable("deliverable", "title"), "title")
-    df = df.withColumns({"canonical_equipment": equipment, "canonical_system": F.upper(collapse("system")), "canonical_building": F.upper(collapse("building")), "_kind": kind})
+    df = df.withColumns({"canonical_equipment": equipment, "canonical_system": F.upper(collapse("system")), "canonical_building": F.upper(collapse("building")), "_refined": refine_deliverable("deliverable", "title")})
+    df = df.withColumn("_kind", deliverable_type("_refined", "title")).drop("_refined")
     df = df.withColumns({"canonical_family": F.col("_kind.family"), "canonical_subtype": F.col("_kind.subtype")}).drop("_kind")
     return df.withColumn("canonical_scope_text", F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("canonical_equipment", "canonical_system", "canonical_building")]))
 
