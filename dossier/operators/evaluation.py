@@ -26,6 +26,20 @@ def recall_at_k(qrels: DataFrame, ranking: DataFrame, k: int, least: int = RELEV
     return out.withColumns({"recall": rate(F.round(F.col("hits") / F.col("positives"), 6)), "hit_rate": rate((F.col("hits") > 0).cast("double"))})
 
 
+def recall_of_classes(items: DataFrame, ranking: DataFrame, label: str, k: int) -> DataFrame:
+    """recall_at_k where every other item of a query's class is a positive: classes are counted, pairs are never made.
+
+    items: doc_id and the label; queries are items, too.
+    """
+    sizes = items.groupBy(label).agg((F.count(F.lit(1)) - 1).alias("positives"))
+    asked = ranking.select("query_id").distinct().join(items.withColumnRenamed("doc_id", "query_id"), "query_id").join(sizes, label)
+    top = ranking.filter((F.col("rank") <= k) & (F.col("query_id") != F.col("doc_id"))).select("query_id", "doc_id").join(items.select("doc_id", F.col(label).alias("_other")), "doc_id")
+    hits = top.join(asked.select("query_id", label), "query_id").groupBy("query_id").agg(F.count_if(F.col(label) == F.col("_other")).alias("hits"))
+    out = asked.select("query_id", "positives").join(hits, "query_id", "left").fillna(0, ["hits"])
+    some = F.col("positives") > 0
+    return out.withColumns({"recall": F.when(some, F.round(F.col("hits") / F.col("positives"), 6)), "hit_rate": F.when(some, (F.col("hits") > 0).cast("int").cast("double"))})
+
+
 def metric_summary(per_query: DataFrame) -> DataFrame:
     """Queries, those with positives, and means that leave nulls out."""
     return per_query.agg(F.count(F.lit(1)).alias("queries"), F.count("recall").alias("positive_queries"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg("hit_rate"), 6).alias("mean_hit_rate"))

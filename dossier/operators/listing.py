@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.columns import ColumnOrName, ladder, ordered_distinct, ordered_values, ranked, reasons
+from dossier.functions.columns import ColumnOrName, ladder, ordered_values, ranked, reasons
 from dossier.functions.text import collapse, title_id, title_key
 
+REQUIRED_BLOCK = 10_000
 MERGED = {"project_names": " | ", "source_file": " | ", "document_no": " | ", "equipment": " ; ", "building": " ; ", "system": " ; ", "study_survey": " ; ", "others": " ; ", "deliverable": " ; "}
 
 
@@ -20,9 +21,32 @@ def merge_titles(rows: DataFrame, title: str, position: str, merged: dict[str, s
     doc_id comes from the title.
     """
     rows = rows.filter(collapse(title) != "").withColumn("title_key", title_key(title))
-    values = [F.array_join(ordered_distinct(c, position), sep).alias(c) for c, sep in merged.items()]
-    out = rows.groupBy("title_key").agg(F.min_by(title, position).alias(title), F.min(position).alias("first_position"), F.count(F.lit(1)).alias("n_rows"), *values)
-    return out.withColumn("doc_id", title_id(title))
+    out = rows.groupBy("title_key").agg(F.min_by(title, position).alias(title), F.min(position).alias("first_position"), F.count(F.lit(1)).alias("n_rows"))
+    return with_group(out, joined_values(rows, ["title_key"], position, merged), ["title_key"]).withColumn("doc_id", title_id(title))
+
+
+def joined_values(rows: DataFrame, keys: Sequence[str], position: str, joined: Mapping[str, str]) -> DataFrame:
+    """keys and, for each column of `joined`, its non-blank distinct values by first position, joined by its separator.
+
+    Equal values of a group meet in a minimum before anything is gathered, so a
+    group holds its distinct values in memory and never its rows.
+    """
+    keys = list(keys)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in joined])
+    spread = rows.select(*keys, F.col(position).alias("_at"), F.explode(cells).alias("_c")).select(*keys, "_at", "_c.*")
+    firsts = spread.filter("value <> ''").groupBy(*keys, "column", "value").agg(F.min("_at").alias("_at"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("column") == c, F.struct("_at", "value")))), lambda x: x["value"])
+    gathered = firsts.groupBy(*keys).agg(*[F.array_join(listed(c), sep).alias(c) for c, sep in joined.items()])
+    return with_group(rows.select(*keys).distinct(), gathered, keys).fillna("", list(joined))
+
+
+def with_group(rows: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys, where null keys meet null keys."""
+    named = found.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in found.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def upsert_candidates(rows: DataFrame, identity: Sequence[Column], score: str, position: str, source: str, payload: Sequence[str]) -> DataFrame:
@@ -46,7 +70,9 @@ def identity_keys(doc_id: str, source: str, number: str, title: str) -> list[Col
 def duplicate_groups(rows: DataFrame, keys: list[str], unique: str, fields: list[str], sample: int = 3) -> DataFrame:
     """Groups of two or more: size, the first ids, and which fields differ inside."""
     kinds = [F.count_distinct(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"_{f}") for f in fields]
-    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(unique)), 1, sample).alias("samples"), *kinds).filter("n > 1")
+    placed = rows.withColumn("_r", ranked(keys, F.asc(unique)))  # only the first ids are gathered, however large the group
+    first = F.array_sort(F.collect_list(F.when(F.col("_r") <= sample, F.col(unique)))).alias("samples")
+    grouped = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), first, *kinds).filter("n > 1")
     return grouped.select(*keys, "n", "samples", F.array_join(reasons(*[(F.col(f"_{f}") > 1, f) for f in fields]), ";").alias("differing"))
 
 
@@ -81,11 +107,13 @@ def consolidate(rows: DataFrame, keys: list[str], position: str, joined: dict[st
 
     A context column that varies within a group becomes `General`.
     """
-    values = [F.array_join(ordered_distinct(c, position), sep).alias(c) for c, sep in joined.items()]
     agreed = [F.when(F.count_distinct(F.when(F.col(c) != "", F.col(c))) <= 1, F.coalesce(F.max(F.when(F.col(c) != "", F.col(c))), F.lit(""))).otherwise("General").alias(c) for c in context]
-    told = F.array_distinct(F.flatten(F.transform(ordered_values(status, position), lambda v: F.split(v, "; "))))
-    kept = F.filter(told, lambda v: (v != "") & (v != "OK"))
-    out = rows.groupBy(*keys).agg(*values, *agreed, F.when(F.size(kept) == 0, "OK").otherwise(F.array_join(kept, "; ")).alias(status), F.collect_set(position).alias("old_numbers"))
+    out = rows.groupBy(*keys).agg(*agreed, F.collect_set(position).alias("old_numbers"))
+    told = rows.select(*keys, position, F.posexplode(F.split(F.coalesce(F.col(status), F.lit("")), "; ")).alias("_i", "_told")).filter("_told <> 'OK'")
+    told = joined_values(told.withColumn("_place", F.struct(position, "_i")), keys, "_place", {"_told": "; "})
+    out = with_group(with_group(out, joined_values(rows, keys, position, joined), keys), told, keys)
+    out = out.withColumn(status, F.when(F.coalesce("_told", F.lit("")) == "", "OK").otherwise(F.col("_told"))).drop("_told")
+    out = out.select(*keys, *joined, *context, status, "old_numbers")
     return numbered(out, [F.asc(k) for k in keys])
 
 
@@ -125,14 +153,18 @@ def add_if_absent(base: DataFrame, extra: DataFrame, keys: list[str]) -> DataFra
 def missing_pairs(required: DataFrame, titles: DataFrame, parts: list[str], title: str) -> DataFrame:
     """Required combinations that no title names: every part must be a substring.
 
-    required is a fixed small table; its rows go to every title (a nested loop
-    over a table of fixed size), and found ones are removed by an anti join.
+    Substrings have no key to meet on, so required rows go to every title, in
+    blocks of at most REQUIRED_BLOCK; found ones are removed by an anti join.
     """
     hit = None
     for p in parts:
         c = F.contains(F.lower(F.col(title)), F.lower(F.col(p)))
         hit = c if hit is None else hit & c
-    found = titles.select(title).join(F.broadcast(required), hit).select(*parts).distinct()
+    blocks, found = max(1, -(-required.count() // REQUIRED_BLOCK)), None
+    for b in range(blocks):
+        block = required.filter(F.pmod(F.xxhash64(*parts), F.lit(blocks)) == b)
+        some = titles.select(title).join(F.broadcast(block), hit).select(*parts).distinct()
+        found = some if found is None else found.unionAll(some)
     return required.join(found, parts, "left_anti")
 
 

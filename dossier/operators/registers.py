@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.columns import ColumnOrName, col, contains_any, ladder, ordered_distinct, ranked, text_or_blank
+from dossier.functions.columns import ColumnOrName, col, contains_any, ladder, ranked, text_or_blank
 from dossier.functions.text import collapse, slug
+from dossier.operators.listing import joined_values, with_group
 from dossier.functions.vocabulary import DELIVERABLE_WORDS, RULE_WORDS, Aliases, alias_pattern, deliverable_type, extract_deliverable, normalize_deliverable  # noqa: F401
 
 GENERIC_DELIVERABLES = ("", "SPECIFICATION", "TECHNICAL SPECIFICATION", "TECHNICAL SPECIFICATIONS")
@@ -252,8 +253,8 @@ def answers_by_id(rows: DataFrame, answers: DataFrame, key: str, defaults: dict[
 def consolidate_by_priority(rows: DataFrame, keys: Sequence[str], priority: dict[str, int], column: str, position: str, joined: dict[str, str]) -> DataFrame:
     """Groups with the strongest value of a column by priority and ordered distinct joins of others."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for p in priority.items() for x in p])[F.col(column)], F.lit(len(priority)))
-    values = [F.array_join(ordered_distinct(c, position), sep).alias(c) for c, sep in joined.items()]
-    return rows.groupBy(*keys).agg(F.min_by(column, F.struct(rank, F.col(position))).alias(column), *values)
+    best = rows.groupBy(*keys).agg(F.min_by(column, F.struct(rank, F.col(position))).alias(column))
+    return with_group(best, joined_values(rows, keys, position, joined), keys)
 
 
 def pool_pairs(pool: DataFrame, requirements: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,10 +11,11 @@ TAU_LOW, TAU_HIGH, TAU_DEFAULT = 0.40, 0.90, 0.70
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
-    """(value, n, percent), blanks as EMPTY; the total is a window over the few counted values."""
+    """(value, n, percent), blanks as EMPTY; the total is one row."""
     named = F.when(F.coalesce(F.trim(F.col(column)), F.lit("")) == "", "EMPTY").otherwise(F.col(column))
     counted = rows.groupBy(named.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 2))
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))
+    return counted.join(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col("n") / F.col("_total"), 2)).drop("_total")
 
 
 def reason_counts(rows: DataFrame, column: str, separator: str = ";") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,30 +17,114 @@ from dossier.functions.vocabulary import PHASE_BUCKETS
 K1, B = 1.5, 0.75
 RRF_K = 60
 BLOCK_BYTES = 32 << 20
+#: Queries whose tokens travel together; scores that one slice of a batch may hold; what rounding to six digits can move.
+QUERY_BLOCK = 2000
+SCORE_CELLS = 4_000_000
+SCORE_SLACK = 2e-6
+TOKEN_BYTE = np.zeros(256, bool)
+TOKEN_BYTE[48:58] = TOKEN_BYTE[97:123] = True
+
+
+def _asked(queries: DataFrame, query_id: str, query: str) -> DataFrame:
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(word_tokens(query)).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def token_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each run of a-z and 0-9 in the bytes of several texts."""
+    word = TOKEN_BYTE[raw]
+    change = np.zeros(len(raw) + 1, bool)
+    change[1:-1] = word[1:] != word[:-1]
+    change[offsets] = True
+    edges = np.flatnonzero(change)
+    start, end = edges[:-1], edges[1:]
+    inside = word[start] if len(raw) else np.zeros(0, bool)
+    start, end = start[inside], end[inside]
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def _kept(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, and of what rounding could still lift among them; equal scores go by id."""
+    found = np.flatnonzero(scores > 0)
+    if len(found) > k:
+        edge = np.partition(scores[found], len(found) - k)[len(found) - k]
+        found = found[scores[found] >= edge - SCORE_SLACK]
+    order = found[np.lexsort((ids[found], -scores[found]))]
+    head = np.flatnonzero(np.append(True, scores[order][1:] != scores[order][:-1])) if len(order) else np.zeros(0, int)
+    nth = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+    return order[nth < k]
+
+
+def _bm25_batches(tokens: list[str], idf: np.ndarray, query: np.ndarray, begin: np.ndarray, qtf: np.ndarray, names: list, average: float, k: int):
+    """Arrow mapper: (doc_id, lower-cased text) to the task's best rows of each query. Queries of token i are query[begin[i]:begin[i + 1]]."""
+    known = pa.array([t.encode() for t in tokens], pa.binary())
+
+    def score(column: pa.Array) -> np.ndarray:
+        texts = column.cast(pa.large_binary()).fill_null(b"")
+        at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        data = texts.buffers()[2]
+        raw = (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[at[0] : at[-1]]
+        start, end, row = token_spans(raw, at - at[0])
+        length = np.bincount(row, minlength=len(texts))
+        ends = np.cumsum(end - start)
+        packed = raw[np.repeat(start - (ends - (end - start)), end - start) + np.arange(ends[-1] if len(ends) else 0)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(packed))])
+        code = pc.index_in(words.cast(pa.binary()), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        posting, tf = np.unique(row[code >= 0] * len(tokens) + code[code >= 0], return_counts=True)
+        doc, token = np.divmod(posting, len(tokens))
+        weight = idf[token] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length[doc] / average))
+        n = begin[token + 1] - begin[token]
+        each = np.repeat(begin[token] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        place = query[each] * len(texts) + np.repeat(doc, n)
+        return np.bincount(place, np.repeat(weight, n) * qtf[each], minlength=len(names) * len(texts)).reshape(len(names), len(texts))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+        rows = max(1, SCORE_CELLS // max(1, len(names)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                batch = whole.slice(lo, rows)
+                found, ids = score(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+                for q in range(len(names)):
+                    s, i = np.append(best[q][0], found[q]), np.append(best[q][1], ids)
+                    take = _kept(s, i, k)
+                    best[q] = (s[take], i[take])
+        for q, (s, i) in enumerate(best):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(s), pa.int64()), pa.array(i), pa.array(s)], ["query_id", "doc_id", "score"])
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, token, tf, dl): counts are combined before the shuffle."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), word_tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return tokens.select("doc_id", "dl", F.explode("tokens").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return run
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str) -> DataFrame:
-    """(query_id, doc_id, score) of every pair with a common token; repeated query tokens count repeatedly.
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text: str, query_id: str, query: str) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query; repeated query tokens count repeatedly.
 
-    Only postings of tokens that a query names are kept: the semi join comes
-    before the counts. Corpus totals come from the same tokens.
+    Document frequencies are counted for asked tokens only. Queries go in blocks
+    of QUERY_BLOCK, whose tokens travel to the tasks; a document is scored where
+    it lies, and a task hands on its best rows only.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(word_tokens(query)).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), word_tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
-    total = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    terms = tokens.select("doc_id", "dl", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    counts = terms.groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    known = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = counts.join(known, "token").join(F.broadcast(total)).select("doc_id", "token", (idf * weight).alias("w"))  # total is one row
-    return weighted.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    asked = _asked(queries, query_id, query)
+    spread = docs.select(F.array_distinct(word_tokens(text)).alias("tokens"))
+    known = spread.select(F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size(word_tokens(text))), F.lit(1.0)).alias("avgdl")).first()
+    named = asked.join(known, "token")
+    blocks = max(1, -(-queries.select(query_id).distinct().count() // QUERY_BLOCK))
+    lowered, out = docs.select(F.col(doc_id).cast("long"), F.lower(text)), None
+    for b in range(blocks):
+        part = named.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("token", "query_id").toArrow()
+        if not part.num_rows:
+            continue
+        tokens, at = np.unique(np.array(part["token"].to_pylist(), object), return_inverse=True)
+        names, query_at = np.unique(part["query_id"].to_numpy(), return_inverse=True)
+        df = np.zeros(len(tokens))
+        df[at] = part["df"].to_numpy()
+        order = np.argsort(at, kind="stable")
+        begin = np.append(0, np.cumsum(np.bincount(at, minlength=len(tokens))))
+        idf = np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
+        found = lowered.mapInArrow(_bm25_batches(tokens.tolist(), idf, query_at[order], begin, part["qtf"].to_numpy()[order].astype(float), names.tolist(), float(total["avgdl"]), k), "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    return top_k(out.withColumn("score", F.round("score", 6)), k)
 
 
 def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "score", unique: str = "doc_id", rank: str = "rank") -> DataFrame:

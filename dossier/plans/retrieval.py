@@ -31,8 +31,7 @@ ct AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def keyword_ranking(t: Tables, k: int) -> DataFrame:
-    scores = R.bm25_scores(t.documents, t.benchmark, "doc_id", "text", "item_id", "text").withColumn("score", F.round("score", 6))
-    return R.top_k(scores, k)
+    return R.bm25_top_k(t.documents, t.benchmark, k, "doc_id", "text", "item_id", "text")
 
 
 def vector_ranking(t: Tables, k: int) -> DataFrame:
@@ -82,12 +81,16 @@ def label_ranking(t: Tables, k: int) -> DataFrame:
     """A second channel over vectors: nearest label first."""
     from dossier.functions.columns import ranked
 
+    from dossier.operators.listing import numbered
+
     labels = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("doc_label"))
-    nearest = labels.withColumn("_b", F.col("doc_label"))
     asked = labels.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("doc_label").alias("label"))
-    # labels are few: the k best of each label value are ranked once, then handed to its queries
-    values = asked.select("label").distinct()
-    best = values.join(nearest, how="cross").withColumn("rank", ranked(["label"], F.abs(F.col("label") - F.col("doc_label")), F.asc("doc_id"))).filter(F.col("rank") <= k)
+    # the k best of a label lie within k label values of it, and are among the first k of their own value
+    values = numbered(labels.select("doc_label").distinct(), [F.asc("doc_label")])
+    around = asked.select("label").distinct().join(values, F.col("label") == F.col("doc_label")).select("label", F.explode(F.sequence(F.col("no") - k, F.col("no") + k)).alias("no"))
+    first = labels.withColumn("_r", ranked(["doc_label"], F.asc("doc_id"))).filter(F.col("_r") <= k).drop("_r")
+    near = around.join(values, "no").join(first, "doc_label")
+    best = near.withColumn("rank", ranked(["label"], F.abs(F.col("label") - F.col("doc_label")), F.asc("doc_id"))).filter(F.col("rank") <= k)
     return asked.join(best, "label").select("query_id", "doc_id", "rank", F.lit(0.0).alias("score"))
 
 
@@ -177,17 +180,27 @@ pq AS (SELECT query_id, coalesce(positives, 0) AS positives, coalesce(hits, 0) A
 """
 
 
-def _judged(t: Tables) -> DataFrame:
-    same = t.embeddings.select(F.col("vec_id").alias("doc_id"), "label")
-    asked = same.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "label")
-    return asked.join(same, "label").filter("query_id <> doc_id").select("query_id", "doc_id", F.lit(3).alias("relevance"))
+def _recall(t: Tables) -> DataFrame:
+    return E.recall_of_classes(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), vector_ranking(t, 20), "label", 20)
 
 
 @query(RECALL + "SELECT * FROM pq")
 def recall_at_k(t: Tables) -> DataFrame:
-    return E.recall_at_k(_judged(t), vector_ranking(t, 20), 20)
+    return _recall(t)
+
+
+@query("""WITH q AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS doc_id, l_quantity::INT % 4 AS relevance FROM lineitem), k AS (SELECT query_id, doc_id, max(relevance) AS relevance FROM q GROUP BY ALL),
+r AS (SELECT l_orderkey AS query_id, l_partkey AS doc_id, max(l_extendedprice) AS s FROM lineitem GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM r),
+g AS (SELECT query_id, count(*) AS positives, count(*) FILTER (rank <= 2) AS hits FROM k JOIN rk USING (query_id, doc_id) WHERE relevance >= 3 GROUP BY 1)
+SELECT DISTINCT rk.query_id, coalesce(positives, 0) AS positives, coalesce(hits, 0) AS hits, CASE WHEN positives > 0 THEN round(hits / positives, 6) END AS recall, CASE WHEN positives > 0 THEN (hits > 0)::INT::DOUBLE END AS hit_rate FROM rk LEFT JOIN g USING (query_id)""")
+def recall_of_pairs(t: Tables) -> DataFrame:
+    """Parts of an order, ranked by price, against judged ones."""
+    parts = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), (F.col("l_quantity").cast("int") % 4).alias("relevance"), "l_extendedprice")
+    judged = parts.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance"))
+    scored = parts.groupBy("query_id", "doc_id").agg(F.max("l_extendedprice").alias("score"))
+    return E.recall_at_k(judged, R.top_k(scored, 1000), 2)
 
 
 @query(RECALL + "SELECT count(*) AS queries, count(recall) AS positive_queries, round(avg(recall), 6) AS mean_recall, round(avg(hit_rate), 6) AS mean_hit_rate FROM pq")
 def metric_summary(t: Tables) -> DataFrame:
-    return E.metric_summary(E.recall_at_k(_judged(t), vector_ranking(t, 20), 20))
+    return E.metric_summary(_recall(t))
