@@ -81,9 +81,15 @@ def _sparse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def sparse_sample(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Targets, buckets and values of a bounded sample of rows (key, target, text), one a key, in order of the key."""
     table = rows.mapInArrow(_sparse_batches, "key long, target double, buckets array<int>, values array<float>").orderBy("key").toArrow()
-    columns = {c: table[c].combine_chunks() for c in ("buckets", "values")}
-    lists = {c: [x.values.to_numpy() for x in columns[c]] for c in columns}
-    return table["target"].to_numpy(), lists["buckets"], lists["values"]
+    lists = {}
+    for c in ("buckets", "values"):
+        column = table[c].combine_chunks()
+        flat, edges = column.values.to_numpy().copy(), column.offsets.to_numpy()
+        lists[c] = np.split(flat[: edges[-1]], edges[1:-1]) if len(column) else []
+    targets = table["target"].to_numpy().copy()
+    del table, column
+    pa.default_memory_pool().release_unused()  # the driver keeps the arrays, not the transfer
+    return targets, lists["buckets"], lists["values"]
 
 
 def one_text_a_key(docs: DataFrame, chosen: DataFrame, keep: str = "target") -> DataFrame:

@@ -32,7 +32,7 @@ from dossier.llm.words import slices, texts_of
 CAPACITY = 2048
 SEPARATOR = 0
 SLICE = 8 << 20
-PART_ROWS = 20_000
+PART_ROWS = 2000
 _RANK_BITS = 44
 
 
