@@ -6,7 +6,7 @@ of an alias table. The tables hold fixed values of the domain.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -237,13 +237,21 @@ def normalize_deliverable(value: ColumnOrName) -> Column:
 def deliverable_type(deliverable: ColumnOrName, title: ColumnOrName) -> Column:
     """Struct (family, subtype): the first pattern in deliverable (as it is and as rules word it) and title; else `other` and a slug; blank stays blank."""
     parts = (text_or_blank(deliverable), normalize_deliverable(deliverable), extract_deliverable(title), text_or_blank(title))
-    text = key_text(F.concat_ws(" ", *parts))
     padded = [(family, subtype, [_plain(p) for p in patterns]) for family, subtype, patterns in FAMILIES]
     fallback = slug(F.coalesce(*[F.when(F.trim(p) != "", p) for p in parts[1:]], F.lit("")))
-    out = F.when(text == "", F.struct(F.lit("").alias("family"), F.lit("").alias("subtype")))
-    for family, subtype, patterns in padded:
-        out = out.when(contains_any(text, patterns), F.struct(F.lit(family).alias("family"), F.lit(subtype).alias("subtype")))
-    return out.otherwise(F.struct(F.lit("other").alias("family"), fallback.alias("subtype")))
+
+    def kind(text: Column) -> Column:
+        out = F.when(text == "", F.struct(F.lit("").alias("family"), F.lit("").alias("subtype")))
+        for family, subtype, patterns in padded:
+            out = out.when(contains_any(text, patterns), F.struct(F.lit(family).alias("family"), F.lit(subtype).alias("subtype")))
+        return out.otherwise(F.struct(F.lit("other").alias("family"), fallback.alias("subtype")))
+
+    return bound(key_text(F.concat_ws(" ", *parts)), kind)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _plain(pattern: str) -> str:
