@@ -65,7 +65,7 @@ def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def label_model(patterns: list[str], counts: list[int], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of good for each pattern, accuracy of each labeller when it votes)."""
+    """(posterior of good for each pattern, accuracy of each labeller when it votes); an abstention is no evidence."""
     v = np.array([["-0+".index(c) - 1 for c in p] for p in patterns], np.int8).reshape(len(patterns), len(LABELLERS))
     n = np.array(counts, float)
     post = np.clip(0.5 + v.sum(axis=1) / (2 * len(LABELLERS)), 0.05, 0.95)  # majority to begin with
