@@ -31,7 +31,7 @@ from dossier.llm.words import slices, texts_of
 
 CAPACITY = 2048
 SEPARATOR = 0
-SLICE = 8 << 20
+SLICE = 2 << 20
 PART_ROWS = 2000
 _RANK_BITS = 44
 

@@ -58,6 +58,7 @@ class WordRuns:
             self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
             for token, i in declared["model"]["vocab"].items():
                 self.ends_word[i] = token.endswith(suffix)
+        del declared
         self.encoder = ChunkEncoder(self._encode)
 
     @staticmethod

@@ -63,26 +63,36 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64, i < n; base is odd."""
+#: Odd base of all polynomial sums; what tells seeds apart is what they sum.
+BASE = 0x5851F42D4C957F2D
+LOW_BITS = 11
 
-    def run(b: int) -> np.ndarray:
-        out = np.ones(n, U64)
-        done = 1
-        while done < n:
-            step = min(done, n - done)
-            out[done : done + step] = out[:step] * U64(pow(b, done, 1 << 64))
-            done += step
-        return out
 
-    return run(base), run(pow(base, -1, 1 << 64))
+@lru_cache(maxsize=2)
+def _low_powers(base: int) -> np.ndarray:
+    return _run(base, 1 << LOW_BITS)
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
-    up, down = _powers(base, size)
-    return up[:n], down[:n]
+def _run(base: int, n: int) -> np.ndarray:
+    """base^i modulo 2^64, i < n."""
+    out = np.full(n, base, U64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=U64)
+
+
+def _high_powers(base: int, n: int) -> np.ndarray:
+    return _run(pow(base, 1 << LOW_BITS, 1 << 64), (n >> LOW_BITS) + 1)
+
+
+def powers(n: int) -> np.ndarray:
+    """BASE^i modulo 2^64, i < n, put together from two short tables: nothing of the input's length is kept."""
+    return (_high_powers(BASE, n)[:, None] * _low_powers(BASE)).ravel()[:n]
+
+
+def inverse_powers(at: np.ndarray, n: int) -> np.ndarray:
+    """BASE^-i modulo 2^64 for each i of `at`, all below n."""
+    inverse = pow(BASE, -1, 1 << 64)
+    return _high_powers(inverse, n)[at >> LOW_BITS] * _low_powers(inverse)[at & ((1 << LOW_BITS) - 1)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,11 +116,9 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     """
     if not len(start):
         return np.zeros(0, U64)
-    base = (0x2545F4914F6CDD1D + 2 * seed) | 1
-    up, down = powers(base, len(raw) + 1)
     total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(byte_table(seed)[raw] * up[:-1], out=total[1:])
-    out = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    np.cumsum(byte_table(seed)[raw] * powers(len(raw)), out=total[1:])
+    out = mix((total[end] - total[start]) * inverse_powers(start, len(raw)) + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
     salt = seed.to_bytes(8, "little")
     for i in np.flatnonzero(end - start >= LONG_SPAN):
         out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, salt=salt).digest(), "little")
@@ -122,11 +130,9 @@ def window_hashes(words: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
-    base = (0x5851F42D4C957F2D + 2 * seed) | 1
-    up, down = powers(base, len(words) + 1)
     total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[:n])
+    np.cumsum(mix(words ^ U64(seed)) * powers(len(words)), out=total[1:])
+    return mix((total[size:] - total[:-size]) * inverse_powers(np.arange(n), len(words)))
 
 
 def whole_windows(row: np.ndarray, size: int) -> np.ndarray:
