@@ -176,6 +176,85 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, vec_id: str, vec
     return top_k(out.withColumn("score", F.round("score", 6)), k)
 
 
+class VectorIndex:
+    """Approximate cosine search: every row lies in the cell of its nearest centroid; a query visits its nearest cells only.
+
+    Centroids come from k-means on at most SAMPLE rows (a keyed hash chooses);
+    all rows are assigned. How many cells a query visits is measured on the
+    sample: as many as hold WANTED of the true neighbours of JUDGED of its rows.
+    """
+
+    SAMPLE = 20_000
+    JUDGED, NEIGHBOURS, WANTED = 300, 10, 0.96
+
+    def __init__(self, centroids: np.ndarray, probes: int, vec_id: str, vector: str):
+        self.centroids, self.probes, self.vec_id, self.vector = centroids, probes, vec_id, vector
+
+    @classmethod
+    def fit(cls, corpus: DataFrame, vec_id: str, vector: str, cells: int | None = None, rounds: int = 12, seed: int = 3) -> VectorIndex:
+        chosen = corpus.filter(F.col(vector).isNotNull()).select(vector, vec_id).orderBy(F.xxhash64(F.lit(seed), vec_id), vec_id).limit(cls.SAMPLE).toArrow()
+        rows = _unit(np.array([np.asarray(v, float) for v in chosen[vector].to_pylist()]).reshape(chosen.num_rows, -1))
+        cells = cells or max(1, int(np.sqrt(len(rows))))
+        centroids = rows[np.random.default_rng(seed).permutation(len(rows))[:cells]]
+        for _ in range(rounds):
+            own = (rows @ centroids.T).argmax(axis=1)
+            sums = np.zeros_like(centroids)
+            np.add.at(sums, own, rows)
+            centroids = np.where(np.bincount(own, minlength=len(centroids))[:, None] > 0, _unit(sums), centroids)
+        judged = rows[: cls.JUDGED]
+        near = np.argsort(-(judged @ rows.T), axis=1)[:, : cls.NEIGHBOURS]
+        order = np.argsort(-(judged @ centroids.T), axis=1, kind="stable").argsort(axis=1)  # place of each cell among a query's visits
+        place = np.take_along_axis(order, (rows @ centroids.T).argmax(axis=1)[near], 1)
+        probes = 1 + int(np.quantile(place, cls.WANTED, method="higher")) if place.size else 1
+        return cls(centroids, probes, vec_id, vector)
+
+    def assigned(self, corpus: DataFrame) -> DataFrame:
+        """(cell, doc_id, vector) of every row; written by cell, a search reads only the cells that its queries visit."""
+        centroids = self.centroids
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    rows = _unit(np.stack([np.asarray(v, float) for v in batch.column(1).to_pylist()]))
+                    yield pa.RecordBatch.from_arrays([pa.array((rows @ centroids.T).argmax(axis=1), pa.int32()), batch.column(0), pa.array([*rows], pa.list_(pa.float64()))], ["cell", "doc_id", "vector"])
+
+        rows = corpus.select(F.col(self.vec_id).cast("long"), F.col(self.vector)).filter(F.col(self.vector).isNotNull())
+        return rows.mapInArrow(run, "cell int, doc_id long, vector array<double>")
+
+    def top_k(self, index: DataFrame, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """(query_id, doc_id, score, rank); queries in blocks of at most BLOCK_BYTES."""
+        wanted = queries.select(F.col(self.vec_id).cast("long").alias("id"), F.col(self.vector).alias("v")).filter("v is not null")
+        probes = min(len(self.centroids), probes or self.probes)
+        blocks = max(1, -(-wanted.count() * self.centroids.shape[1] * 8 // BLOCK_BYTES))
+        out = index.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+        for b in range(blocks):
+            part = wanted.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toArrow()
+            if part.num_rows:
+                matrix = _unit(np.stack([np.asarray(v, float) for v in part["v"].to_pylist()]))
+                visits = np.argsort(-(matrix @ self.centroids.T), axis=1, kind="stable")[:, :probes]
+                visited = index.filter(F.col("cell").isin(*np.unique(visits).tolist()))
+                out = out.unionAll(visited.mapInArrow(_cell_top(matrix, np.array(part["id"].to_pylist()), visits, k), out.schema))
+        return top_k(out.withColumn("score", F.round("score", 6)), k)
+
+
+def _cell_top(matrix: np.ndarray, ids: np.ndarray, visits: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, rows = batch.column(0).to_numpy(), np.stack([np.asarray(v, float) for v in batch.column(2).to_pylist()])
+            for c in np.unique(cell):
+                at, asking = np.flatnonzero(cell == c), np.flatnonzero((visits == c).any(axis=1))
+                if not len(asking):
+                    continue
+                scores = matrix[asking] @ rows[at].T
+                take = min(k, len(at))
+                best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asking], take)), batch.column(1).take(pa.array(at[best].ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query_id", "doc_id", "score"])
+
+    return run
+
+
 def reciprocal(rank: str, k: int = RRF_K) -> Column:
     return 1.0 / (k + F.col(rank))
 
