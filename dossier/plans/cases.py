@@ -173,3 +173,45 @@ def model_candidates(t: Tables) -> DataFrame:
     rows = [("full", "Layout", "Pump", None, None), ("no deliverable", " ", "Pump", None, None), ("no scope", "Layout", "", " ", None), ("code", "Layout", "SAU-1234-AB", None, None)]
     df = t.spark.createDataFrame(rows, "name string, deliverable string, equipment string, system string, building string")
     return C.needs_model(df).select("name", F.lit(True).alias("asked"))
+
+
+#: title, equipment, building, system, study, others, deliverable; then type, discipline, system, sub-system, equipment, scope and standard title.
+STANDARD_ROWS = (
+    (("Pump Layout", None, None, None, None, None, None), "Layout Drawing|Mechanical|Plant General System|General Area|Plant General|EPC|Plant General Layout Drawing"),
+    (("Any", "HRSG casing", None, "main steam", None, None, "Datasheet"), "Technical Data Sheet|Mechanical|Main Steam|General Area|HRSG Casing|Vendor|HRSG Casing Technical Data Sheet"),
+    (("Any", None, "control building", None, None, None, "Foundation"), "Foundation Drawing|Civil/Structural|Building / Structure System|Control Building|Control Building Structure|EPC|Control Building Structure Foundation Drawing"),
+    (("Short circuit study", None, None, None, "Short circuit", None, None), "Study|Electrical|Electrical Power System|Short Circuit|Electrical Network Model|EPC|Electrical Network Model Study"),
+    (("Manual for CVP", None, None, None, None, None, None), "Manual|General|Project General System|General Area|Condenser Vacuum Pump|Vendor|Condenser Vacuum Pump Manual"),
+    (("Inlet duct arrangement", "ACC", None, "nan", None, None, "GA drawing"), "General Arrangement Drawing|Mechanical|Equipment Package System|General Area|ACC|Vendor|ACC Inlet Duct Arrangement Drawing"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_text(found)})" for i, (_, found) in enumerate(STANDARD_ROWS)) + ") v(case_id, found)")
+def standard_ladders_by_hand(t: Tables) -> DataFrame:
+    from dossier.operators.standard_list import with_standard_facets
+
+    names = ("document_type", "discipline", "inferred_system", "sub_system", "inferred_equipment", "scope_type", "standard_title")
+    fields = ("title", "equipment", "building", "system", "study", "others", "deliverable")
+    df = t.spark.createDataFrame([(i, *row) for i, (row, _) in enumerate(STANDARD_ROWS)], "case_id int, " + ", ".join(f"{c} string" for c in fields))
+    return with_standard_facets(df).select("case_id", F.concat_ws("|", *names).alias("found"))
+
+
+@query("SELECT DISTINCT p_name, 16 AS size, true AS same FROM part")
+def embedding_of_equal_titles(t: Tables) -> DataFrame:
+    """Each distinct title is embedded once, whatever stands around it; a title and itself have cosine 1."""
+    from dossier.operators.providers import HashEmbedder, concept_similarity, embed_texts
+
+    titles = t.part.select("p_name").distinct().withColumn("other", F.concat(F.lit(" "), "p_name", F.lit(" ")))
+    vectors = embed_texts(titles, "p_name", HashEmbedder(16)).select("p_name", F.size("vector").alias("size"))
+    alike = concept_similarity(titles, "p_name", "other", HashEmbedder(16)).select("p_name", (F.round("concept_similarity", 6) == 1).alias("same"))
+    return vectors.join(alike, "p_name")
+
+
+@query("SELECT page_id, true AS bounded, true AS gapless FROM pages")
+def page_chunk_bounds(t: Tables) -> DataFrame:
+    """No chunk of a page exceeds the budget, and their numbers have no gap; a page without visible text has none."""
+    from dossier.operators.chunking import chunk_paragraphs, html_text
+
+    chunks = chunk_paragraphs(t.pages.select("page_id", html_text("html").alias("text")), "page_id", "text", 64)
+    checked = chunks.groupBy(F.col("doc_id").alias("page_id")).agg((F.max("token_count") <= 64).alias("bounded"), ((F.max("chunk_index") + 1 == F.count(F.lit(1))) & (F.min("chunk_index") == 0)).alias("gapless"))
+    return t.pages.select("page_id").join(checked, "page_id", "left").fillna(True, ["bounded", "gapless"])
