@@ -1,21 +1,110 @@
-"""`python -m dossier.cli QUERY FOLDER OUT`: run a registered query over a folder of tables and write Parquet."""
+"""Command line: registered queries, and the pipelines from files to files.
+
+    python -m dossier.cli query NAME FOLDER OUT     a registered query over a folder of tables
+    python -m dossier.cli list                      names of the queries
+    python -m dossier.cli titles FOLDER OUT         titles of the workbooks of a folder, one row a normalised title
+    python -m dossier.cli chunk PATH OUT [--most N] chunks of the text files below a path
+    python -m dossier.cli clean PATH OUT            chunk documents without their noise
+    python -m dossier.cli schedule DOCS RULES ACTIVITIES OUT [--floor DATE]
+                                                    dated rows with a quality from a register, a rule file and an activity file
+    python -m dossier.cli export CATALOG OUT TERM.. catalogue rows that name a term
+    python -m dossier.cli replace PATH INCOMING     replace a stored table; prints the rows that were there
+    python -m dossier.cli empty PATH                delete all rows of a stored table; prints how many
+"""
 
 from __future__ import annotations
 
+import argparse
 import sys
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from dossier.plans import registry
 
 
+def _titles(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.operators.listing import merge_titles
+    from dossier.sources.office import register_titles, workbooks
+
+    rows = register_titles(workbooks(spark, a.folder)).withColumn("position", F.struct("source_file", "sheet", "row"))
+    return merge_titles(rows, "title", "position", {"source_file": " | ", "document_no": " | "}).drop("first_position")
+
+
+def _chunk(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.operators.chunking import chunk_paragraphs
+
+    texts = spark.read.text(a.path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return chunk_paragraphs(texts, "path", "value", a.most)
+
+
+def _clean(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.sources.files import CHUNKS, cleaned_chunk_document
+
+    return cleaned_chunk_document(spark.read.schema(CHUNKS).json(a.path, multiLine=True))
+
+
+def _schedule(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.operators.providers import OverlapScorer
+    from dossier.operators.schedule import generate_schedule
+    from dossier.sources import files as S
+
+    docs = S.read_csv(spark, a.docs).withColumnsRenamed({"Title": "title", "Equipment": "equipment", "System": "system", "Building": "building", "Deliverable": "deliverable"})
+    docs = S.with_columns_of(docs, ["title", "equipment", "system", "building", "deliverable"]).withColumn("doc_id", F.xxhash64("title", "equipment", "system", "building", "deliverable")).dropDuplicates(["doc_id"])
+    rules = S.rules(spark, a.rules)
+    activities = S.activities(spark, a.activities).withColumn("activity_id", F.xxhash64("activity_id", "activity_name"))
+    out = generate_schedule(docs, rules, activities, OverlapScorer(), F.lit(a.floor).cast("date") if a.floor else None)
+    return out.select("doc_id", "title", "rule_id", "activity_id", "activity_name", "date_status", "fa_earliest", "fa_recommended", "fa_latest", "fc_earliest", "fc_recommended", "fc_latest", "schedule_quality")
+
+
+def _export(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.sources.files import export_catalog
+
+    table = spark.read.parquet(a.catalog)
+    words = [f.name for f in table.schema.fields if f.dataType.typeName() == "string"]
+    return export_catalog(table, a.terms, words, words)
+
+
+def parser() -> argparse.ArgumentParser:
+    out = argparse.ArgumentParser(prog="dossier", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    commands = out.add_subparsers(dest="command", required=True)
+
+    def command(name: str, *positional: str) -> argparse.ArgumentParser:
+        sub = commands.add_parser(name)
+        for p in positional:
+            sub.add_argument(p)
+        return sub
+
+    command("query", "name", "folder", "out")
+    command("list")
+    command("titles", "folder", "out")
+    command("chunk", "path", "out").add_argument("--most", type=int, default=512)
+    command("clean", "path", "out")
+    command("schedule", "docs", "rules", "activities", "out").add_argument("--floor")
+    command("export", "catalog", "out").add_argument("terms", nargs="+")
+    command("replace", "path", "incoming")
+    command("empty", "path")
+    return out
+
+
 def main(args: list[str]) -> int:
+    a = parser().parse_args(args)
     registry.load()
-    if len(args) != 3 or args[0] not in registry.QUERIES:
-        print(__doc__, "Queries:", *sorted(registry.QUERIES), sep="\n")
+    if a.command == "list":
+        print(*sorted(registry.QUERIES), sep="\n")
+        return 0
+    if a.command == "query" and a.name not in registry.QUERIES:
+        print(f"no query {a.name}; `list` names them", file=sys.stderr)
         return 2
-    from pyspark.sql import SparkSession
+    from dossier.sources import files
 
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    registry.QUERIES[args[0]](spark, args[1]).write.mode("overwrite").parquet(args[2])
+    if a.command in ("replace", "empty"):
+        print(files.emptied(spark, a.path) if a.command == "empty" else files.replaced(spark, a.path, spark.read.parquet(a.incoming)))
+        return 0
+    makers = {"titles": _titles, "chunk": _chunk, "clean": _clean, "schedule": _schedule, "export": _export}
+    df = registry.QUERIES[a.name](spark, a.folder) if a.command == "query" else makers[a.command](spark, a)
+    df.write.mode("overwrite").parquet(a.out)
     return 0
 
 
