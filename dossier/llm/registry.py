@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
+from dossier.llm import collocations, exact_dedup, jaccard_join, language_id, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_collocations": collocations.op12_collocations,
 }
-ORACLE_SQL = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+ORACLE_SQL = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op12_collocations": collocations.OP12_SQL}
