@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import collocations, exact_dedup, jaccard_join, language_id, packing, quality_rules, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
+from dossier.llm import centroid_clustering, collocations, exact_dedup, jaccard_join, language_id, packing, quality_rules, secret_scan, sentencepieces, sharding, substring_dedup, token_counts, weak_quality
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,14 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_centroid_clustering": centroid_clustering.op11_centroid_clustering,
     "op12_collocations": collocations.op12_collocations,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
+}
+ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
+    "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_centroid_clustering": centroid_clustering.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
-ORACLE_SQL = {"op1_substring_dedup": substring_dedup.OP1_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op12_collocations": collocations.OP12_SQL}
