@@ -10,9 +10,13 @@ gathers each bucket's class scores (embedding times softmax weights).
 
 Defined results: a null text or one without a letter is `und` with score 0.
 `accepted` is false where the calibrated score is below the threshold; the
-prediction itself is kept. With no labelled rows everything is `und`. Repeated
-rows give one row each; extra columns are not read; an empty table gives an
-empty result.
+prediction itself is kept. A text is scored by the subwords it has, however few;
+a single byte has none and gets the answer of the bias. Of equally likely
+languages the alphabetically first is named. With no labelled rows everything is
+`und`. A row without doc_id is predicted, is not held out and is never learned
+from; of rows that share one the alphabetically first language and text are
+learned from. Texts of any length are read whole. Repeated rows give one row
+each; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 FOLDS = 5
 ACCEPTED_PRECISION = 0.99
+#: A text of few subwords moves each of them far: its step is this much smaller by the square sum of its shares.
+SHORT_DAMPING = 16.0
 UNDETERMINED = "und"
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -43,15 +49,17 @@ ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 
 
 def subword_buckets(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, whether a subword of n bytes starts here, its bucket) for n = 2, 3, 4."""
-    x = FOLD[raw].astype(np.uint32)
+    """(n, whether a subword of n bytes may start here, its bucket) for n = 2, 3, 4 and every byte; the last ones reach into blanks."""
+    size = len(raw)
+    x = np.full(size + 3, 32, np.uint32)
+    x[:size] = FOLD[raw]
     gap = x == 32
-    code = x[:-1] * np.uint32(0x9E3779B1) ^ x[1:] * np.uint32(0x85EBCA6B)
-    ok = ~(gap[:-1] & gap[1:])
+    code = x[:size] * np.uint32(0x9E3779B1) ^ x[1 : size + 1] * np.uint32(0x85EBCA6B)
+    ok = ~(gap[:size] & gap[1 : size + 1])
     for n, factor in ((2, 0), (3, 0xC2B2AE35), (4, 0x165667B1)):
         if n > 2:
-            code = (code[:-1] * np.uint32(0x27D4EB2F)) ^ (x[n - 1 :] * np.uint32(factor))
-            ok = ok[:-1] & ~gap[n - 2 : len(gap) - 1] if n == 3 else ok[:-1] & ~gap[n - 2 : len(gap) - 1]
+            code = (code * np.uint32(0x27D4EB2F)) ^ (x[n - 1 : size + n - 1] * np.uint32(factor))
+            ok = ok & ~gap[n - 2 : size + n - 2]  # no gap but at the edges
         yield n, ok, ((code * np.uint32(0x27D4EB2F)) ^ np.uint32(n * 0x01000193)) * np.uint32(0x9E3779B1) >> np.uint32(16)
 
 
@@ -75,17 +83,16 @@ class LanguageModel:
     def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows, width = len(offsets) - 1, len(self.languages)
         sums, n = np.zeros((rows, width)), np.zeros(rows)
-        if len(raw) >= 4:
-            for size, ok, bucket in subword_buckets(raw):
-                at = np.flatnonzero(ok)
-                lo = np.searchsorted(at, offsets[:-1])
-                hi = np.maximum(lo, np.searchsorted(at, offsets[1:] - size + 1))
-                n += hi - lo
-                picked = self.scores[bucket[at]]
-                for c in range(width):
-                    total = np.zeros(len(at) + 1)
-                    np.cumsum(picked[:, c], out=total[1:], dtype=np.float64)
-                    sums[:, c] += total[hi] - total[lo]
+        for size, ok, bucket in subword_buckets(raw):
+            at = np.flatnonzero(ok)
+            lo = np.searchsorted(at, offsets[:-1])
+            hi = np.maximum(lo, np.searchsorted(at, offsets[1:] - size + 1))  # those that end within their text
+            n += hi - lo
+            picked = self.scores[bucket[at]]
+            for c in range(width):
+                total = np.zeros(len(at) + 1)
+                np.cumsum(picked[:, c], out=total[1:], dtype=np.float64)
+                sums[:, c] += total[hi] - total[lo]
         return sums / np.maximum(1, n)[:, None] + self.bias
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +108,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    if len(raw) < 4:
-        return np.zeros(0, np.int64), np.zeros(0)
-    found, n = np.unique(np.concatenate([b[ok] for _, ok, b in subword_buckets(raw)]), return_counts=True)
+    whole = [(ok[: max(0, len(raw) - size + 1)], b) for size, ok, b in subword_buckets(raw)]
+    found, n = np.unique(np.concatenate([b[: len(ok)][ok] for ok, b in whole]), return_counts=True)
     return found, n / max(1, n.sum())
 
 
@@ -127,9 +133,9 @@ def fit(langs: list[str], buckets: list[np.ndarray], shares: list[np.ndarray], e
     steps, done = epochs * len(used), 0
     for _ in range(epochs):
         for i in rng.permutation(used):
-            eta = rate * (1 - done / steps)
-            done += 1
             at, share = buckets[i], shares[i]
+            eta = rate * (1 - done / steps) / (1 + SHORT_DAMPING * float(share @ share))
+            done += 1
             hidden = share @ vectors[at]
             g = softmax(hidden @ soft + bias)
             g[y[i]] -= 1

@@ -4,13 +4,17 @@ Ten heuristic labellers vote good (1), bad (-1) or abstain (0) on each whole
 text. Counts of vote patterns over all rows (3^10 patterns at most) are all that
 expectation-maximisation needs: it estimates the class balance and each
 labeller's vote distribution for either class, hence a posterior for each
-pattern. Posterior labels of at most TRAIN_ROWS rows (a keyed hash chooses)
-train a hashed n-gram scorer, which then scores every text.
+pattern. Posterior labels of at most TRAIN_ROWS texts (a keyed hash of doc_id
+and text chooses) train a hashed n-gram scorer, which then scores every text. A
+sampled text carries the label of its own votes, whatever other texts its doc_id
+has.
 
 Defined results: null and blank texts get the votes of an empty text. Where one
-class never shows in the sample, the score is the posterior itself. Repeated
-rows give one row each; extra columns are not read; an empty table gives an
-empty result.
+class never shows in the sample, the score is the posterior itself. A score of
+KEEP_AT exactly is kept. Rows without doc_id count, are sampled and scored as
+any other. Texts of any length are read whole. Repeated rows give one row each
+and count as one in the sample; extra columns are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -61,7 +65,7 @@ def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         found = [votes(text_stats(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])) for lo, hi in slices(at)]
         signs = np.concatenate(found) if found else np.zeros((0, len(LABELLERS)), np.int8)
         patterns = pa.array(["".join("-0+"[v + 1] for v in row) for row in signs], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), patterns], ["doc_id", "votes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), patterns], ["key", "votes"])
 
 
 def label_model(patterns: list[str], counts: list[int], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +111,16 @@ def _score_batches(shared):
 
 def weak_quality(docs: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, votes, posterior, score, kept) of each row."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    voted = settled(rows.mapInArrow(_vote_batches, "doc_id long, votes string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    voted = settled(keyed.mapInArrow(_vote_batches, "key long, votes string"))
     seen = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()  # 3^10 rows at most
     post, _ = label_model([r["votes"] for r in seen], [r["n"] for r in seen])
     posterior = dict(zip([r["votes"] for r in seen], map(float, post), strict=True))
     known = docs.sparkSession.createDataFrame([*posterior.items()], "votes string, target double")
-    keys = voted.filter("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.max("votes").alias("votes"))
+    keys = voted.groupBy("key").agg(F.max("votes").alias("votes"))  # a key's texts are one text
     chosen = hash_sample(keys, most).join(F.broadcast(known), "votes").select("key", "target")
-    sample = one_text_a_key(rows.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")), chosen)
+    sample = one_text_a_key(keyed, chosen)
     shared = docs.sparkSession.sparkContext.broadcast((train(*sparse_sample(sample)), posterior))
     return rows.mapInArrow(_score_batches(shared), "doc_id long, votes string, posterior double, score double, kept boolean")
 
