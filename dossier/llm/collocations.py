@@ -2,14 +2,18 @@
 
 A shard is what one task reads of one language, up to SHARD_WORDS words; a
 longer text is a shard of its own size. In a shard, phrases grow by shift, AND
-and popcount (phrase_bitmaps.py); popcounts are summed over shards by Spark.
-Four passes over the texts: words, pairs of frequent words, longer phrases all
-of whose pairs are frequent, each summed under a 64-bit key; the keys that reach
-the support go into a Bloom filter that later passes prune with. The last pass
-follows only phrases that the filter lets through and sums them under their own
-text, so neither clashing keys nor the filter's false positives reach the
-result. The filter has 16 bits a key, FILTER_POWER at most (32 MB): beyond
-that many keys it prunes less and the result stays the same.
+and popcount (phrase_bitmaps.py); popcounts are summed over shards. Four passes
+over the texts: words, pairs of frequent words, longer phrases all of whose pairs
+are frequent, each summed under hashed keys; the keys that reach the support go
+into a Bloom filter that later passes prune with. The last pass follows only
+phrases that the filter lets through and sums them under their own text, so
+neither clashing keys nor the filter's false positives reach the result. The
+filter has 16 bits a key, 2^FILTER_POWER at most (32 MB): beyond that many keys
+it prunes less and the result stays the same.
+
+A shard sends its counts packed, one row for each bucket of keys; a bucket is
+merged in one Arrow call. Buckets are hashed and there is one for each
+BUCKET_BYTES of text, up to 2^20.
 
 A candidate's parts are frequent themselves, so their counts are joined from the
 same table. A longer phrase with the same count goes through phrases of every
@@ -29,23 +33,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dossier.llm.frames import documents, settled
-from dossier.llm.phrase_bitmaps import KEY_SHIFTS, LOWER, KeySet, Level, Shard, first_key, piece_words, word_hashes
-from dossier.llm.words import slices, texts_of
+from dossier.llm.frames import documents, settled, volume
+from dossier.llm.phrase_bitmaps import KEY_SHIFTS, LOWER, KeySet, Level, Shard, bucket_of, first_key, piece_words, spread, word_hashes
+from dossier.llm.words import U64, slices, texts_of
 
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 FILTER_POWER = 28
 #: The first cut of a language's ranking; each part hands on TOP rows at most.
 RANK_PARTS = 64
-SUMS = "key long, n long"
-PHRASES = "lang string, phrase string, len int, n long"
+#: Text whose phrases share a bucket, and the most buckets as a power of two.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 20
+PACKED = "bucket int, keys binary, counts binary"
+SPELT = "lang string, bucket int, phrases array<string>, counts array<long>"
+PHRASES = "lang string, phrase string, len int, a long"
 
 
 def lang_key(lang: str) -> int:
@@ -95,26 +103,38 @@ def read_words(batches: Iterator[pa.RecordBatch], spell: KeySet | None, most: in
     yield from held.items()
 
 
-def _sums(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+def _by_bucket(keys: np.ndarray, power: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys)."""
+    if not len(keys):
+        return
+    bucket = bucket_of(keys, power)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
+    for lo, hi in zip(edges, np.append(edges[1:], len(keys)), strict=True):
+        yield int(bucket[order[lo]]), order[lo:hi]
 
 
-def _count_words(most: int):
+def _packed(keys: np.ndarray, counts: np.ndarray, power: int) -> pa.RecordBatch:
+    rows = [(b, (keys[at] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), counts[at].astype(np.uint32).tobytes()) for b, at in _by_bucket(keys, power)]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "counts"])
+
+
+def _count_words(power: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, words in read_words(batches, None, most):
             shard = words.shard(lang_key(name), None)
-            yield _sums(shard.key, shard.n)
+            yield _packed(shard.key, shard.n, power)
 
     return run
 
 
-def _count_phrases(shared, lengths: tuple[int, ...], most: int):
+def _count_phrases(shared, lengths: tuple[int, ...], power: int, most: int):
     """Popcounts of each shard's phrases of these lengths, all of whose words and (beyond two words) pairs are in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for name, words in read_words(batches, None, most):
-            shard, out = words.shard(lang_key(name), known), []
+            shard, keys, counts = words.shard(lang_key(name), known), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
 
             def wanted(length: int, new: Level, old: Level) -> np.ndarray:
                 if length == 1 or length in lengths and length == 2:
@@ -122,49 +142,76 @@ def _count_phrases(shared, lengths: tuple[int, ...], most: int):
                 return known.has(shard.pair_keys(old.last[new.parent], new.last))
 
             def seen(length: int, new: Level) -> None:
-                if length in lengths and len(new.key):
-                    out.append(_sums(new.key, new.count))
+                if length in lengths:
+                    keys.append(new.key)
+                    counts.append(new.count)
 
             shard.follow(max(lengths), wanted, seen)
-            yield from out
+            yield _packed(np.concatenate(keys), np.concatenate(counts), power)
 
     return run
 
 
-def _spell_phrases(shared, longest: int, most: int):
-    """(lang, phrase, its length, popcount) of each shard's phrases in the filter, and the number of its words as length 0."""
+def _spell_phrases(shared, longest: int, power: int, most: int):
+    """Texts and popcounts of each shard's phrases in the filter, one row a bucket; the number of its words under the empty phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for name, words in read_words(batches, known, most):
             shard = words.shard(lang_key(name), known)
             spelt = [words.spelt.get(h) for h in shard.words.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([""]), pa.array([0], pa.int32()), pa.array([shard.size], pa.int64())], ["lang", "phrase", "len", "n"])
-            text, out = {}, []
+            open_texts, texts, keys, counts = {}, [""], [np.zeros(1, U64)], [np.array([shard.size])]
 
             def wanted(length: int, new: Level, old: Level) -> np.ndarray:
                 return known.has(new.key)
 
             def seen(length: int, new: Level) -> None:
-                if length == 1:
-                    text[1] = [spelt[w] for w in new.last.tolist()]
-                else:
-                    text[length] = [f"{text[length - 1][p]} {spelt[w]}" for p, w in zip(new.parent.tolist(), new.last.tolist(), strict=True)]
-                if len(new.key):
-                    n = len(new.key)
-                    out.append(pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(text[length], pa.string()), pa.array([length] * n, pa.int32()), pa.array(new.count, pa.int64())], ["lang", "phrase", "len", "n"]))
+                last = [spelt[w] for w in new.last.tolist()]
+                open_texts[length] = last if length == 1 else [f"{open_texts[length - 1][p]} {w}" for p, w in zip(new.parent.tolist(), last, strict=True)]
+                texts.extend(open_texts[length])
+                keys.append(new.key)
+                counts.append(new.count)
 
             shard.follow(longest, wanted, seen)
-            yield from out
+            phrases, n, rows = pa.array(texts, pa.string()), np.concatenate(counts), [*_by_bucket(np.concatenate(keys), power)]
+            columns = [pa.array([name] * len(rows)), pa.array([b for b, _ in rows], pa.int32()), _lists(phrases, rows), _lists(pa.array(n, pa.int64()), rows)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "phrases", "counts"])
+
+    return run
+
+
+def _lists(values: pa.Array, rows: list[tuple[int, np.ndarray]]) -> pa.ListArray:
+    edges = np.cumsum([0, *(len(at) for _, at in rows)])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values.take(pa.array(np.concatenate([at for _, at in rows]))))
+
+
+def _merge_keys(support: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table[c]]) for c in ("keys", "counts"))
+        order = np.argsort(keys)
+        edges = np.flatnonzero(np.append(True, np.diff(keys[order]) > 0))
+        found = keys[order[edges]][np.add.reduceat(counts[order], edges, dtype=np.int64) >= support]
+        return pa.table({"key": pa.array(spread(np.full(len(found), table["bucket"][0].as_py()), found).view(np.int64))})
+
+    return run
+
+
+def _merge_phrases(support: int):
+    def run(table: pa.Table) -> pa.Table:
+        flat = pa.table({c: table[c].combine_chunks().flatten() if table[c].num_chunks < 2 else pa.concat_arrays([x.flatten() for x in table[c].chunks]) for c in ("phrases", "counts")})
+        total = flat.group_by("phrases").aggregate([("counts", "sum")])
+        total = total.filter(pc.or_(pc.greater_equal(total["counts_sum"], support), pc.equal(total["phrases"], "")))
+        words = pc.if_else(pc.equal(total["phrases"], ""), 0, pc.add(pc.count_substring(total["phrases"], " "), 1)).cast(pa.int32())
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()] * total.num_rows, pa.string()), "phrase": total["phrases"], "len": words, "a": total["counts_sum"]})
 
     return run
 
 
-def frequent_keys(sums: DataFrame, support: int) -> DataFrame:
-    return settled(sums.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= support).select("key"))
+def frequent_keys(packed: DataFrame, support: int) -> DataFrame:
+    return settled(packed.groupBy("bucket").applyInArrow(_merge_keys(support), "key long"))
 
 
-def key_set(keys: DataFrame, most: int = FILTER_POWER) -> KeySet:
+def key_set(keys: DataFrame, buckets: int = 0, most: int = FILTER_POWER) -> KeySet:
     """The filter of all keys, put together by Spark in parts of 4 KB; 2^most bits reach the driver at most."""
     n = keys.count()
     power = min(most, max(16, int(16 * n).bit_length()))
@@ -176,21 +223,22 @@ def key_set(keys: DataFrame, most: int = FILTER_POWER) -> KeySet:
         found = np.frombuffer(bytes(part["bits"]), np.uint8)
         at = (part["part"] - 1) * len(found)
         bits[at : at + len(found)] = found[: len(bits) - at]
-    return KeySet(bits, power)
+    return KeySet(bits, power, buckets)
 
 
 def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_words: int = SHARD_WORDS, power: int = FILTER_POWER) -> DataFrame:
     """(lang, phrase, len, a): exact counts of all phrases of `support` occurrences or more; len 0 has a language's words."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
-    keys = frequent_keys(rows.mapInArrow(_count_words(shard_words), SUMS), support)
+    buckets = min(MOST_BUCKETS, (volume(rows)[1] // BUCKET_BYTES).bit_length())
+    keys = frequent_keys(rows.mapInArrow(_count_words(buckets, shard_words), PACKED), support)
     for lengths in ((2,), tuple(range(3, longest + 1))):
         if lengths and max(lengths) <= longest:
-            shared = context.broadcast(key_set(keys, power))
-            keys = keys.unionByName(frequent_keys(rows.mapInArrow(_count_phrases(shared, lengths, shard_words), SUMS), support))
-    shared = context.broadcast(key_set(keys, power))
-    spelt = rows.mapInArrow(_spell_phrases(shared, longest, shard_words), PHRASES)
-    return spelt.groupBy("lang", "phrase", "len").agg(F.sum("n").alias("a")).filter((F.col("len") == 0) | (F.col("a") >= support))
+            shared = context.broadcast(key_set(keys, buckets, power))
+            keys = keys.unionByName(frequent_keys(rows.mapInArrow(_count_phrases(shared, lengths, buckets, shard_words), PACKED), support))
+    shared = context.broadcast(key_set(keys, buckets, power))
+    spelt = rows.mapInArrow(_spell_phrases(shared, longest, buckets, shard_words), SPELT)
+    return spelt.groupBy("lang", "bucket").applyInArrow(_merge_phrases(support), PHRASES)
 
 
 def exact_score(a: Column, n: Column, left: Column, right: Column) -> Column:
