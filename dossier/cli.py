@@ -5,7 +5,7 @@
     python -m dossier.cli titles FOLDER OUT         titles of the workbooks of a folder, one row a normalised title
     python -m dossier.cli chunk PATH OUT [--most N] chunks of the text files below a path
     python -m dossier.cli clean PATH OUT            chunk documents without their noise
-    python -m dossier.cli schedule DOCS RULES ACTIVITIES OUT [--floor DATE]
+    python -m dossier.cli schedule DOCS RULES ACTIVITIES OUT [--floor DATE] [--mapping FILE] [--mode text|structured|hybrid]
                                                     dated rows with a quality from a register, a rule file and an activity file
     python -m dossier.cli export CATALOG OUT TERM.. catalogue rows that name a term
     python -m dossier.cli replace PATH INCOMING     replace a stored table; prints the rows that were there
@@ -45,16 +45,18 @@ def _clean(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def _schedule(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    from dossier.operators.providers import OverlapScorer
-    from dossier.operators.schedule import generate_schedule
+    from dossier.operators.providers import HashEmbedder, OverlapScorer
+    from dossier.operators.schedule import CANDIDATE, FIELDS, generate_schedule
     from dossier.sources import files as S
 
-    docs = S.read_csv(spark, a.docs).withColumnsRenamed({"Title": "title", "Equipment": "equipment", "System": "system", "Building": "building", "Deliverable": "deliverable"})
-    docs = S.with_columns_of(docs, ["title", "equipment", "system", "building", "deliverable"]).withColumn("doc_id", F.xxhash64("title", "equipment", "system", "building", "deliverable")).dropDuplicates(["doc_id"])
+    docs = S.read_csv(spark, a.docs).withColumnsRenamed({"Title": "title", "Equipment": "equipment", "System": "system", "Building": "building", "Deliverable": "deliverable", "Status": "candidate_status", "Match_Score": "match_score"})
+    docs = S.with_columns_of(docs, [*FIELDS, *CANDIDATE]).withColumn("doc_id", F.abs(F.xxhash64(*FIELDS) % (1 << 61))).dropDuplicates(["doc_id"])
     rules = S.rules(spark, a.rules)
     activities = S.activities(spark, a.activities).withColumn("activity_id", F.xxhash64("activity_id", "activity_name"))
-    out = generate_schedule(docs, rules, activities, OverlapScorer(), F.lit(a.floor).cast("date") if a.floor else None)
-    return out.select("doc_id", "title", "rule_id", "activity_id", "activity_name", "date_status", "fa_earliest", "fa_recommended", "fa_latest", "fc_earliest", "fc_recommended", "fc_latest", "schedule_quality")
+    mapping = S.domain_mapping(spark, a.mapping) if a.mapping else None
+    out = generate_schedule(docs, rules, activities, OverlapScorer(), HashEmbedder(), mapping=mapping, mode=a.mode, floor=F.lit(a.floor).cast("date") if a.floor else None)
+    records = [c for c in out.columns if c.startswith(("rule_match_", "activity_match_"))]
+    return out.select("doc_id", "title", "rule_id", "activity_id", "activity_name", "resolution", *records, "date_status", "fa_earliest", "fa_recommended", "fa_latest", "fc_earliest", "fc_recommended", "fc_latest", "schedule_quality")
 
 
 def _export(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -80,7 +82,10 @@ def parser() -> argparse.ArgumentParser:
     command("titles", "folder", "out")
     command("chunk", "path", "out").add_argument("--most", type=int, default=512)
     command("clean", "path", "out")
-    command("schedule", "docs", "rules", "activities", "out").add_argument("--floor")
+    schedule = command("schedule", "docs", "rules", "activities", "out")
+    schedule.add_argument("--floor")
+    schedule.add_argument("--mapping")
+    schedule.add_argument("--mode", default="hybrid", choices=("text", "structured", "hybrid"))
     command("export", "catalog", "out").add_argument("terms", nargs="+")
     command("replace", "path", "incoming")
     command("empty", "path")

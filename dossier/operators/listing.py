@@ -25,6 +25,42 @@ def merge_titles(rows: DataFrame, title: str, position: str, merged: dict[str, s
     return with_group(out, joined_values(rows, ["title_key"], position, merged), ["title_key"]).withColumn("doc_id", title_id(title))
 
 
+def title_state(rows: DataFrame, title: str, position: str, merged: Sequence[str]) -> DataFrame:
+    """What merge_titles keeps of a title, in a form that further rows can be merged into.
+
+    One row a normalised title: title_key, its earliest spelling, first_position,
+    n_rows, and `cells`: each column's distinct values with their first position.
+    Positions of all registers are of one order (a number of the register first).
+    """
+    rows = rows.filter(collapse(title) != "").withColumn("title_key", title_key(title))
+    base = rows.groupBy("title_key").agg(F.min_by(title, position).alias("title"), F.min(position).alias("first_position"), F.count(F.lit(1)).alias("n_rows"))
+    spread = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in merged])
+    cells = rows.select("title_key", F.col(position).alias("at"), F.explode(spread).alias("c")).select("title_key", "c.*", "at").filter("value <> ''")
+    return with_group(base, _first_cells(cells), ["title_key"])
+
+
+def _first_cells(cells: DataFrame) -> DataFrame:
+    """(title_key, cells) from (title_key, column, value, at): equal values meet before they are gathered."""
+    firsts = cells.groupBy("title_key", "column", "value").agg(F.min("at").alias("at"))
+    return firsts.groupBy("title_key").agg(F.array_sort(F.collect_list(F.struct("column", "at", "value"))).alias("cells"))
+
+
+def merged_states(held: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    """One state of the rows of both, without any of them: earliest spelling, summed counts, first positions."""
+    if held is None:
+        return incoming
+    both = held.unionByName(incoming)
+    base = both.groupBy("title_key").agg(F.min_by("title", "first_position").alias("title"), F.min("first_position").alias("first_position"), F.sum("n_rows").alias("n_rows"))
+    return with_group(base, _first_cells(both.select("title_key", F.explode("cells").alias("c")).select("title_key", "c.*")), ["title_key"])
+
+
+def titles_of(state: DataFrame, merged: Mapping[str, str]) -> DataFrame:
+    """The rows that merge_titles gives: each column's values in order of first position, joined by its separator."""
+    cells = F.coalesce("cells", F.array().cast("array<struct<column:string,at:bigint,value:string>>"))
+    values = lambda c: F.array_join(F.transform(F.array_sort(F.transform(F.filter(cells, lambda x: x["column"] == c), lambda x: F.struct(x["at"].alias("at"), x["value"].alias("value")))), lambda x: x["value"]), merged[c])
+    return state.select("title_key", "title", "first_position", "n_rows", *[values(c).alias(c) for c in merged], title_id("title").alias("doc_id"))
+
+
 def joined_values(rows: DataFrame, keys: Sequence[str], position: str, joined: Mapping[str, str]) -> DataFrame:
     """keys and, for each column of `joined`, its non-blank distinct values by first position, joined by its separator.
 

@@ -133,16 +133,15 @@ def title_rescue(primary: DataFrame, by_title: DataFrame, by: str = "query_id")
     return both.select(by, *[F.when(use, F.col(f"t.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in rest], F.when(use, "title").otherwise("primary").alias("query_source"))
 
 
-def best_activity(candidates: DataFrame, by: str = "query_id") -> DataFrame:
+def best_activity(candidates: DataFrame, *by: str) -> DataFrame:
     """Highest adjusted score among scope matches, or among all where none matches; then RRF, then shortlist order."""
-    order = ranked([by], (F.col("scope_status") == "match").cast("int").desc(), F.desc("adjusted"), F.desc("rrf"), F.asc("rank"))
+    order = ranked(by or ["query_id"], (F.col("scope_status") == "match").cast("int").desc(), F.desc("adjusted"), F.desc("rrf"), F.asc("rank"))
     return candidates.withColumn("_r", order).filter("_r = 1").drop("_r")
 
 
-def prefer_structured(both: DataFrame) -> Column:
-    """Hybrid choice between structured_score and text_score: the structured one needs a lead and no procurement conflict."""
-    lead = F.col("structured_score") >= F.col("text_score") * STRUCTURED_LEAD
-    return F.coalesce(lead & ~F.col("procurement_conflict"), F.lit(False))
+def prefer_structured(structured: Column, text: Column, conflict: Column) -> Column:
+    """Hybrid choice between two adjusted scores: the structured one needs a lead and no procurement conflict."""
+    return F.coalesce((structured >= text * STRUCTURED_LEAD) & ~conflict, F.lit(False))
 
 
 def cells(left: DataFrame, right: DataFrame, system: str = "systems", phase: str = "phases") -> DataFrame:
@@ -158,11 +157,6 @@ def cell_reason_of(has_index: Column, n_systems: Column, n_phases: Column, syste
     )
 
 
-def cell_reason(df: DataFrame) -> Column:
-    """The reason from the columns has_index, n_systems, n_phases, system_known and n_found of df."""
-    return cell_reason_of(*[df[c] for c in ("has_index", "n_systems", "n_phases", "system_known", "n_found")])
-
-
 def mapped(queries: DataFrame, mapping: DataFrame, keys: str = "mapping_keys", scopes: str = "scopes") -> DataFrame:
     """The first mapping row by key order, then scope order, then the wildcard scope.
 
@@ -182,6 +176,22 @@ def competing_rules(rules: DataFrame) -> DataFrame:
     return generic.join(scoped, "subtype").filter(F.arrays_overlap("scope", "other_scope") & ~F.col("timeline").eqNullSafe(F.col("other_timeline"))).select("rule_id", "other_id")
 
 
+def competing_for(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows with n_competing and competing: scoped rules of their subtype and scope whose timeline differs from their own rule's.
+
+    rows: kind (subtype, else family), asked (scope keys), timeline; rules:
+    rule_id, kind, systems, keyword, timeline. Rows alike are looked up once; a
+    list holds one kind's rules of a few systems.
+    """
+    keyed = rows.withColumn("_case", F.sha2(F.to_json(F.struct("kind", "asked", "timeline")), 256))
+    cases = keyed.groupBy("_case").agg(F.first("kind").alias("kind"), F.first("asked").alias("asked"), F.first("timeline").alias("timeline"))
+    known = rules.select("rule_id", "kind", "keyword", F.col("timeline").alias("other"), F.explode("systems").alias("system"))
+    hits = cases.withColumn("system", F.explode("asked")).join(known, ["kind", "system"]).filter(~F.col("timeline").eqNullSafe(F.col("other")))
+    found = hits.groupBy("_case").agg(F.count_distinct("rule_id").alias("n_competing"), F.array_sort(F.collect_set("keyword")).alias("competing"))
+    out = keyed.join(found, "_case", "left").drop("_case")
+    return out.withColumns({"n_competing": F.coalesce("n_competing", F.lit(0)), "competing": F.coalesce("competing", F.array().cast("array<string>"))})
+
+
 def generic_bucket(df: DataFrame) -> Column:
     """Of generic-scope matches (scope_status, family_status, subtype_status, n_competing): weak, safe or ambiguous; null for others."""
     confirmed = (F.col("family_status") == "match") & F.col("subtype_status").isin("match", "not_applicable", "")

@@ -1,7 +1,8 @@
 """Fixed cases: wording worked out by hand, so that a wrong or short table can't confirm itself.
 
-Each query puts its cases through the operator; its SQL is the list of expected
-values, which no table of the package feeds.
+Each query puts its cases through the operator on the rows of `part`, a case for
+each by its key; its SQL joins the list of expected values, which no table of the
+package feeds, by case number.
 """
 
 from __future__ import annotations
@@ -27,16 +28,27 @@ def _text(v) -> str:
     return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
 
 
+def case_rows(t: Tables, fields: str, cases: Sequence[tuple]) -> DataFrame:
+    """(p_partkey, case_id and the fields as text): each part stands for the case that its key falls to."""
+    at = (F.col("p_partkey") % len(cases)).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]).cast("string") for c in cases]), at + 1)
+    return t.part.select("p_partkey", at.alias("case_id"), *[pick(i).alias(f) for i, f in enumerate(fields.split())])
+
+
+def expected_rows(found: Sequence) -> str:
+    """SQL of the expected value of each part's case."""
+    values = ", ".join(f"({i}, {_text(x)})" for i, x in enumerate(found))
+    return f"SELECT p_partkey, case_id, found FROM (SELECT p_partkey, CAST(p_partkey % {len(found)} AS INTEGER) AS case_id FROM part) JOIN (VALUES {values}) v(case_id, found) USING (case_id)"
+
+
 def fixed_cases(name: str, fields: str, compute: Callable[[], Column], cases: Sequence[tuple]) -> None:
-    """Register a query (case_id, found); the last item of each case is the expected text, the others are the named fields."""
+    """Register a query (p_partkey, case_id, found); the last item of each case is the expected text, the others are the named fields."""
 
     def make(t: Tables) -> DataFrame:
-        rows = [(i, *c[:-1]) for i, c in enumerate(cases)]
-        df = t.spark.createDataFrame(rows, "case_id int, " + ", ".join(f"{f} string" for f in fields.split()))
-        return df.select("case_id", compute().cast("string").alias("found"))
+        return case_rows(t, fields, cases).select("p_partkey", "case_id", compute().cast("string").alias("found"))
 
     make.__name__ = name
-    query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_text(c[-1])})" for i, c in enumerate(cases)) + ") v(case_id, found)")(make)
+    query(expected_rows([c[-1] for c in cases]))(make)
 
 
 def _pair(x: Column) -> Column:
@@ -159,20 +171,25 @@ SHEET_ROWS = (
 )
 
 
-@query("SELECT * FROM (VALUES ('one', 3, '', 'Layout'), ('two', 2, 'D-1', 'Pump list')) v(sheet, row, document_no, title)")
+@query("SELECT p_partkey, sheet, row, document_no, title || ' ' || p_partkey AS title FROM part, (VALUES ('one', 3, '', 'Layout'), ('two', 2, 'D-1', 'Pump list')) v(sheet, row, document_no, title)")
 def register_titles(t: Tables) -> DataFrame:
+    """Every part is a register of three sheets; its titles carry its key."""
     from dossier.sources.office import register_titles as titles
 
-    cells = t.spark.createDataFrame([("f", *r) for r in SHEET_ROWS], "source_file string, sheet string, row int, cells array<string>")
-    return titles(cells).select("sheet", "row", "document_no", "title")
+    own = lambda v: F.concat(F.lit(v.rstrip() + " "), F.col("p_partkey").cast("string")) if v.strip() in ("Layout", "Pump list") else F.lit(v)
+    sheets = [F.struct(F.lit(sheet).alias("sheet"), F.lit(row).alias("row"), F.array(*[own(v) for v in cells]).alias("cells")) for sheet, row, cells in SHEET_ROWS]
+    cells = t.part.select(F.col("p_partkey").cast("string").alias("source_file"), F.explode(F.array(*sheets)).alias("r")).select("source_file", "r.*")
+    return titles(cells).select(F.col("source_file").cast("long").alias("p_partkey"), "sheet", "row", "document_no", "title")
+
+
+#: deliverable, equipment, system, building; whether a model is asked.
+PLACED = (("Layout", "Pump", None, None, "false"), (" ", "Pump", None, None, "true"), ("Layout", "", " ", None, "true"), ("Layout", "SAU-1234-AB", None, None, "true"))
 
 
-@query("SELECT * FROM (VALUES ('full', true), ('no deliverable', true), ('no scope', true), ('code', true), ('kept out', false)) v(name, asked) WHERE asked AND name <> 'full'")
+@query(expected_rows([c[-1] for c in PLACED]) + " WHERE found = 'true'")
 def model_candidates(t: Tables) -> DataFrame:
     """Only candidates that rules couldn't place go to a model."""
-    rows = [("full", "Layout", "Pump", None, None), ("no deliverable", " ", "Pump", None, None), ("no scope", "Layout", "", " ", None), ("code", "Layout", "SAU-1234-AB", None, None)]
-    df = t.spark.createDataFrame(rows, "name string, deliverable string, equipment string, system string, building string")
-    return C.needs_model(df).select("name", F.lit(True).alias("asked"))
+    return C.needs_model(case_rows(t, "deliverable equipment system building", PLACED)).select("p_partkey", "case_id", F.lit("true").alias("found"))
 
 
 #: title, equipment, building, system, study, others, deliverable; then type, discipline, system, sub-system, equipment, scope and standard title.
@@ -186,14 +203,13 @@ STANDARD_ROWS = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {_text(found)})" for i, (_, found) in enumerate(STANDARD_ROWS)) + ") v(case_id, found)")
+@query(expected_rows([found for _, found in STANDARD_ROWS]))
 def standard_ladders_by_hand(t: Tables) -> DataFrame:
     from dossier.operators.standard_list import with_standard_facets
 
     names = ("document_type", "discipline", "inferred_system", "sub_system", "inferred_equipment", "scope_type", "standard_title")
-    fields = ("title", "equipment", "building", "system", "study", "others", "deliverable")
-    df = t.spark.createDataFrame([(i, *row) for i, (row, _) in enumerate(STANDARD_ROWS)], "case_id int, " + ", ".join(f"{c} string" for c in fields))
-    return with_standard_facets(df).select("case_id", F.concat_ws("|", *names).alias("found"))
+    df = case_rows(t, "title equipment building system study others deliverable", [row for row, _ in STANDARD_ROWS])
+    return with_standard_facets(df).select("p_partkey", "case_id", F.concat_ws("|", *names).alias("found"))
 
 
 @query("SELECT DISTINCT p_name, 16 AS size, true AS same FROM part")

@@ -164,10 +164,11 @@ def run_of_mode(t: Tables) -> DataFrame:
     return Q.run_of_mode(rows, "hybrid", ["o_orderkey"], {"status": "status", "score": "score", "note": "note"}, ["score"])
 
 
-@query("SELECT * FROM (VALUES ('10'), ('3')) v(section)")
+@query("SELECT p_size::VARCHAR AS section FROM part WHERE p_partkey % 3 < 2 GROUP BY 1 HAVING count(DISTINCT p_partkey % 3) = 2")
 def shared_artifact_sections(t: Tables) -> DataFrame:
-    names = [("keyword", "out_section3.csv"), ("keyword", "out_section10.csv"), ("keyword", "out_section4.csv"), ("hybrid", "out_section3.csv"), ("hybrid", "out_section10.csv"), ("hybrid", "out_section4.json")]
-    return S.sections_of_modes(t.spark.createDataFrame(names, "mode string, name string"), "out_section")
+    """Artifacts of two modes, named by part sizes; a third of the names is of another kind."""
+    mode, kind = F.when(F.col("p_partkey") % 3 == 0, "keyword").otherwise("hybrid"), F.when(F.col("p_partkey") % 3 == 2, ".json").otherwise(".csv")
+    return S.sections_of_modes(t.part.select(mode.alias("mode"), F.concat(F.lit("out_section"), F.col("p_size").cast("string"), kind).alias("name")), "out_section")
 
 
 # Operators that had no query: each is called itself.
@@ -263,13 +264,19 @@ def csv_of_two_charsets(t: Tables) -> DataFrame:
     return S.read_csv(t.spark, f"{folder}/*").withColumn("n_nationkey", F.col("n_nationkey").cast("long"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'acc layout', ['P.O', 'FOB'], 'FA', true), (2, 'pump data', [], 'SKIP', false), (1, 'plan', ['Test'], 'FC', true), (3, 'odd', [], 'UNKNOWN', false)) v(priority, doc_keyword, activity_keywords, sub_type, parses)""")
+#: Priority, item, keyword, activity keywords, code and formula of each kind of rule row.
+_RULE_ROWS = (("1", "Item", "acc layout", "P.O| FOB ", "", "start+4W<=FA<=start+6W"), ("2", "", "pump data", "", "", "-"), ("x", "", "never", "", "FA", ""), ("1", "", "plan", "Test", "For Construction", "start-3M<=FC<=start-1M"), ("2", "", "", "", "FA", ""), ("3", "", "odd", "", "else", ""))
+
+
+@query("""SELECT priority, doc_keyword || ' ' || p_partkey AS doc_keyword, activity_keywords, sub_type, parses FROM (SELECT p_partkey, p_partkey % 6 AS k FROM part)
+JOIN (VALUES (0, 1, 'acc layout', ['P.O', 'FOB'], 'FA', true), (1, 2, 'pump data', [], 'SKIP', false), (3, 1, 'plan', ['Test'], 'FC', true), (5, 3, 'odd', [], 'UNKNOWN', false)) v(k, priority, doc_keyword, activity_keywords, sub_type, parses) USING (k)""")
 def rule_file(t: Tables) -> DataFrame:
-    """Rows without a numeric priority or a keyword are left out; a blank code follows from the formula."""
-    folder = scratch_folder(t.spark)
-    rows = [("1", "Item", "acc layout", "P.O| FOB ", "", "start+4W<=FA<=start+6W"), ("2", "", "pump data", "", "", "-"), ("x", "", "never", "", "FA", ""), ("1", "", "plan", "Test", "For Construction", "start-3M<=FC<=start-1M"), ("2", "", "", "", "FA", ""), ("3", "", "odd", "", "else", "")]
-    df = t.spark.createDataFrame(rows, "Priority string, Item string, `MDL Document Keyword` string, `Activity Keyword` string, `Pur.` string, `Validation Time` string")
-    df.coalesce(1).write.csv(folder, header=True, sep=";")
+    """A rule row for each part; rows without a numeric priority or a keyword are left out, a blank code follows from the formula."""
+    folder, at = scratch_folder(t.spark), (F.col("p_partkey") % 6 + 1).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in _RULE_ROWS]), at)
+    keyword = F.when(pick(2) != "", F.concat(pick(2), F.lit(" "), F.col("p_partkey").cast("string"))).otherwise("")
+    names = ("Priority", "Item", "MDL Document Keyword", "Activity Keyword", "Pur.", "Validation Time")
+    t.part.select(*[(keyword if i == 2 else pick(i)).alias(n) for i, n in enumerate(names)]).write.csv(folder, header=True, sep=";")
     return S.rules(t.spark, folder).select("priority", "doc_keyword", "activity_keywords", "sub_type", F.col("vt.valid").alias("parses"))
 
 
@@ -281,10 +288,13 @@ def activity_file(t: Tables) -> DataFrame:
     return S.activities(t.spark, folder).filter("finish_date is null").select(F.col("activity_id").cast("long").alias("o_orderkey"), "start_date")
 
 
-@query("SELECT * FROM (VALUES ('drawing', 'acc', ['design', 'po']), ('list', '*', ['po']), ('memo', '*', [])) v(family, scope, phases)")
+@query("""SELECT lower(p_name) AS family, CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) ELSE '*' END AS scope, CASE p_partkey % 4 WHEN 0 THEN ['design', 'po'] WHEN 1 THEN ['po'] ELSE [] END AS phases FROM part""")
 def mapping_file(t: Tables) -> DataFrame:
-    folder = scratch_folder(t.spark)
-    t.spark.createDataFrame([(" Drawing", "ACC", "Design | PO"), ("List", "", "po"), ("Memo", "nan", "")], "deliverable_family string, scope_family string, allowed_activity_phases string").coalesce(1).write.csv(folder, header=True)
+    """A mapping row for each part, names in any case with blanks around, scopes and phases partly missing."""
+    folder, k = scratch_folder(t.spark), F.col("p_partkey")
+    scope = F.when(k % 3 == 0, F.upper("p_brand")).when(k % 3 == 1, "").otherwise("nan")
+    phases = F.when(k % 4 == 0, "Design | PO").when(k % 4 == 1, "po").otherwise("")
+    t.part.select(F.concat(F.lit(" "), "p_name").alias("deliverable_family"), scope.alias("scope_family"), phases.alias("allowed_activity_phases")).write.csv(folder, header=True)
     return S.domain_mapping(t.spark, folder)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions import vocabulary as V
 from dossier.operators import evaluation as E
 from dossier.operators import retrieval as R
+from dossier.operators import shortlist as L
 from dossier.plans.registry import Tables, query
 
 BM25 = """
@@ -204,3 +205,34 @@ def recall_of_pairs(t: Tables) -> DataFrame:
 @query(RECALL + "SELECT count(*) AS queries, count(recall) AS positive_queries, round(avg(recall), 6) AS mean_recall, round(avg(hit_rate), 6) AS mean_hit_rate FROM pq")
 def metric_summary(t: Tables) -> DataFrame:
     return E.metric_summary(_recall(t))
+
+
+@query("""WITH
+a AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts, ['procurement', 'system_design', 'delivery', 'commissioning'][1 + item_id % 4] AS phase, item_id % 5 AS sys FROM benchmark),
+al AS (SELECT item_id, len(ts) AS dl FROM a), tot AS (SELECT count(*) AS n, greatest(avg(dl), 1.0) AS avgdl FROM al),
+tf AS (SELECT item_id, token, count(*) AS tf FROM (SELECT item_id, unnest(ts) AS token FROM a) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT item_id, token, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS w FROM tf JOIN df USING (token) JOIN al USING (item_id), tot),
+qt AS (SELECT doc_id, token, count(*) AS qtf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS token FROM documents) GROUP BY ALL),
+kw AS (SELECT doc_id, item_id, round(sum(qtf * w), 6) AS s FROM qt JOIN w USING (token) GROUP BY ALL),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+cs AS (SELECT q.vec_id AS doc_id, d.vec_id AS item_id, round(list_cosine_similarity(q.e, d.e), 6) AS s FROM v q, v d WHERE d.vec_id IN (SELECT item_id FROM benchmark)),
+q AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'delivery' WHEN 'de' THEN 'design_drawing' WHEN 'fr' THEN 'civil_design' ELSE '' END AS phase, doc_id % 6 AS sys FROM documents),
+al2 AS (SELECT q.doc_id, a.item_id, coalesce(kw.s, 0) AS a_score, coalesce(cs.s, 0) AS b_score, q.sys = a.sys AND a.phase IN ('delivery', 'commissioning') AS cell,
+        (q.phase = 'delivery' AND a.phase IN ('delivery', 'procurement')) OR (q.phase = 'design_drawing' AND a.phase IN ('system_design', 'civil_design')) OR (q.phase = 'civil_design' AND a.phase = 'civil_design') AS ok
+        FROM q CROSS JOIN a LEFT JOIN kw USING (doc_id, item_id) LEFT JOIN cs USING (doc_id, item_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a_score DESC, item_id) AS a_rank, row_number() OVER (PARTITION BY doc_id ORDER BY b_score DESC, item_id) AS b_rank, bool_or(ok) OVER (PARTITION BY doc_id) AS any_ok FROM al2),
+tx AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a_rank) AS ra, row_number() OVER (PARTITION BY doc_id ORDER BY b_rank) AS rb FROM rk WHERE ok OR NOT any_ok),
+ce AS (SELECT * EXCLUDE (a_rank, b_rank), row_number() OVER (PARTITION BY doc_id ORDER BY a_rank) AS a_rank, row_number() OVER (PARTITION BY doc_id ORDER BY b_rank) AS b_rank FROM rk WHERE cell),
+un AS (SELECT doc_id, 'text' AS source, item_id, a_score, b_score, a_rank, b_rank FROM tx WHERE ra <= 10 OR rb <= 10 UNION ALL SELECT doc_id, 'cell', item_id, a_score, b_score, a_rank, b_rank FROM ce),
+fu AS (SELECT *, round(1.0 / (60 + a_rank) + 1.0 / (60 + b_rank), 9) AS rrf FROM un)
+SELECT doc_id AS query_id, source, item_id AS activity_id, a_score, b_score, a_rank, b_rank, rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source ORDER BY rrf DESC, item_id) AS rank FROM fu) WHERE rank <= 5""")
+def two_channel_shortlist(t: Tables) -> DataFrame:
+    """Every document against all items by words and by vectors, in the phases its language is open to and in its cell."""
+    vectors = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    phases = F.element_at(F.array(*[F.lit(p) for p in ("procurement", "system_design", "delivery", "commissioning")]), (F.col("item_id") % 4 + 1).cast("int"))
+    items = t.benchmark.select(F.col("item_id").alias("activity_id"), "text", phases.alias("phase"), F.array((F.col("item_id") % 5).cast("string")).alias("systems"))
+    items = items.join(vectors, F.col("activity_id") == F.col("vec_id"), "left").drop("vec_id")
+    wanted = F.when(F.col("lang") == "en", "delivery").when(F.col("lang") == "de", "design_drawing").when(F.col("lang") == "fr", "civil_design").otherwise("")
+    asked = t.documents.select(F.col("doc_id").alias("query_id"), "text", wanted.alias("phase"), F.array((F.col("doc_id") % 6).cast("string")).alias("systems"), F.array(F.lit("delivery"), F.lit("commissioning")).alias("cell_phases"))
+    asked = asked.join(vectors, F.col("query_id") == F.col("vec_id"), "left").drop("vec_id")
+    return L.two_channel_shortlist(asked, items, 10, 5)
