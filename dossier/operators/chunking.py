@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,39 +24,61 @@ def html_text(html: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[ \\t]+", " "), " ?\\n[ \\n]*", "\n"))
 
 
+def packed(pieces: Iterable[tuple[str, int, bool]], most: int) -> Iterator[tuple[list[str], int, bool]]:
+    """(texts, tokens, whether it starts inside a paragraph) of each chunk, in one pass: a piece joins the open chunk where it fits."""
+    texts, n, inside = [], 0, False
+    for text, size, more in pieces:
+        if texts and (more or n + size > most):
+            yield texts, n, inside
+            texts, n = [], 0
+        if not texts:
+            inside = more
+        texts.append(text)
+        n += size
+    if texts:
+        yield texts, n, inside
+
+
+def paragraph_pieces(text: str, most: int) -> Iterator[tuple[str, int, bool]]:
+    """(text, words, whether it goes on a paragraph): paragraphs, and windows of `most` words of longer ones."""
+    for line in text.split("\n"):
+        line = line.strip(" ")
+        if not line:
+            continue
+        words = re.split("[ \t\x0b\f\r]+", line)
+        if len(words) <= most:
+            yield line, len(words), False
+        else:
+            for i in range(0, len(words), most):
+                part = words[i : i + most]
+                yield " ".join(part), len(part), i > 0
+
+
 def packed_paragraphs(docs: DataFrame, doc_id: str, text: str, most: int = MOST_TOKENS) -> DataFrame:
     """(doc_id, chunk_index, text, token_count, chunk_id, continues): paragraphs packed in order, no chunk over `most` words.
 
     A paragraph longer than the budget is cut into windows of `most` words, joined
     by single spaces; the last one takes what follows. continues marks chunks that
     start inside a paragraph. chunk_id holds the document, the index and 12 digits
-    of the text's SHA-256.
+    of the text's SHA-256. A text is read once, whatever its length.
     """
     if most < 1:
         raise ValueError("a chunk needs a budget of one word at least")
-    paragraphs = F.filter(F.split(text_or_blank(text), "\\n+"), lambda p: F.trim(p) != "")
-    worded = F.transform(paragraphs, lambda p: F.struct(F.trim(p).alias("t"), F.split(F.trim(p), "\\s+").alias("w")))
-    piece = lambda t, n, more: F.struct(t.alias("t"), n.cast("int").alias("n"), more.alias("more"))
-
-    def windows(p: Column) -> Column:
-        def cut(i: Column) -> Column:
-            part = F.slice(p["w"], i + 1, F.lit(most))
-            return piece(F.array_join(part, " "), F.size(part), i > 0)
-
-        return F.when(F.size(p["w"]) <= most, F.array(piece(p["t"], F.size(p["w"]), F.lit(False)))).otherwise(F.transform(F.sequence(F.lit(0), F.size(p["w"]) - 1, F.lit(most)), cut))
-
-    sized = F.flatten(F.transform(worded, windows))
-    empty = F.array().cast("array<struct<t:string,n:int,more:boolean>>")
-
-    def add(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = piece(F.concat(last["t"], F.lit("\n"), p["t"]), last["n"] + p["n"], last["more"])
-        fits = ~p["more"] & (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1)["n"], F.lit(0)) + p["n"] <= most)
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(p)))
 
-    packed = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.aggregate(sized, empty, add)).alias("chunk_index", "c"))
-    name = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.format_string("%06d", "chunk_index"), F.lit("_"), F.substring(F.sha2("c.t", 256), 1, 12))
-    return packed.select("doc_id", "chunk_index", F.col("c.t").alias("text"), F.col("c.n").alias("token_count"), name.alias("chunk_id"), F.col("c.more").alias("continues"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for row, value in enumerate(batch.column(1).to_pylist()):
+                for i, (texts, n, inside) in enumerate(packed(paragraph_pieces(value or "", most), most)):
+                    at.append(row)
+                    found.append((i, "\n".join(texts), n, inside))
+            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["doc_id", "chunk_index", "text", "token_count", "continues"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_blank(text).alias("text"))
+    out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk_index int, text string, token_count int, continues boolean")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.format_string("%06d", "chunk_index"), F.lit("_"), F.substring(F.sha2("text", 256), 1, 12))
+    return out.select("doc_id", "chunk_index", "text", "token_count", name.alias("chunk_id"), "continues")
 
 
 def chunk_paragraphs(docs: DataFrame, doc_id: str, text: str, most: int = MOST_TOKENS) -> DataFrame:

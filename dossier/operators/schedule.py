@@ -86,7 +86,7 @@ def matched_rules(docs: DataFrame, rules: DataFrame, scorer: PairScorer) -> Data
     # both wordings of a document go through join, guards and scorer together
     both = docs.withColumn("w", F.explode(F.array_compact(F.array(asked(0, "rule_text", "tokens"), F.when(titled, asked(1, "title", "title_tokens"))))))
     both = both.withColumns({"query_id": F.col("doc_id") * 2 + F.col("w.by_title"), "query_text": F.col("w.text"), "tokens": F.col("w.words")}).drop("w", "doc_id")
-    found = rule_matches(both, rules, scorer).withColumns({"by_title": F.pmod("query_id", F.lit(2)), "doc_id": F.floor(F.col("query_id") / 2)})
+    found = rule_matches(both, rules, scorer).withColumns({"by_title": F.pmod("query_id", F.lit(2)), "doc_id": F.shiftright("query_id", 1)})
     sides = found.groupBy("doc_id").agg(*[F.max(F.when(F.col("by_title") == k, F.struct("scope_status", *RULE))).alias(c) for k, c in ((0, "p"), (1, "t"))])
     primary = docs.select(F.col("doc_id").alias("query_id")).join(sides.select(F.col("doc_id").alias("query_id"), "p.*"), "query_id", "left")
     chosen = M.title_rescue(primary, sides.select(F.col("doc_id").alias("query_id"), "t.*").filter("rule_id is not null"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,13 +115,45 @@ def cleaned_chunk_document(df: DataFrame) -> DataFrame:
     return df.withColumn("chunks", F.filter("chunks", keep))
 
 
-def match_artifacts(spark: SparkSession, folder: str, most: int = 100) -> DataFrame:
-    """(path, document, chunk_id, rank, display) of every `output_match_*.csv` below a folder; rows without candidates vanish."""
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "output_match_*.csv").csv(folder, header=True, multiLine=True, escape='"')
-    wide = [f"Matched_Doc_{i}" for i in range(1, most + 1) if f"Matched_Doc_{i}" in df.columns]
-    listed = F.array(*[F.struct(F.lit(int(c.rsplit("_", 1)[1])).alias("rank"), F.col(c).alias("display")) for c in wide])
-    path = F.col("_metadata.file_path").alias("path")
-    return df.select(path, F.col("Document").alias("document"), F.col("Chunk ID").alias("chunk_id"), F.explode(listed).alias("m")).select("path", "document", "chunk_id", "m.*").filter("trim(display) <> ''")
+#: Rows that a file's reader hands on at a time.
+ROWS_A_BATCH = 2000
+ARTIFACT = "path string, row int, cells map<string,string>, rank int, fields map<string,string>"
+_MATCHED = re.compile(r"Matched_Doc_(\d+)(?:_(.+))?")
+
+
+def _artifact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each file by its own header, as many matched columns as it has; some rows at a time."""
+    kinds = (pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.map_(pa.string(), pa.string()))
+    shown = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "row", "cells", "rank", "fields"])
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = io.TextIOWrapper(io.BytesIO(content.as_buffer().to_pybytes()), encoding="utf-8-sig", newline="")
+            out, named = [], {}
+            for number, row in enumerate(csv.DictReader(text), 1):
+                named = named or {c: _MATCHED.fullmatch(c) for c in row if isinstance(c, str)}
+                found: dict[int, dict[str, str]] = {}
+                for c, m in named.items():
+                    if m and (row[c] or "").strip():
+                        found.setdefault(int(m[1]), {})[(m[2] or "display").lower()] = row[c].strip()
+                cells = [(c, row[c] or "") for c, m in named.items() if not m]
+                out += [(path, number, cells, rank, list(found[rank].items())) for rank in sorted(found)]
+                if len(out) >= ROWS_A_BATCH:
+                    yield shown(out)
+                    out = []
+            if out:
+                yield shown(out)
+
+
+def match_artifacts(spark: SparkSession, folder: str, pattern: str = "output_match_*.csv") -> DataFrame:
+    """(path, row, document, chunk_id, cells, rank, doc_id, display, fields) of every file of that name below a folder.
+
+    A file is read by its own header: every `Matched_Doc_n` and `Matched_Doc_n_Field`
+    there is, however many. `fields` holds a match's named columns in lower case,
+    `cells` the row's others. Rows without candidates vanish.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    rows = files.select("path", "content").mapInArrow(_artifact_rows, ARTIFACT)
+    return rows.select("path", "row", F.col("cells")["Document"].alias("document"), F.col("cells")["Chunk ID"].alias("chunk_id"), "cells", "rank", F.col("fields")["doc_id"].alias("doc_id"), F.col("fields")["display"].alias("display"), "fields")
 
 
 def write_matches(matches: DataFrame, folder: str, query: str = "query_id", most: int = 20) -> None:
