@@ -17,7 +17,7 @@ from dossier.functions.vocabulary import PHASE_BUCKETS
 K1, B = 1.5, 0.75
 RRF_K = 60
 BLOCK_BYTES = 32 << 20
-#: Queries whose tokens travel together; scores that one slice of a batch may hold; what rounding to six digits can move.
+#: Queries whose tokens travel to the documents; scores that one slice of a batch may hold; what rounding to six digits can move.
 QUERY_BLOCK = 2000
 SCORE_CELLS = 4_000_000
 SCORE_SLACK = 2e-6
@@ -54,28 +54,49 @@ def _kept(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return order[nth < k]
 
 
+def _coded(column: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code) of each known token of some lower-cased texts, and the number of all tokens of each text."""
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = texts.buffers()[2]
+    raw = (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[at[0] : at[-1]]
+    start, end, row = token_spans(raw, at - at[0])
+    ends = np.cumsum(end - start)
+    packed = raw[np.repeat(start - (ends - (end - start)), end - start) + np.arange(ends[-1] if len(ends) else 0)]
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(packed))])
+    code = pc.index_in(words.cast(pa.binary()), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return row[code >= 0], code[code >= 0], np.bincount(row, minlength=len(texts))
+
+
+def _frequency_batches(tokens: list[str]):
+    """Arrow mapper: (doc_id, lower-cased text) to a task's (code, documents with it); code -1 has its documents and their words."""
+    known = pa.array([t.encode() for t in tokens], pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, words = np.zeros(len(tokens), np.int64), 0, 0
+        for batch in batches:
+            row, code, length = _coded(batch.column(1), known)
+            df += np.bincount(np.unique(row * max(1, len(tokens)) + code) % max(1, len(tokens)), minlength=len(tokens))
+            docs, words = docs + batch.num_rows, words + int(length.sum())
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, seen), pa.int32()), pa.array(np.append(docs, df[seen])), pa.array(np.append(words, 0 * seen))], ["code", "n", "words"])
+
+    return run
+
+
 def _bm25_batches(tokens: list[str], idf: np.ndarray, query: np.ndarray, begin: np.ndarray, qtf: np.ndarray, names: list, average: float, k: int):
     """Arrow mapper: (doc_id, lower-cased text) to the task's best rows of each query. Queries of token i are query[begin[i]:begin[i + 1]]."""
     known = pa.array([t.encode() for t in tokens], pa.binary())
 
     def score(column: pa.Array) -> np.ndarray:
-        texts = column.cast(pa.large_binary()).fill_null(b"")
-        at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-        data = texts.buffers()[2]
-        raw = (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[at[0] : at[-1]]
-        start, end, row = token_spans(raw, at - at[0])
-        length = np.bincount(row, minlength=len(texts))
-        ends = np.cumsum(end - start)
-        packed = raw[np.repeat(start - (ends - (end - start)), end - start) + np.arange(ends[-1] if len(ends) else 0)]
-        words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(packed))])
-        code = pc.index_in(words.cast(pa.binary()), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        posting, tf = np.unique(row[code >= 0] * len(tokens) + code[code >= 0], return_counts=True)
+        row, code, length = _coded(column, known)
+        posting, tf = np.unique(row * len(tokens) + code, return_counts=True)
         doc, token = np.divmod(posting, len(tokens))
         weight = idf[token] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length[doc] / average))
         n = begin[token + 1] - begin[token]
         each = np.repeat(begin[token] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        place = query[each] * len(texts) + np.repeat(doc, n)
-        return np.bincount(place, np.repeat(weight, n) * qtf[each], minlength=len(names) * len(texts)).reshape(len(names), len(texts))
+        place = query[each] * len(length) + np.repeat(doc, n)
+        return np.bincount(place, np.repeat(weight, n) * qtf[each], minlength=len(names) * len(length)).reshape(len(names), len(length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
@@ -98,33 +119,36 @@ def _bm25_batches(tokens: list[str], idf: np.ndarray, query: np.ndarray, begin:
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, text: str, query_id: str, query: str) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query; repeated query tokens count repeatedly.
 
-    Document frequencies are counted for asked tokens only. Queries go in blocks
-    of QUERY_BLOCK, whose tokens travel to the tasks; a document is scored where
-    it lies, and a task hands on its best rows only.
+    Up to QUERY_BLOCK queries travel to the documents: one pass counts documents
+    of the asked tokens, another scores each document where it lies and hands on
+    a task's best rows. More queries than that are joined to the postings of an
+    index of the documents, so that neither plan nor driver grows with them.
     """
-    asked = _asked(queries, query_id, query)
-    spread = docs.select(F.array_distinct(word_tokens(text)).alias("tokens"))
-    known = spread.select(F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size(word_tokens(text))), F.lit(1.0)).alias("avgdl")).first()
-    named = asked.join(known, "token")
-    blocks = max(1, -(-queries.select(query_id).distinct().count() // QUERY_BLOCK))
-    lowered, out = docs.select(F.col(doc_id).cast("long"), F.lower(text)), None
-    for b in range(blocks):
-        part = named.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("token", "query_id").toArrow()
-        if not part.num_rows:
-            continue
-        tokens, at = np.unique(np.array(part["token"].to_pylist(), object), return_inverse=True)
-        names, query_at = np.unique(part["query_id"].to_numpy(), return_inverse=True)
-        df = np.zeros(len(tokens))
-        df[at] = part["df"].to_numpy()
-        order = np.argsort(at, kind="stable")
-        begin = np.append(0, np.cumsum(np.bincount(at, minlength=len(tokens))))
-        idf = np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
-        found = lowered.mapInArrow(_bm25_batches(tokens.tolist(), idf, query_at[order], begin, part["qtf"].to_numpy()[order].astype(float), names.tolist(), float(total["avgdl"]), k), "query_id long, doc_id long, score double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    return top_k(out.withColumn("score", F.round("score", 6)), k)
+    if queries.select(query_id).distinct().count() > QUERY_BLOCK:
+        from dossier.sources.scratch import scratch_folder
+        from dossier.sources.stored import KeywordIndex
+
+        index = KeywordIndex(docs.sparkSession, scratch_folder(docs.sparkSession), doc_id, [text])
+        index.append(docs)
+        return index.top_k(queries, k, query_id, query)
+    part = _asked(queries, query_id, query).orderBy("token", "query_id").toArrow()
+    empty = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    if not part.num_rows:
+        return empty
+    tokens, at = np.unique(np.array(part["token"].to_pylist(), object), return_inverse=True)
+    names, query_at = np.unique(part["query_id"].to_numpy(), return_inverse=True)
+    lowered = docs.select(F.col(doc_id).cast("long"), F.lower(text))
+    counted = lowered.mapInArrow(_frequency_batches(tokens.tolist()), "code int, n long, words long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+    held = {c: (n, w) for c, n, w in zip(*[x.to_pylist() for x in counted.columns], strict=True)}
+    n_docs, n_words = held.pop(-1, (0, 0))
+    df = np.zeros(len(tokens))
+    df[list(held)] = [n for n, _ in held.values()]
+    order = np.argsort(at, kind="stable")
+    begin = np.append(0, np.cumsum(np.bincount(at, minlength=len(tokens))))
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    average = max(1.0, n_words / n_docs) if n_docs else 1.0
+    found = lowered.mapInArrow(_bm25_batches(tokens.tolist(), idf, query_at[order], begin, part["qtf"].to_numpy()[order].astype(float), names.tolist(), average, k), "query_id long, doc_id long, score double")
+    return top_k(found.withColumn("score", F.round("score", 6)), k)
 
 
 def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "score", unique: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -153,27 +177,46 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _grid_top(k: int):
+    """Cogroup of a block of queries and a part of the corpus: the best rows of each query in it, some corpus rows at a time."""
+
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        parts = []
+        if queries.num_rows and corpus.num_rows:
+            ids, rows = queries["id"].to_pylist(), corpus.select(["doc_id", "v"]).combine_chunks()
+            cell = _block_top(_unit(np.stack([np.asarray(v, float) for v in queries["v"].to_pylist()])), ids, k)
+            step = max(1, SCORE_CELLS // len(ids))
+            parts = [b for lo in range(0, rows.num_rows, step) for b in cell(iter(rows.slice(lo, step).combine_chunks().to_batches()))]
+        return pa.Table.from_batches(parts, pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
+
+    return run
+
+
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, vec_id: str, vector: str) -> DataFrame:
     """(query_id, doc_id, score, rank) by exact cosine; zero vectors score 0.
 
-    Queries are taken in blocks of at most BLOCK_BYTES; each block visits the
-    corpus once, and every Arrow batch gives back its own best rows only.
+    Queries of up to BLOCK_BYTES travel to the corpus, whose Arrow batches give
+    back their best rows only. More queries meet the corpus in a grid of blocks
+    of that size: each block of either side goes to the cells of its row or
+    column, so that neither plan nor driver grows with the queries.
     """
-    rows = corpus.select(F.col(vec_id).cast("long"), F.col(vector)).filter(F.col(vector).isNotNull())
+    rows = corpus.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vector).alias("v")).filter("v is not null")
     wanted = queries.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).filter("v is not null")
-    width = wanted.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
-    blocks = max(1, -(-(width[0] or 1) * 8 * width[1] // BLOCK_BYTES))
-    out = None
-    for b in range(blocks):
-        part = wanted.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toArrow()
+    blocks = lambda df: max(1, -(-int(df.agg(F.sum(8 * F.size("v"))).first()[0] or 0) // BLOCK_BYTES))
+    asked = blocks(wanted)
+    schema = "query_id long, doc_id long, score double"
+    if asked == 1:
+        part = wanted.orderBy("id").toArrow()
         if not part.num_rows:
-            continue
+            return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
         matrix = _unit(np.stack([np.asarray(v, float) for v in part["v"].to_pylist()]))
-        found = rows.mapInArrow(_block_top(matrix, part["id"].to_pylist(), k), "query_id long, doc_id long, score double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    return top_k(out.withColumn("score", F.round("score", 6)), k)
+        found = rows.mapInArrow(_block_top(matrix, part["id"].to_pylist(), k), schema)
+    else:
+        lie = blocks(rows)
+        spread = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+        cells = spread(wanted, "q", asked, "c", lie).groupBy("q", "c"), spread(rows, "c", lie, "q", asked).groupBy("q", "c")
+        found = cells[0].cogroup(cells[1]).applyInArrow(_grid_top(k), schema)
+    return top_k(found.withColumn("score", F.round("score", 6)), k)
 
 
 class VectorIndex:
