@@ -7,6 +7,16 @@
     python -m dossier.cli clean PATH OUT            chunk documents without their noise
     python -m dossier.cli schedule DOCS RULES ACTIVITIES OUT [--floor DATE] [--mapping FILE] [--mode text|structured|hybrid]
                                                     dated rows with a quality from a register, a rule file and an activity file
+    python -m dossier.cli clean-register REGISTER OUT
+                                                    register rows cleaned from their titles, with what was done; prints the counts
+    python -m dossier.cli ingest FOLDER CATALOG NUMBER
+                                                    titles of the workbooks of a folder, merged into a stored catalogue as its register of that number
+    python -m dossier.cli match REQUIREMENTS CATALOG OUT [--retrieved N] [--shown N]
+                                                    a match run of a requirement file over a catalogue file
+    python -m dossier.cli rerank RUN OUT [--retrieved N] [--shown N]
+                                                    a stored run's candidates ranked anew
+    python -m dossier.cli structure PAGES OUT [--most N]
+                                                    chunks of the HTML files below a path that follow their headings
     python -m dossier.cli export CATALOG OUT TERM.. catalogue rows that name a term
     python -m dossier.cli replace PATH INCOMING     replace a stored table; prints the rows that were there
     python -m dossier.cli empty PATH                delete all rows of a stored table; prints how many
@@ -17,7 +27,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.plans import registry
@@ -59,6 +69,61 @@ def _schedule(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return out.select("doc_id", "title", "rule_id", "activity_id", "activity_name", "resolution", *records, "date_status", "fa_earliest", "fa_recommended", "fa_latest", "fc_earliest", "fc_recommended", "fc_latest", "schedule_quality")
 
 
+def _clean_register(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.operators import register_cleaning as C
+    from dossier.sources import files as S
+    from dossier.sources.scratch import settled
+
+    held = S.read_csv(spark, a.register)
+    names = {"title": "Title", "others": "Others"} | {c: c.capitalize() for c in C.FIELDS}
+    rows = held.select(*[F.col(f"`{n}`") for n in held.columns if n not in names.values()], *[(F.col(f"`{n}`") if n in held.columns else F.lit("")).alias(c) for c, n in names.items()])
+    cleaned = settled(C.cleaned_register(rows))
+    for r in C.cleaning_summary(cleaned).orderBy("name").collect():  # a few kinds
+        print(r["name"], r["n"])
+    return cleaned
+
+
+def _match(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.operators import match_run as M
+    from dossier.operators.providers import HashEmbedder, OverlapScorer, embed_texts
+    from dossier.sources import files as S
+
+    asked = S.with_columns_of(S.read_csv(spark, a.requirements), ["chunk_id", "query", "is_candidate"]).withColumn("key", F.xxhash64("chunk_id"))
+    catalog = S.with_columns_of(S.read_csv(spark, a.catalog), ["doc_id", "title", "text"]).withColumnRenamed("doc_id", "name")
+    catalog = catalog.select(F.xxhash64("name").alias("doc_id"), F.concat_ws(" ", "title", "text").alias("text"), F.concat_ws(" | ", "name", "title").alias("display"))
+    return M.match_run(embed_texts(asked, "query", HashEmbedder()), embed_texts(catalog, "text", HashEmbedder()), OverlapScorer(), a.retrieved, a.shown)
+
+
+def _rerank(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.operators import match_run as M
+    from dossier.operators.providers import OverlapScorer
+
+    return M.rerank_run(spark.read.parquet(a.run), OverlapScorer(), a.retrieved, a.shown)
+
+
+def _structure(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    from dossier.operators.elements import chunk_elements, page_elements
+
+    pages = spark.read.text(a.pages, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return chunk_elements(page_elements(pages, "path", "value"), a.most)
+
+
+def _ingest(spark: SparkSession, a: argparse.Namespace) -> int:
+    """How many titles the catalogue holds after the register came in."""
+    from dossier.operators.listing import merged_states, title_state
+    from dossier.sources.office import register_titles, workbooks
+    from dossier.sources.stored import KeyedTable
+
+    rows = register_titles(workbooks(spark, a.folder))
+    # registers stand in order of their number, a register's rows in that of file, sheet and row
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy("sheet", "row"))
+    files = rows.select("source_file").distinct().withColumn("f", F.row_number().over(Window.orderBy("source_file")))  # a register's files
+    rows = rows.withColumn("p", place).join(F.broadcast(files), "source_file").withColumn("position", F.lit(a.number).cast("long") * (1 << 50) + F.col("f").cast("long") * (1 << 32) + F.col("p"))
+    table = KeyedTable(spark, a.catalog, "title_key")
+    table.upsert(title_state(rows, "title", "position", ["source_file", "document_no"]), merged_states)
+    return table.read().count()
+
+
 def _export(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from dossier.sources.files import export_catalog
 
@@ -86,6 +151,12 @@ def parser() -> argparse.ArgumentParser:
     schedule.add_argument("--floor")
     schedule.add_argument("--mapping")
     schedule.add_argument("--mode", default="hybrid", choices=("text", "structured", "hybrid"))
+    command("clean-register", "register", "out")
+    command("ingest", "folder", "catalog").add_argument("number", type=int)
+    command("structure", "pages", "out").add_argument("--most", type=int, default=512)
+    for runs in (command("match", "requirements", "catalog", "out"), command("rerank", "run", "out")):
+        runs.add_argument("--retrieved", type=int, default=100)
+        runs.add_argument("--shown", type=int, default=20)
     command("export", "catalog", "out").add_argument("terms", nargs="+")
     command("replace", "path", "incoming")
     command("empty", "path")
@@ -107,7 +178,10 @@ def main(args: list[str]) -> int:
     if a.command in ("replace", "empty"):
         print(files.emptied(spark, a.path) if a.command == "empty" else files.replaced(spark, a.path, spark.read.parquet(a.incoming)))
         return 0
-    makers = {"titles": _titles, "chunk": _chunk, "clean": _clean, "schedule": _schedule, "export": _export}
+    if a.command == "ingest":
+        print(_ingest(spark, a))
+        return 0
+    makers = {"clean-register": _clean_register, "match": _match, "rerank": _rerank, "structure": _structure, "titles": _titles, "chunk": _chunk, "clean": _clean, "schedule": _schedule, "export": _export}
     df = registry.QUERIES[a.name](spark, a.folder) if a.command == "query" else makers[a.command](spark, a)
     df.write.mode("overwrite").parquet(a.out)
     return 0

@@ -194,19 +194,39 @@ def candidate_flag(value: ColumnOrName) -> Column:
 
 
 def requirement_records(extracted: DataFrame, depths: int = 5) -> DataFrame:
-    """One flat text row an extracted chunk: pages and lists joined, depth_1 to depth_n, flag with its default.
+    """One flat text row an extracted chunk: pages and lists joined, depth_1 to depth_n, flag with its default, what the model said of itself.
 
-    Reads document, chunk_id, page_num, section, hierarchy, depths, keywords, candidate, skip_reason and text.
+    Reads document, chunk_id, page_num, section, hierarchy, depths, keywords,
+    candidate, skip_reason and text; section_path, chunk_type, label, confidence,
+    needs_review and reason are blank where there are none.
     """
-    parts = [F.trim(F.coalesce(F.get("depths", F.lit(i)), F.lit(""))).alias(f"depth_{i + 1}") for i in range(depths)]
     listed = lambda c: F.array_join(F.filter(F.transform(F.col(c), lambda v: F.trim(v.cast("string"))), lambda v: v != ""), ", ")
-    plain = lambda c: F.trim(text_or_blank(c))
+    kind = {f.name: f.dataType.typeName() for f in extracted.schema.fields}
+    plain = lambda c: F.lit("") if c not in kind else listed(c) if kind[c] == "array" else F.trim(text_or_blank(F.col(c).cast("string")))
+    parts = [F.trim(F.coalesce(F.get("depths", F.lit(i)), F.lit(""))).alias(f"depth_{i + 1}") for i in range(depths)]
     return extracted.select(
-        "document", plain("chunk_id").alias("chunk_id"), listed("page_num").alias("pages"), plain("section").alias("section"), "hierarchy", *parts, listed("keywords").alias("keywords"),
-        candidate_flag("candidate").alias("is_candidate"), plain("skip_reason").alias("skip_reason"), text_or_blank("text").alias("chunk_text"),
+        "document", plain("chunk_id").alias("chunk_id"), listed("page_num").alias("pages"), *[F.coalesce(plain(c), F.lit("")).alias(c) for c in ("section", "section_path", "chunk_type", "label")], "hierarchy", *parts, listed("keywords").alias("keywords"),
+        candidate_flag("candidate").alias("is_candidate"), plain("skip_reason").alias("skip_reason"), *[F.coalesce(plain(c), F.lit("")).alias(c) for c in ("confidence", "needs_review", "reason")], text_or_blank("text").alias("chunk_text"),
     )
 
 
+def requirement_json(extracted: DataFrame, name: str = "record") -> DataFrame:
+    """(document, chunk_id, record): the chunk, what it was asked with, the model's output and check, and the tokens that took, as one JSON text.
+
+    Reads what requirement_records reads, and known (abbreviations), output,
+    verification, token_usage and error where there are any; blank ones are left
+    out, but for output and verification, which are empty objects.
+    """
+    there = lambda c: F.col(c) if c in extracted.columns else F.lit(None).cast("string")
+    object_of = lambda c: F.coalesce(F.when(F.get_json_object(there(c), "$").isNotNull(), F.parse_json(there(c))), F.parse_json(F.lit("{}"))) if c in extracted.columns else F.parse_json(F.lit("{}"))
+    error = F.when(F.trim(text_or_blank(there("error"))) != "", there("error"))
+    record = F.struct(
+        "document", "chunk_id", F.col("page_num").alias("pages"), "section", there("section_path").alias("section_path"), there("chunk_type").alias("chunk_type"), there("label").alias("label"), F.col("hierarchy").alias("hierarchy_context"),
+        there("known").alias("known_abbreviations"), object_of("output").alias("llm_output"), object_of("verification").alias("llm_verification"), there("token_usage").alias("token_usage"), error.alias("error"),
+    )
+    return extracted.select("document", "chunk_id", F.to_json(record).alias(name))
+
+
 def rejected_records(extracted: DataFrame, section: str) -> DataFrame:
     """Chunks that a model placed outside the requested section, with what it said."""
     outside = ~is_yes("belongs")
@@ -249,10 +269,6 @@ def sliced_scores(review: DataFrame, generated: DataFrame, keys: Sequence[str],
     return rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), *[yes[a].alias(f"{a}_yes") for a in answers], *[F.when(judged[a] > 0, F.round(yes[a] / judged[a], 6)).alias(f"{a}_accuracy") for a in answers])
 
 
-def alignment_text(*fields: ColumnOrName) -> Column:
-    return F.concat_ws(" ", *[text_or_blank(f) for f in fields])
-
-
 def has_phrase(text: ColumnOrName, phrases: Sequence[str]) -> Column:
     """Whether normalised text holds any phrase: single words as whole words, longer phrases anywhere."""
     value, out = key_text(text), F.lit(False)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "bm25_topk"
-MODULES = ("retrieval", "wording", "scheduling", "matching", "listing", "evaluation", "reporting", "ingestion", "registers", "audit", "cases", "records", "schedule", "extraction", "stored", "structure")
+MODULES = ("retrieval", "wording", "scheduling", "matching", "listing", "evaluation", "reporting", "ingestion", "registers", "audit", "cases", "records", "schedule", "extraction", "stored", "structure", "matchrun")
 
 
 class Tables:
