@@ -39,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dossier.llm.frames import documents, settled, volume
-from dossier.llm.phrase_bitmaps import KEY_SHIFTS, LOWER, KeySet, Level, Shard, bucket_of, first_key, piece_words, spread, word_hashes
+from dossier.llm.key_filter import FILTER_POWER, KeySet, bucket_of, key_set, spread
+from dossier.llm.phrase_bitmaps import LOWER, Level, Shard, first_key, piece_words, word_hashes
 from dossier.llm.words import U64, slices, texts_of
 
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
 SHARD_WORDS = 1 << 20
-FILTER_POWER = 28
 #: The first cut of a language's ranking; each part hands on TOP rows at most.
 RANK_PARTS = 64
 #: Text whose phrases share a bucket, and the most buckets as a power of two.
@@ -211,21 +211,6 @@ def frequent_keys(packed: DataFrame, support: int) -> DataFrame:
     return settled(packed.groupBy("bucket").applyInArrow(_merge_keys(support), "key long"))
 
 
-def key_set(keys: DataFrame, buckets: int = 0, most: int = FILTER_POWER) -> KeySet:
-    """The filter of all keys, put together by Spark in parts of 4 KB; 2^most bits reach the driver at most."""
-    n = keys.count()
-    power = min(most, max(16, int(16 * n).bit_length()))
-    unsigned = lambda s: F.shiftrightunsigned("key", s).bitwiseAND(F.lit((1 << power) - 1))
-    place = keys.select(F.explode(F.array(*[unsigned(s) for s in KEY_SHIFTS])).alias("place")).select((F.col("place") + 1).alias("place"))
-    parts = place.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    bits = np.zeros(1 << power >> 3, np.uint8)
-    for part in parts.collect():
-        found = np.frombuffer(bytes(part["bits"]), np.uint8)
-        at = (part["part"] - 1) * len(found)
-        bits[at : at + len(found)] = found[: len(bits) - at]
-    return KeySet(bits, power, buckets)
-
-
 def phrase_counts(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_words: int = SHARD_WORDS, power: int = FILTER_POWER) -> DataFrame:
     """(lang, phrase, len, a): exact counts of all phrases of `support` occurrences or more; len 0 has a language's words."""
     context = docs.sparkSession.sparkContext

@@ -22,8 +22,8 @@ a shared passage has nothing to ask.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing. A row with a null doc_id links with nothing and has a null
-component. Rows of one doc_id are one vertex with all their links. Extra columns
-are not read; an empty table gives an empty result.
+component. Rows of one doc_id are one vertex with all their links. Texts of any
+length give their whole set; a Jaccard of 0.8 exactly links. Extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ corpus) by bin completion; its patterns become ranges of ranks within each
 length. Pieces of a length are ranked in salted parts with exact offsets, and a
 search in the broadcast ranges gives each piece its sequence and place.
 
-Defined results: null and empty texts are one separator token. Repeated rows are
+Defined results: null and empty texts are one separator token; rows without
+doc_id are packed as any other. Texts of any length are cut into as many pieces
+as they need, and pieces of equal length may change places. Repeated rows are
 packed each on their own; which of several pieces of one length lies where
 follows the order in which they were written, not their doc_id. Extra columns are not read; an empty table gives an
 empty result.

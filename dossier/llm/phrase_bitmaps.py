@@ -18,13 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from dossier.llm.key_filter import KeySet
 from dossier.llm.words import U64, mix, span_hashes
 
 WIDTH = 16
 #: Triples that take a step together.
 OPEN = 1 << 16
-#: A key's places in a filter are its bits from here on.
-KEY_SHIFTS = (0, 18, 36)
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -76,30 +75,6 @@ def longer_key(prefix: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(prefix * U64(0x9FB21C651E98DF25) + mix(words ^ U64(0x5BD1E9955BD1E995)))
 
 
-def bucket_of(keys: np.ndarray, power: int) -> np.ndarray:
-    """The first `power` bits."""
-    return (keys >> U64(64 - power)).astype(np.int64) if power else np.zeros(len(keys), np.int64)
-
-
-def spread(bucket: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """One key from a bucket and the last 32 bits within it."""
-    return mix(bucket.astype(U64) << U64(32) | rest.astype(U64))
-
-
-class KeySet:
-    """A Bloom filter over bucket and last 32 bits of phrase keys, for pruning only: what it lets through too much is counted and dropped later."""
-
-    def __init__(self, bits: np.ndarray, power: int, buckets: int):
-        self.bits, self.mask, self.buckets = bits, U64((1 << power) - 1), buckets
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        short, out = spread(bucket_of(keys, self.buckets), keys & U64(0xFFFFFFFF)), np.ones(len(keys), bool)
-        for shift in KEY_SHIFTS:
-            at = (short >> U64(shift)) & self.mask
-            out &= (self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
-        return out
-
-
 @dataclass
 class Level:
     """Phrases of one length that begin with the words at hand: key, last word and count of each node, and their bitmaps."""

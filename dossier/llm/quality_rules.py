@@ -6,8 +6,11 @@ fifth of them, broadcast, and applied in Arrow batches to whole texts.
 
 Defined results: a null or blank text has no words and fails the base rules.
 Without labels of both classes every text that passes the base rules is kept
-and its probability is 1. Repeated rows give one row each; extra columns are
-not read; an empty table gives an empty result.
+and its probability is 1. A probability of the threshold exactly is kept. Rows
+without doc_id are judged, never learned from; of clashing labels of one doc_id
+the greatest counts, of its texts the smallest is learned from. Texts of any
+length are judged whole. Repeated rows give one row each; extra columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

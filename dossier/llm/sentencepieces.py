@@ -9,8 +9,8 @@ position in a bitfield so that it is never tried again. The number of steps is
 linear in the text.
 
 Defined results: null and empty texts are begin and end ids only. Characters
-outside the vocabulary become byte pieces. Repeated rows give one row each.
-Extra columns are not read. An empty table gives an empty result.
+outside the vocabulary become byte pieces. Texts of any length are encoded whole.
+Repeated rows and rows without doc_id give one row each. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

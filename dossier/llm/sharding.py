@@ -8,7 +8,8 @@ counts; after the exchange each shard permutes again, in hashed blocks with
 exact offsets, so no task ever holds a shard.
 
 Defined results: law `rows`, counts at most one apart. A null text has size 8
-and CRC 0. Rows are dealt by their number in the written table, so repeated rows
+and CRC 0. Rows without doc_id and texts of any length are rows as any other.
+Rows are dealt by their number in the written table, so repeated rows
 are dealt independently and no two keys tie. A uniform deal with exact sizes
 parts equal texts: groups of equal texts are not kept together. Extra columns aren't read; an empty table gives an empty result.
 """

@@ -17,8 +17,9 @@ Batches and buckets grow with the square root of the input.
 
 Defined results: a null text has no words; texts below WINDOW words lose none.
 Rows with a null doc_id count as later than all others. Rows that repeat a
-doc_id are not smaller than each other and take nothing from each other. Extra
-columns are not read; an empty table gives an empty result. Rows are dealt to
+doc_id are not smaller than each other and take nothing from each other. Texts
+of any length are read whole, each in one batch. Extra columns are not read; an
+empty table gives an empty result. Rows are dealt to
 batches by doc_id and place, so docs must be a table or checkpoint that every
 job reads alike; answers that don't fit their batch raise.
 """

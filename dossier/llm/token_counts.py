@@ -4,11 +4,14 @@ A text is normalised to its UTF-8 bytes (null: empty) and digested; the cache
 table holds (content digest, tokenizer digest, token count). The input's
 digests are joined with the cache; only distinct misses are encoded, appended,
 and joined back. The tokenizer digest is that of its file, so a new version
-never meets old counts.
+never meets old counts. Texts leave the map side only where a filter takes them
+for a miss (at most 0.6 % too many, up to 16 million misses): with a warm cache
+none does.
 
 Defined results: null and empty texts count 0 tokens. Repeated rows give one
-row each. Special strings inside texts are encoded as the library does by
-default. Extra columns are not read. An empty table gives an empty result.
+row each, rows without doc_id too. Texts of any length are encoded whole.
+Special strings inside texts are encoded as the library does by default. Extra
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm.frames import documents, removed, settled, shared_dir
+from dossier.llm.key_filter import key_set
 from dossier.llm.pieces import ChunkEncoder, chunk_spans, distinct_chunks
 from dossier.llm.words import slices, texts_of
 
@@ -97,6 +101,16 @@ def _count_batches(path: str):
     return run
 
 
+def _among(missing):
+    """Arrow mapper: the rows whose key, in the last column, the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(missing.value.holds(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return run
+
+
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(cache)
@@ -112,8 +126,12 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, limit: int = TOKEN
     stored = read_cache(spark, cache).filter(F.col("tokenizer") == version)
     # one text of each digest that the cache lacks, known by its smallest doc_id and the digest, as a doc_id can have several texts
     distinct = keyed.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
-    misses = distinct.join(stored.select("content"), "content", "left_anti")
-    texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"), content.alias("content"))
+    misses = settled(distinct.join(stored.select("content"), "content", "left_anti"))
+    # only rows that a filter of these takes for one of them leave the map side; the joins below are exact
+    named = F.xxhash64("doc_id", "content").alias("key")
+    missing = spark.sparkContext.broadcast(key_set(misses.select(named)))
+    texts = docs.select(F.col("doc_id").cast("long"), text.alias("text"), content.alias("content")).select("*", named)
+    texts = texts.mapInArrow(_among(missing), texts.schema).drop("key")
     # rows that repeat both are combined before the exchange
     single = texts.filter("doc_id is not null").groupBy("doc_id", "content").agg(F.first("text").alias("text"))
     wanted = single.join(misses.filter("doc_id is not null"), ["doc_id", "content"]).select("content", "text")

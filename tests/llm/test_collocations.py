@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 import pytest
 
 from dossier.llm import collocations as co
-from dossier.llm.phrase_bitmaps import KeySet, Shard, bucket_of, spread
+from dossier.llm.key_filter import KeySet, bucket_of, key_set, spread
+from dossier.llm.phrase_bitmaps import Shard
 
 SCHEMA = "doc_id long, text string, lang string, n long, phrase string, key long, `len` int, rank int"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,10 +117,10 @@ def test_filters_hold_every_key(spark):
     mine, others = (rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) for n in (5000, 10_000))
     for buckets in (0, 5, 20):
         short = spread(bucket_of(mine, buckets), mine & np.uint64(0xFFFFFFFF)).view(np.int64)
-        known = co.key_set(spark.createDataFrame([(int(k),) for k in short], "key long"), buckets)
+        known = key_set(spark.createDataFrame([(int(k),) for k in short], "key long"), buckets)
         assert known.has(mine).all()
         assert known.has(others).mean() < 0.05
-    assert not co.key_set(spark.createDataFrame([], "key long")).has(mine).any()
+    assert not key_set(spark.createDataFrame([], "key long")).has(mine).any()
 
 
 def test_counts_of_a_bucket_add_up():
