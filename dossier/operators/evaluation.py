@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,13 +76,18 @@ def set_metrics(truth: DataFrame, predicted: DataFrame, by: list[str], item: str
     return both.select(*by, F.size("truth").alias("n_truth"), F.size("predicted").alias("n_predicted"), *[v.alias(k) for k, v in set_scores(F.col("truth"), F.col("predicted"), empty_prediction_is_right).items()])
 
 
-def document_rollup(selected: DataFrame, scope: str, doc: str, chunk: str, rank: str) -> DataFrame:
-    """Per (scope, doc): distinct evidence chunks and best rank, ordered within the scope."""
-    from dossier.functions.columns import ranked
+def document_rollup(selected: DataFrame, scope: str, doc: str, chunk: str, rank: str, shown: Sequence[str] = ()) -> DataFrame:
+    """Per (scope, doc): distinct evidence chunks, best rank and the `shown` texts (the first of each), ordered within the scope.
+
+    Most evidence comes first, then the best rank (none or none above 0 last),
+    then the shown texts, such as number and title, then the document.
+    """
+    from dossier.functions.columns import ranked, text_or_blank
 
-    per = selected.groupBy(scope, doc).agg(F.array_sort(F.collect_set(chunk)).alias("evidence"), F.min(rank).alias("best_rank"))
+    usable = F.when(F.col(rank) > 0, F.col(rank))
+    per = selected.groupBy(scope, doc).agg(F.array_sort(F.collect_set(chunk)).alias("evidence"), F.min(usable).alias("best_rank"), *[F.min(F.trim(text_or_blank(c))).alias(c) for c in shown])
     per = per.withColumn("n_evidence", F.size("evidence"))
-    return per.withColumn("position", ranked([scope], F.desc("n_evidence"), F.asc("best_rank"), F.asc(doc)))
+    return per.withColumn("position", ranked([scope], F.desc("n_evidence"), F.asc_nulls_last("best_rank"), *[F.asc(c) for c in shown], F.asc(doc)))
 
 
 def verified(judged: DataFrame, verifier: DataFrame, keys: list[str], level: int = RELEVANT) -> DataFrame:

@@ -46,6 +46,37 @@ def score_stats(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     return out.select(*by, "n", "mean", *[F.round(F.col("p")[i], 6).alias(name) for i, name in enumerate(("p10", "median", "p90"))])
 
 
+def score_gaps(rows: DataFrame, key: str, mode: str, score: str, choice: str, base: str) -> DataFrame:
+    """Per mode: rows, scores there are, their spread, and how they and the choices stand against the base mode's, row by row.
+
+    A delta needs a score on both sides; four digits. rows: one a key and mode.
+    """
+    own = rows.filter(F.col(mode) == base).select(key, F.col(score).alias("_base"), F.col(choice).alias("_choice"))
+    delta = F.round(F.col(score) - F.col("_base"), 9)
+    both = rows.join(own, key, "left").withColumn("_delta", delta)
+    spread = lambda c: F.percentile(c, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    out = both.groupBy(mode).agg(
+        F.count(F.lit(1)).alias("rows_total"), F.count(score).alias("score_available_rows"), F.avg(score).alias("mean"), spread(score).alias("s"), F.avg("_delta").alias("mean_delta"), F.percentile("_delta", F.lit(0.5)).alias("median_delta"),
+        F.count_if(F.col("_delta") > 0).alias("positive_delta_rows"), F.count_if(F.col("_delta") < 0).alias("negative_delta_rows"), F.count_if(F.col("_delta") == 0).alias("zero_delta_rows"),
+        F.count_if(~F.col(choice).eqNullSafe(F.col("_choice"))).alias("choice_changed_rows"),
+    )
+    four = lambda c: F.round(c, 4)
+    return out.select(
+        mode, "rows_total", "score_available_rows", F.round(100.0 * F.col("score_available_rows") / F.col("rows_total"), 2).alias("score_available_pct"), four("mean").alias("mean"), *[four(F.col("s")[i]).alias(n) for i, n in enumerate(("p10", "median", "p90"))],
+        four("mean_delta").alias("mean_delta"), four("median_delta").alias("median_delta"), "positive_delta_rows", "negative_delta_rows", "zero_delta_rows", "choice_changed_rows",
+    )
+
+
+def gaps_by_reason(rows: DataFrame, reason: str, delta: str) -> DataFrame:
+    """(reason, n, mean, median, position) of deltas; a blank reason is EMPTY; most frequent first, then by median."""
+    from dossier.functions.columns import text_or_blank
+
+    named = F.when(F.trim(text_or_blank(reason)) == "", "EMPTY").otherwise(F.col(reason))
+    out = rows.groupBy(named.alias(reason)).agg(F.count(delta).alias("n"), F.round(F.avg(delta), 4).alias("mean"), F.round(F.percentile(delta, F.lit(0.5)), 4).alias("median"))
+    # as many rows as there are kinds of reasons
+    return out.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("median"), F.asc(reason))))
+
+
 def suggested_threshold(values: DataFrame, column: str) -> DataFrame:
     """Middle of the largest gap between neighbouring values in [TAU_LOW, TAU_HIGH], earliest on ties; else the default.
 

@@ -37,6 +37,15 @@ def doc_level_rollup(t: Tables) -> DataFrame:
     return E.document_rollup(rows, "scope", "doc", "l_orderkey", "l_linenumber")
 
 
+@query("""WITH g AS (SELECT l_suppkey % 10 AS scope, l_partkey AS doc, list_sort(list_distinct(list(l_orderkey))) AS evidence, min(CASE WHEN l_linenumber > 3 THEN l_linenumber END) AS best_rank, min('N' || l_partkey % 7) AS docno, min(trim(coalesce(p_name, ''))) AS title FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
+SELECT scope, doc, best_rank, docno, title, len(evidence) AS n_evidence, row_number() OVER (PARTITION BY scope ORDER BY len(evidence) DESC, coalesce(best_rank, 1000000000), docno, title, doc) AS position FROM g""")
+def rollup_by_number_and_title(t: Tables) -> DataFrame:
+    """Equal evidence and rank go by document number, then title; ranks of 0 and below are none."""
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"), "left")
+    rows = rows.select((F.col("l_suppkey") % 10).alias("scope"), F.col("l_partkey").alias("doc"), "l_orderkey", F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).otherwise(-1).alias("rank"), F.concat(F.lit(" N"), F.col("l_partkey") % 7).alias("docno"), F.col("p_name").alias("title"))
+    return E.document_rollup(rows, "scope", "doc", "l_orderkey", "rank", ["docno", "title"]).drop("evidence")
+
+
 QREL = "q AS (SELECT l_orderkey % 500 AS query_id, l_partkey % 50 AS doc_id, greatest(0, least(3, l_linenumber - 2)) AS relevance FROM lineitem)"
 
 

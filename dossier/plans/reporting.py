@@ -53,6 +53,35 @@ def score_stats_percentiles(t: Tables) -> DataFrame:
     return R.score_stats(t.lineitem, ["l_returnflag"], "l_extendedprice")
 
 
+_MODES = """m AS (SELECT o_orderkey, unnest(['text', 'structured', 'hybrid']) AS mode, o_custkey, o_totalprice, o_orderpriority FROM orders),
+s AS (SELECT o_orderkey, mode, o_orderpriority, CASE WHEN mode = 'structured' AND o_custkey % 5 = 0 THEN NULL WHEN mode = 'text' AND o_custkey % 11 = 0 THEN NULL ELSE round(o_totalprice / 100000, 4) + CASE mode WHEN 'text' THEN 0 WHEN 'hybrid' THEN (o_custkey % 3 - 1) / 4.0 ELSE 0.5 END END::DOUBLE AS score,
+  CASE WHEN mode = 'text' OR o_custkey % 4 > 0 THEN o_orderkey % 7 END AS choice FROM m)"""
+
+
+def _modes(t: Tables) -> DataFrame:
+    k, mode = F.col("o_custkey"), F.col("mode")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.explode(F.array(*[F.lit(m) for m in ("text", "structured", "hybrid")])).alias("mode"))
+    missing = ((mode == "structured") & (k % 5 == 0)) | ((mode == "text") & (k % 11 == 0))
+    more = F.when(mode == "text", 0.0).when(mode == "hybrid", (k % 3 - 1) / 4.0).otherwise(0.5)
+    return rows.withColumns({"score": F.when(~missing, F.round(F.col("o_totalprice") / 100000, 4) + more), "choice": F.when((mode == "text") | (k % 4 > 0), F.col("o_orderkey") % 7)})
+
+
+@query(f"""WITH {_MODES}, b AS (SELECT o_orderkey, score AS bs, choice AS bc FROM s WHERE mode = 'text'), d AS (SELECT s.*, bc, round(score - bs, 9) AS delta FROM s JOIN b USING (o_orderkey))
+SELECT mode, count(*) AS rows_total, count(score) AS score_available_rows, round(100.0 * count(score) / count(*), 2) AS score_available_pct, round(avg(score), 4) AS mean, round(quantile_cont(score, 0.1), 4) AS p10, round(quantile_cont(score, 0.5), 4) AS median, round(quantile_cont(score, 0.9), 4) AS p90,
+  round(avg(delta), 4) AS mean_delta, round(quantile_cont(delta, 0.5), 4) AS median_delta, count(*) FILTER (delta > 0) AS positive_delta_rows, count(*) FILTER (delta < 0) AS negative_delta_rows, count(*) FILTER (delta = 0) AS zero_delta_rows, count(*) FILTER (choice IS DISTINCT FROM bc) AS choice_changed_rows FROM d GROUP BY 1""")
+def score_gaps_of_modes(t: Tables) -> DataFrame:
+    return R.score_gaps(_modes(t), "o_orderkey", "mode", "score", "choice", "text")
+
+
+@query(f"""WITH {_MODES}, b AS (SELECT o_orderkey, score AS bs FROM s WHERE mode = 'text'), d AS (SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'EMPTY' ELSE o_orderpriority END AS reason, round(score - bs, 9) AS delta FROM s JOIN b USING (o_orderkey) WHERE mode = 'hybrid'),
+g AS (SELECT reason, count(delta) AS n, round(avg(delta), 4) AS mean, round(quantile_cont(delta, 0.5), 4) AS median FROM d GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n DESC, median DESC, reason) AS position FROM g""")
+def score_gaps_by_reason(t: Tables) -> DataFrame:
+    modes = _modes(t)
+    base = modes.filter("mode = 'text'").select("o_orderkey", F.col("score").alias("base"))
+    rows = modes.filter("mode = 'hybrid'").join(base, "o_orderkey").select(F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority")).otherwise(" ").alias("reason"), F.round(F.col("score") - F.col("base"), 9).alias("delta"))
+    return R.gaps_by_reason(rows, "reason", "delta")
+
+
 @query("""WITH v AS (SELECT DISTINCT o_totalprice / 500000 AS v FROM orders WHERE o_totalprice / 500000 BETWEEN 0.4 AND 0.9), g AS (SELECT v, lag(v) OVER (ORDER BY v) AS p FROM v) SELECT round(coalesce(arg_max((v + p) / 2, (round(v - p, 12), -v)), 0.7), 3) AS tau FROM g WHERE p IS NOT NULL""")
 def tau_gap(t: Tables) -> DataFrame:
     return R.suggested_threshold(t.orders.select((F.col("o_totalprice") / 500000).alias("v")), "v")
