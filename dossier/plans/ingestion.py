@@ -59,8 +59,20 @@ def chunk_totals(t: Tables) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n")) - F.col("continues").cast("int")).alias("n_lines"), F.sum("token_count").cast("long").alias("n_words"))
 
 
-@query()
+@query(r"""WITH RECURSIVE h1 AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') AS x FROM pages),
+h2 AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</(p|div|li|h[1-6]|tr|title|nav|ul|ol|table|section|article)>|<br ?/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM h1),
+h3 AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM h2),
+h4 AS (SELECT page_id, string_split(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), chr(10)) AS ls FROM h3),
+ln AS (SELECT page_id, pos, trim(line) AS line FROM (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM h4) WHERE trim(line) <> ''),
+wd AS (SELECT page_id, pos, line, string_split_regex(line, '[ \t\x0b\f\r]+') AS ws FROM ln),
+pc AS (SELECT page_id, pos, i, CASE WHEN len(ws) <= 64 THEN line ELSE array_to_string(ws[i * 64 + 1:(i + 1) * 64], ' ') END AS t, len(ws[i * 64 + 1:(i + 1) * 64]) AS n FROM (SELECT *, unnest(range(0, (len(ws) + 63) // 64)) AS i FROM wd)),
+sq AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos, i) AS seq FROM pc),
+rec AS (SELECT page_id, seq, 0 AS chunk, n AS tok FROM sq WHERE seq = 1
+  UNION ALL SELECT s.page_id, s.seq, CASE WHEN s.i = 0 AND r.tok + s.n <= 64 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN s.i = 0 AND r.tok + s.n <= 64 THEN r.tok + s.n ELSE s.n END FROM rec r JOIN sq s ON s.page_id = r.page_id AND s.seq = r.seq + 1),
+ch AS (SELECT page_id, chunk, string_agg(t, chr(10) ORDER BY seq) AS text, sum(n) AS n FROM rec JOIN sq USING (page_id, seq) GROUP BY ALL)
+SELECT page_id AS doc_id, chunk::INT AS chunk_index, text, n::INT AS token_count, page_id || '_chunk_' || lpad(chunk::VARCHAR, 6, '0') || '_' || sha256(text)[1:12] AS chunk_id FROM ch""")
 def page_chunks(t: Tables) -> DataFrame:
+    """Visible paragraphs of web pages, packed up to 64 words."""
     pages = t.pages.select("page_id", K.html_text("html").alias("text"))
     return K.chunk_paragraphs(pages, "page_id", "text", 64)
 
