@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.columns import ranked
 from dossier.functions.text import bounded_int, without_fence
+from dossier.operators.listing import numbered, with_group
 from dossier.operators.providers import Judge, judge_rows
 
 MOST_ITEMS = 20
@@ -36,7 +36,11 @@ def verified_extraction(rows: DataFrame, asked: Column, verifier: Judge, payload
 
 def grouped_payloads(rows: DataFrame, by: Sequence[str], key: str, item: Column, most: int = MOST_ITEMS) -> DataFrame:
     """(by, batch, keys, payload): the items of a group in order of their key, `most` at a time, as one JSON list each."""
-    placed = rows.withColumn("_n", ranked(list(by), F.asc(key)) - 1).withColumn("batch", F.floor(F.col("_n") / most).cast("int"))
+    # numbered over all groups in ranges, then from each group's first: no group is sorted by one task
+    by = list(by)
+    placed = numbered(rows, [*[F.asc(b) for b in by], F.asc(key)], "_no")
+    placed = with_group(placed, placed.groupBy(*by).agg(F.min("_no").alias("_first")), by).withColumn("_n", F.col("_no") - F.col("_first"))
+    placed = placed.withColumn("batch", F.floor(F.col("_n") / most).cast("int"))
     listed = F.array_sort(F.collect_list(F.struct("_n", F.col(key).alias("id"), item.alias("item"))))
     out = placed.groupBy(*by, "batch").agg(listed.alias("_l"))
     shown = F.to_json(F.transform("_l", lambda x: F.struct(x["id"].alias("id"), x["item"].alias("item"))))

@@ -169,10 +169,11 @@ def renumber_audit(audit: DataFrame, consolidated: DataFrame, old: str, title: s
 
 
 def disambiguate(rows: DataFrame, title: str, scope: str, both: tuple[str, str], qualifier: Column) -> DataFrame:
-    """Titles that occur in both scopes get a qualifier."""
-    scopes = F.collect_set(scope).over(Window.partitionBy(title))
-    two = F.array_contains(scopes, both[0]) & F.array_contains(scopes, both[1])
-    return rows.withColumn("_two", two).withColumn(title, F.when(F.col("_two"), F.concat(F.col(title), F.lit(" ("), qualifier, F.lit(")"))).otherwise(F.col(title))).drop("_two")
+    """Titles that occur in both scopes get a qualifier; the scopes of a title meet in an aggregate, not its rows."""
+    held = rows.groupBy(title).agg(*[F.bool_or(F.col(scope) == x).alias(f"_{i}") for i, x in enumerate(both)])
+    two = held.filter("_0 and _1").select(title, F.lit(True).alias("_two"))
+    named = F.when(F.col("_two"), F.concat(F.col(title), F.lit(" ("), qualifier, F.lit(")"))).otherwise(F.col(title))
+    return with_group(rows, two, [title]).withColumn(title, named).drop("_two")
 
 
 def conservative_merge(rows: DataFrame, group: str, key: str) -> DataFrame:
