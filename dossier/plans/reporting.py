@@ -54,7 +54,7 @@ def score_stats_percentiles(t: Tables) -> DataFrame:
 
 
 _MODES = """m AS (SELECT o_orderkey, unnest(['text', 'structured', 'hybrid']) AS mode, o_custkey, o_totalprice, o_orderpriority FROM orders),
-s AS (SELECT o_orderkey, mode, o_orderpriority, CASE WHEN mode = 'structured' AND o_custkey % 5 = 0 THEN NULL WHEN mode = 'text' AND o_custkey % 11 = 0 THEN NULL ELSE round(o_totalprice / 100000, 4) + CASE mode WHEN 'text' THEN 0 WHEN 'hybrid' THEN (o_custkey % 3 - 1) / 4.0 ELSE 0.5 END END::DOUBLE AS score,
+s AS (SELECT o_orderkey, mode, o_orderpriority, CASE WHEN mode = 'structured' AND o_custkey % 5 = 0 THEN NULL WHEN mode = 'text' AND o_custkey % 11 = 0 THEN NULL ELSE round(o_totalprice / 100000, 2) + CASE mode WHEN 'text' THEN 0 WHEN 'hybrid' THEN (o_custkey % 3 - 1) / 4.0 ELSE 0.5 END END::DOUBLE AS score,
   CASE WHEN mode = 'text' OR o_custkey % 4 > 0 THEN o_orderkey % 7 END AS choice FROM m)"""
 
 
@@ -63,7 +63,7 @@ def _modes(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.explode(F.array(*[F.lit(m) for m in ("text", "structured", "hybrid")])).alias("mode"))
     missing = ((mode == "structured") & (k % 5 == 0)) | ((mode == "text") & (k % 11 == 0))
     more = F.when(mode == "text", 0.0).when(mode == "hybrid", (k % 3 - 1) / 4.0).otherwise(0.5)
-    return rows.withColumns({"score": F.when(~missing, F.round(F.col("o_totalprice") / 100000, 4) + more), "choice": F.when((mode == "text") | (k % 4 > 0), F.col("o_orderkey") % 7)})
+    return rows.withColumns({"score": F.when(~missing, F.round(F.col("o_totalprice") / 100000, 2) + more), "choice": F.when((mode == "text") | (k % 4 > 0), F.col("o_orderkey") % 7)})
 
 
 @query(f"""WITH {_MODES}, b AS (SELECT o_orderkey, score AS bs, choice AS bc FROM s WHERE mode = 'text'), d AS (SELECT s.*, bc, round(score - bs, 9) AS delta FROM s JOIN b USING (o_orderkey))
