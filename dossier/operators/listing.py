@@ -154,12 +154,19 @@ def consolidate(rows: DataFrame, keys: list[str], position: str, joined: dict[st
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "no") -> DataFrame:
-    """Gapless numbers in a total order. Ranges are sorted in parallel; only their counts meet."""
-    spread = rows.repartitionByRange(*[o for o in order]).withColumn("_p", F.spark_partition_id())
-    spread = spread.withColumn("_i", ranked(["_p"], *order))
-    sizes = spread.groupBy("_p").agg(F.max("_i").alias("_n"))
+    """Gapless numbers in a total order. Ranges are sorted in parallel; only their counts meet.
+
+    The dealt ranges are written once: their bounds come from a sample, and two
+    readings of one plan may deal rows into other ranges.
+    """
+    from dossier.sources.scratch import settled
+
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = settled(placed).withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND((1 << 33) - 1) + 1}).drop("_m")
+    sizes = placed.groupBy("_p").agg(F.max("_i").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return spread.join(sizes.select("_p", before.alias("_b")), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+    # a row for each range
+    return placed.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
 
 
 def renumber_audit(audit: DataFrame, consolidated: DataFrame, old: str, title: str) -> DataFrame:
