@@ -28,3 +28,21 @@ def test_numbers_hold_where_one_plan_reads_its_ranges_twice(spark):
         got = out.agg(F.count("*"), F.count_distinct("no"), F.min("no"), F.max("no"), F.max("payload")).first()
         turned = out.withColumn("before", F.lag("k").over(Window.orderBy("no"))).filter("k <= before").count()
     assert (*got[:4], turned) == (300_000, 300_000, 1, 300_000, 0)
+
+
+def test_every_row_of_large_groups_is_asked_about_once(spark):
+    import json
+
+    from dossier.operators import extraction as X
+
+    class All:
+        def judge(self, payloads):
+            return [json.dumps([{"id": x["id"], "twice": 2 * x["item"]} for x in json.loads(p)]) for p in payloads]
+
+    rows = spark.range(0, 200_000, 1, 8).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("size"))
+    with settings(spark, spark_sql_shuffle_partitions="64", spark_sql_adaptive_coalescePartitions_parallelismFirst="false", spark_sql_adaptive_coalescePartitions_minPartitionSize="16k", spark_sql_adaptive_advisoryPartitionSizeInBytes="64k"):
+        asked = X.grouped_payloads(rows, ["g"], "id", F.col("size"), 7)
+        sizes = asked.agg(F.sum(F.size("keys")), F.max(F.size("keys")), F.count("*"), F.min("batch")).first()
+        out = X.answers_of_groups(rows, ["g"], "id", F.col("size"), All(), "id bigint, twice bigint", 7)
+        wrong = out.filter("not answered or answer.twice <> 2 * size").count()
+    assert (tuple(sizes), wrong) == ((200_000, 7, 3 * -(-66_667 // 7), 0), 0)
