@@ -101,7 +101,8 @@ def register_titles(cells: DataFrame) -> DataFrame:
     place = lambda names: F.array_max(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.array_position(F.col("u"), n)))
     marked = cells.withColumn("u", upper).withColumns({"t": place(TITLE_HEADERS), "n": place(NUMBER_HEADERS)})
     heads = marked.filter((F.col("t") > 0) & (F.col("row") <= HEADER_ROWS)).groupBy("source_file", "sheet").agg(F.min_by(F.struct("row", "t", "n"), "row").alias("h"))
-    body = marked.join(heads, ["source_file", "sheet"]).filter(F.col("row") > F.col("h.row"))
+    # there is a header for each sheet, however small the cells look to the planner: both sides are shuffled, none is broadcast
+    body = marked.hint("merge").join(heads.hint("merge"), ["source_file", "sheet"]).filter(F.col("row") > F.col("h.row"))
     cell = lambda at: F.when(at > 0, F.trim(F.coalesce(F.get("cells", at - 1), F.lit("")))).otherwise("")
     titles = body.select("source_file", "sheet", "row", cell(F.col("h.n")).alias("document_no"), cell(F.col("h.t")).alias("title"))
     return titles.filter((F.col("title") != "") & ~F.upper("title").isin(*TITLE_HEADERS))

@@ -46,3 +46,14 @@ def test_every_row_of_large_groups_is_asked_about_once(spark):
         out = X.answers_of_groups(rows, ["g"], "id", F.col("size"), All(), "id bigint, twice bigint", 7)
         wrong = out.filter("not answered or answer.twice <> 2 * size").count()
     assert (tuple(sizes), wrong) == ((200_000, 7, 3 * -(-66_667 // 7), 0), 0)
+
+
+def test_headers_of_many_sheets_are_not_broadcast(spark):
+    from dossier.sources.office import register_titles
+
+    # the planner takes an exploded array for a few bytes, whatever it holds
+    sheets = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.array(F.lit(c)).alias("cells")) for r, c in ((1, "Title"), (2, "Layout"))]))
+    cells = spark.range(100).select(F.col("id").cast("string").alias("source_file"), F.lit("one").alias("sheet"), sheets.alias("r")).select("source_file", "sheet", "r.*")
+    out = register_titles(cells)
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(str(i), "one", 2, "", "Layout") for i in range(100)}
