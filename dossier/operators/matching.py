@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ LEAST_SCORE = 0.2
 MOST_CANDIDATES = 300
 RESCUE_BELOW = 0.7
 STRUCTURED_LEAD = 1.05
+#: Rows of either side in a cell of grid_join, and the most partitions that it asks for.
+CELL_ROWS, MOST_PARTS = (1 << 11, 1 << 12), 10_000
 STRICT_FAMILIES = ("classification", "curve", "design_recommendation", "painting_specification", "foundation", "diagram", "procedure", "study")
 GENERIC_SUBTYPES = ("", "calculation", "data_sheet", "diagram", "drawing", "list", "manual", "procedure", "report", "specification", "technical_specification")
 EXCLUSIVE_SYSTEMS = ("fire_protection", "drainage", "cooling_tower")
@@ -144,10 +148,49 @@ def prefer_structured(structured: Column, text: Column, conflict: Column) -> Col
     return F.coalesce((structured >= text * STRUCTURED_LEAD) & ~conflict, F.lit(False))
 
 
+def grid_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join whose result may be far larger than its inputs: the rows of each key are dealt into a grid of CELL_ROWS.
+
+    Each cell is made by one task, and there are as many partitions as cells, so
+    that neither a hot key nor a small input gathers the pairs in few tasks. Rows
+    of the left side go to the cells of their row, those of the right to the
+    cells of their column; each pair meets once.
+    """
+    from dossier.sources.scratch import settled
+
+    on, (wide, high) = list(on), CELL_ROWS
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(right.groupBy(*on).agg(F.count(F.lit(1)).alias("_m")), on)
+    sizes = settled(sizes.select(*on, F.monotonically_increasing_id().alias("_key_no"), F.ceil(F.col("_n") / wide).cast("int").alias("_rows"), F.ceil(F.col("_m") / high).cast("int").alias("_columns")))
+    cells = int(sizes.agg(F.sum(F.col("_rows").cast("long") * F.col("_columns"))).first()[0] or 0)
+    parts = max(2 * left.sparkSession.sparkContext.defaultParallelism, min(cells, MOST_PARTS))
+
+    at = ["_key_no", "_row", "_column"]  # read from a table, so that no optimizer folds a constant among them and shuffles again
+
+    def dealt(df: DataFrame, own: str, mine: str, other: str, theirs: str) -> DataFrame:
+        keyed = df.join(sizes, on).withColumn(mine, F.pmod(F.xxhash64(*df.columns), F.col(own)).cast("int"))
+        return keyed.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_rows", "_columns").repartition(parts, *at)
+
+    met = dealt(left, "_rows", "_row", "_columns", "_column").join(dealt(right, "_columns", "_column", "_rows", "_row").drop(*on).hint("shuffle_hash"), at)
+    return met.drop(*at)
+
+
 def cells(left: DataFrame, right: DataFrame, system: str = "systems", phase: str = "phases") -> DataFrame:
-    """Pairs that share a (system, phase) cell; both sides list several of each, pairs come once."""
-    spread = lambda df, key: df.select(key, F.explode(system).alias("system"), phase).select(key, "system", F.explode(phase).alias("phase"))
-    return spread(left, "query_id").join(spread(right, "activity_id"), ["system", "phase"]).select("query_id", "activity_id").distinct()
+    """Pairs that share a (system, phase) cell; both sides list several of each, pairs come once.
+
+    Rows of the same cells are one class. Classes meet by their cells and are made
+    distinct, then their members are paired: no pair of rows is shuffled or compared.
+    """
+
+    def classed(df: DataFrame, key: str, name: str) -> DataFrame:
+        spread = df.select(key, F.explode(system).alias("system"), phase).select(key, "system", F.explode(phase).alias("phase")).dropna(subset=["system", "phase"])
+        held = spread.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("system", "phase"))).alias("cells"))
+        return held.withColumn(name, F.sha2(F.to_json("cells"), 256))
+
+    queries, activities = classed(left, "query_id", "_l"), classed(right, "activity_id", "_r")
+    spread = lambda df, name: df.select(name, "cells").distinct().select(name, F.explode("cells").alias("c")).select(name, "c.*")
+    classes = spread(queries, "_l").join(spread(activities, "_r"), ["system", "phase"]).select("_l", "_r").distinct()
+    reached = classes.join(activities.select("_r", "activity_id"), "_r").select("_l", "activity_id")
+    return grid_join(queries.select("_l", "query_id"), reached, ["_l"]).select("query_id", "activity_id")
 
 
 def cell_reason_of(has_index: Column, n_systems: Column, n_phases: Column, system_known: Column, n_found: Column) -> Column:

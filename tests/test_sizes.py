@@ -57,3 +57,17 @@ def test_headers_of_many_sheets_are_not_broadcast(spark):
     out = register_titles(cells)
     assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
     assert {tuple(r) for r in out.collect()} == {(str(i), "one", 2, "", "Layout") for i in range(100)}
+
+
+def test_pairs_of_a_cell_are_made_once_and_not_made_distinct(spark):
+    from dossier.operators import matching as M
+
+    one = lambda df, name, a, b: df.select(F.col("id").alias(name), F.array((F.col("id") % 2).cast("int"), F.lit(None).cast("int"), F.lit(7)).alias("systems"), F.array(F.lit(a), F.when(F.col("id") % 3 == 0, b), F.lit(a)).alias("phases"))
+    left, right = one(spark.range(5000), "query_id", "x", "y"), one(spark.range(9000), "activity_id", "x", "z")
+    out = M.cells(left.union(left), right)
+    shown = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not shown[0].startswith("Aggregate")  # pairs are not shuffled once more
+    got = out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.hash("query_id", "activity_id").cast("long")).alias("h")).collect()
+    want = spark.range(5000).crossJoin(spark.range(9000).withColumnRenamed("id", "o")).agg(F.sum(F.hash("id", "o").cast("long"))).first()[0]
+    assert (sum(r["n"] for r in got), sum(r["h"] for r in got)) == (45_000_000, want)
+    assert len(got) > 4 and max(r["n"] for r in got) < 45_000_000 / 2
