@@ -213,10 +213,16 @@ def mapped(queries: DataFrame, mapping: DataFrame, keys: str = "mapping_keys", s
 
 
 def competing_rules(rules: DataFrame) -> DataFrame:
-    """(rule_id, other_id): a generic rule and a scoped one of its subtype with overlapping scope and another timeline."""
-    generic = rules.filter("generic").select("rule_id", "subtype", "scope", "timeline")
-    scoped = rules.filter("not generic").select(F.col("rule_id").alias("other_id"), "subtype", F.col("scope").alias("other_scope"), F.col("timeline").alias("other_timeline"))
-    return generic.join(scoped, "subtype").filter(F.arrays_overlap("scope", "other_scope") & ~F.col("timeline").eqNullSafe(F.col("other_timeline"))).select("rule_id", "other_id")
+    """(rule_id, other_id): a generic rule and a scoped one of its subtype with overlapping scope and another timeline.
+
+    They meet by subtype and scope key; a pair that shares several is taken at the first of them.
+    """
+    keyed = rules.select("rule_id", "subtype", F.array_distinct("scope").alias("scope"), "timeline", "generic").withColumn("_key", F.explode("scope")).dropna(subset=["subtype", "_key"])
+    generic = keyed.filter("generic").drop("generic")
+    scoped = keyed.filter("not generic").select(F.col("rule_id").alias("other_id"), "subtype", F.col("scope").alias("other_scope"), F.col("timeline").alias("other_timeline"), "_key")
+    pairs = grid_join(generic, scoped, ["subtype", "_key"]).filter(~F.col("timeline").eqNullSafe(F.col("other_timeline")))
+    once = (F.size("scope") == 1) | (F.size("other_scope") == 1) | (F.array_min(F.array_intersect("scope", "other_scope")) == F.col("_key"))
+    return pairs.filter(once).select("rule_id", "other_id")
 
 
 def competing_for(rows: DataFrame, rules: DataFrame) -> DataFrame:
