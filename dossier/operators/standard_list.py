@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from dossier.functions.columns import ColumnOrName, contains_any, ladder, text_or_blank
 
+FACETS = ("document_type", "discipline", "inferred_system", "sub_system", "inferred_equipment", "scope_type", "standard_title")
+#: Rows of a task; each takes some hundred searches.
+TASK_ROWS = 50_000
 FIELDS = ("title", "equipment", "building", "system", "study", "others", "deliverable")
 # Markers of each ladder in their order, over lower-case text with single spaces.
 DELIVERABLE_TYPES = (
@@ -161,32 +164,29 @@ def engineering_case(x: ColumnOrName) -> Column:
     return F.array_join(F.transform(F.split(cell(x), " "), shown), " ")
 
 
-def no_document(x: Column) -> Column:
-    """Dates, notes and remarks in the place of a title."""
-    short = (F.size(F.split(x, " ")) <= 2) & contains_any(key(x), ("remark", "note", "date", "schedule 기준"))
+def no_document(x: Column, plain: Column) -> Column:
+    """Dates, notes and remarks in the place of a title; plain is the key of x."""
+    short = (F.size(F.split(x, " ")) <= 2) & contains_any(plain, ("remark", "note", "date", "schedule 기준"))
     marked = x.rlike("(?iU)\\bpo\\s*기준\\b|\\bpo\\s*base(?:d)?\\b|\\b\\d{1,2}\\s*월\\s*\\d{1,2}\\s*일\\b|\\b\\d{4}[-./]\\d{1,2}[-./]\\d{1,2}\\b|제출\\s*날짜|플기팀|구매팀")
-    return (x == "") | key(x).isin("-", "--", "tbd", "n a", "na", "none", "null") | marked | short
+    return (x == "") | plain.isin("-", "--", "tbd", "n a", "na", "none", "null") | marked | short
 
 
-def named_subject(x: ColumnOrName) -> Column:
-    """What a text is `for`; blank where it names nothing."""
+def subject_text(x: ColumnOrName) -> Column:
+    """What stands after `for` in a text."""
     subject = cell(F.regexp_extract(cell(x), "(?i)\\bfor\\s+(.+)$", 1))
     subject = F.regexp_replace(F.regexp_replace(subject, "^\\[|\\]$", ""), "(?i)\\s*\\([^)]*plant area[^)]*\\)\\s*", " ")
-    subject = cell(F.regexp_replace(subject, "^[ _\\[\\]-]+|[ _\\[\\]-]+$", ""))
-    full = F.create_map(*[F.lit(v) for p in EXPANSIONS.items() for v in p])[F.upper(subject)]
-    return F.coalesce(full, F.when((F.length(subject) >= 3) & ~no_document(subject), engineering_case(subject)), F.lit(""))
-
+    return cell(F.regexp_replace(subject, "^[ _\\[\\]-]+|[ _\\[\\]-]+$", ""))
 
-def study_model(study: Column) -> Column:
-    return first_marked(key(study), STUDY_MODELS, F.concat(engineering_case(study), F.lit(" Model")))
 
-
-def source_subject(title: ColumnOrName) -> Column:
-    return first_marked(key(title), SUBJECTS, "")
+def named_subject(subject: Column, plain: Column) -> Column:
+    """What a subject text names, plain being its key; blank where it names nothing."""
+    full = F.create_map(*[F.lit(v) for p in EXPANSIONS.items() for v in p])[F.upper(subject)]
+    return F.coalesce(full, F.when((F.length(subject) >= 3) & ~no_document(subject, plain), engineering_case(subject)), F.lit(""))
 
 
-def standard_title(equipment: Column, document_type: Column, title: ColumnOrName) -> Column:
-    kind, subject, said = key(document_type), source_subject(title), lambda *v: cell(F.concat_ws(" ", *v))
+def standard_title(equipment: Column, document_type: Column, kind: Column, subject: Column) -> Column:
+    """kind: the key of document_type; subject: what SUBJECTS name in the title."""
+    said = lambda *v: cell(F.concat_ws(" ", *v))
     plain = F.concat_ws(" ", equipment, document_type)
     for word in ("Drawing", "Report", "Study", "Procedure"):
         plain = F.regexp_replace(plain, f"(?i)\\b({word}) {word}\\b", word)
@@ -200,26 +200,39 @@ def standard_title(equipment: Column, document_type: Column, title: ColumnOrName
 
 
 def with_standard_facets(rows: DataFrame) -> DataFrame:
-    """rows (FIELDS) with document_type, discipline, inferred_system, sub_system, inferred_equipment, scope_type and standard_title."""
-    blank = lambda c: cell(c) == ""
-    filled = lambda c: cell(c) != ""
-    kind = F.when(filled("deliverable"), first_marked(joined(cell("deliverable"), cell("title")), DELIVERABLE_TYPES, engineering_case("deliverable"))).otherwise(first_marked(key("title"), TITLE_TYPES, "Document"))
-    rows = rows.withColumn("document_type", kind).withColumn("_text", joined(*[cell(c) for c in FIELDS]))
-    general = contains_any(key("document_type"), GENERAL_TYPES) & blank("equipment")
-    rows = rows.withColumn("discipline", first_marked(F.col("_text"), DISCIPLINES, F.when(general, "General").otherwise("Mechanical")))
-    system = [(contains_any(key("title"), words) | (contains_any(key("study"), words) if name != "Plant Performance System" else F.lit(False)), name) for name, words in SYSTEMS]
-    system = ladder((filled("system"), engineering_case("system")), *system, (key("building") != "", "Building / Structure System"), (key("equipment") != "", "Equipment Package System"), (F.col("discipline") == "General", "Project General System"), otherwise="Plant General System")
-    sub = ladder(*[(filled(c), engineering_case(c)) for c in ("building", "others", "study")], otherwise="General Area")
-    rows = rows.withColumn("inferred_system", system).withColumn("sub_system", sub)
-    others = F.when(named_subject("others") != "", named_subject("others")).otherwise(engineering_case("others"))
+    """rows (FIELDS) with document_type, discipline, inferred_system, sub_system, inferred_equipment, scope_type and standard_title.
+
+    Every cleaned text is a column of its own: inside the steps of a ladder it
+    would be cleaned again for each marker. Rows are dealt by their number, as a
+    small file of them is one task otherwise.
+    """
+    kept = rows.columns
+    tasks = -(-rows.count() // TASK_ROWS)
+    df = (rows.repartition(tasks) if tasks > 1 else rows).withColumns({f"_{c}": cell(c) for c in FIELDS})
+    c = lambda name: F.col(f"_{name}")
+    filled = lambda name: c(name) != ""
+    df = df.withColumns({f"_{x}_key": key(f"_{x}") for x in ("title", "equipment", "building", "study")} | {"_asked_key": joined(c("deliverable"), c("title")), "_text": joined(*[c(x) for x in FIELDS])})
+    df = df.withColumns({"_for_title": subject_text("_title"), "_for_others": subject_text("_others"), "_subject": first_marked(c("title_key"), SUBJECTS, "")})
+    kind = F.when(filled("deliverable"), first_marked(c("asked_key"), DELIVERABLE_TYPES, engineering_case("_deliverable"))).otherwise(first_marked(c("title_key"), TITLE_TYPES, "Document"))
+    df = df.withColumns({"document_type": kind, "_for_title_key": key("_for_title"), "_for_others_key": key("_for_others")})
+    df = df.withColumns({"_kind_key": key("document_type"), "_named_title": named_subject(c("for_title"), c("for_title_key")), "_named_others": named_subject(c("for_others"), c("for_others_key"))})
+    general = contains_any(c("kind_key"), GENERAL_TYPES) & ~filled("equipment")
+    df = df.withColumn("discipline", first_marked(c("text"), DISCIPLINES, F.when(general, "General").otherwise("Mechanical")))
+    system = [(contains_any(c("title_key"), words) | (contains_any(c("study_key"), words) if name != "Plant Performance System" else F.lit(False)), name) for name, words in SYSTEMS]
+    system = ladder((filled("system"), engineering_case("_system")), *system, (c("building_key") != "", "Building / Structure System"), (c("equipment_key") != "", "Equipment Package System"), (F.col("discipline") == "General", "Project General System"), otherwise="Plant General System")
+    sub = ladder(*[(filled(x), engineering_case(f"_{x}")) for x in ("building", "others", "study")], otherwise="General Area")
+    df = df.withColumns({"inferred_system": system, "sub_system": sub})
+    others = F.when(filled("named_others"), c("named_others")).otherwise(engineering_case("_others"))
+    model = first_marked(c("study_key"), STUDY_MODELS, F.concat(engineering_case("_study"), F.lit(" Model")))
     equipment = ladder(
-        (filled("equipment"), engineering_case("equipment")), (filled("building"), F.concat(engineering_case("building"), F.lit(" Structure"))), (filled("study"), study_model(cell("study"))), (filled("others"), others),
-        (named_subject("title") != "", named_subject("title")), (filled("system"), engineering_case("system")), (F.col("inferred_system").contains("Electrical Power"), "Electrical Network Model"),
+        (filled("equipment"), engineering_case("_equipment")), (filled("building"), F.concat(engineering_case("_building"), F.lit(" Structure"))), (filled("study"), model), (filled("others"), others),
+        (filled("named_title"), c("named_title")), (filled("system"), engineering_case("_system")), (F.col("inferred_system").contains("Electrical Power"), "Electrical Network Model"),
         (F.col("inferred_system").contains("Safety"), "Plant Safety Model"), (F.col("sub_system") != "General Area", F.col("sub_system")), otherwise="Plant General",
     )
-    rows = rows.withColumn("inferred_equipment", equipment)
-    text, about = joined(F.col("_text"), F.col("document_type"), F.col("inferred_equipment")), key(F.when(filled("equipment"), cell("equipment")).otherwise(F.col("inferred_equipment")))
-    vendor = key("document_type").isin(*VENDOR_TYPES) & (about != "") & ~F.lit("plant general general area").contains(about) & ~contains_any(text, CIVIL_WORKS)
-    marked = F.lower(cell("title")).contains("(v)") | F.lower(cell("title")).contains("（v）")
-    scope = ladder((vendor, "Vendor"), (contains_any(text, EPC_MARKERS), "EPC"), (filled("equipment") & contains_any(text, VENDOR_MARKERS), "Vendor"), (marked, "Vendor"), otherwise=F.when(filled("equipment"), "Vendor").otherwise("EPC"))
-    return rows.withColumn("scope_type", scope).withColumn("standard_title", standard_title(F.col("inferred_equipment"), F.col("document_type"), "title")).drop("_text")
+    df = df.withColumn("inferred_equipment", equipment)
+    df = df.withColumns({"_all": joined(c("text"), F.col("document_type"), F.col("inferred_equipment")), "_about": key(F.when(filled("equipment"), c("equipment")).otherwise(F.col("inferred_equipment")))})
+    vendor = c("kind_key").isin(*VENDOR_TYPES) & (c("about") != "") & ~F.lit("plant general general area").contains(c("about")) & ~contains_any(c("all"), CIVIL_WORKS)
+    marked = F.lower(c("title")).contains("(v)") | F.lower(c("title")).contains("（v）")
+    scope = ladder((vendor, "Vendor"), (contains_any(c("all"), EPC_MARKERS), "EPC"), (filled("equipment") & contains_any(c("all"), VENDOR_MARKERS), "Vendor"), (marked, "Vendor"), otherwise=F.when(filled("equipment"), "Vendor").otherwise("EPC"))
+    df = df.withColumns({"scope_type": scope, "standard_title": standard_title(F.col("inferred_equipment"), F.col("document_type"), c("kind_key"), c("subject"))})
+    return df.select(*kept, *[x for x in FACETS if x not in kept])

@@ -85,3 +85,11 @@ def test_competing_rules_of_one_subtype_are_dealt_over_tasks(spark):
         out = M.competing_rules(rules)
         assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
         assert len(out.groupBy(F.spark_partition_id()).count().collect()) > 4
+
+
+def test_ladders_clean_each_text_once(spark):
+    from dossier.operators import standard_list as B
+
+    rows = spark.range(10).select("id", *[F.concat(F.lit(f"{c} "), F.col("id").cast("string")).alias(c) for c in B.FIELDS])
+    plan = B.with_standard_facets(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("가-힣") < 40  # a cleaning pattern for each key, not for each marker
