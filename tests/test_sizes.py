@@ -96,3 +96,17 @@ def test_ladders_clean_each_text_once(spark):
     rows = spark.range(10).select("id", *[F.concat(F.lit(f"{c} "), F.col("id").cast("string")).alias(c) for c in B.FIELDS])
     plan = B.with_standard_facets(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("가-힣") < 40  # a cleaning pattern for each key, not for each marker
+
+
+def test_rows_of_one_id_keep_their_own_answers(spark):
+    import json
+
+    from dossier.operators import extraction as X
+
+    class All:
+        def judge(self, payloads):
+            return [json.dumps([{"id": x["id"], "twice": 2 * x["item"]} for x in json.loads(p)] + [{"id": 2, "twice": -1}]) for p in payloads]
+
+    rows = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("b", 1, 12), ("a", 2, 13), ("b", 3, 14), (None, 1, 15)], "g string, id long, size long")
+    out = X.answers_of_groups(rows, ["g"], "id", F.col("size"), All(), "id bigint, twice bigint", 7)
+    assert sorted((r["size"], r["answer"]["twice"]) for r in out.collect()) == [(n, 2 * n) for n in range(10, 16)]
