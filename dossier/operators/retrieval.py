@@ -21,6 +21,9 @@ BLOCK_BYTES = 32 << 20
 QUERY_BLOCK = 2000
 SCORE_CELLS = 4_000_000
 SCORE_SLACK = 2e-6
+#: Scores of vectors that a task holds at a time, for so many rows at most; a place without a row; a null id.
+VECTOR_CELLS, VECTOR_ROWS = 1 << 20, 1 << 12
+UNSET, NO_ID = -4_000_000, np.iinfo(np.int64).min
 TOKEN_BYTE = np.zeros(256, bool)
 TOKEN_BYTE[48:58] = TOKEN_BYTE[97:123] = True
 
@@ -156,18 +159,75 @@ def top_k(scores: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: s
     return scores.withColumn(rank, ranked(list(by), F.col(score).desc(), F.col(unique).asc())).filter(F.col(rank) <= k)
 
 
-def _block_top(queries: np.ndarray, ids: list, k: int):
+class _Best:
+    """The k best rows of each query so far, by score rounded to six digits, then id; scores lie as whole millionths, nan above all."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.score = np.full((len(queries), k), UNSET)
+        self.id = np.zeros((len(queries), k), np.int64)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Rows for the queries at asking (all without it), VECTOR_CELLS scores at a time."""
+        asking = np.arange(len(self.queries)) if asking is None else asking
+        for at in range(0, len(ids), VECTOR_ROWS):
+            part, own = rows[at : at + VECTOR_ROWS], ids[at : at + VECTOR_ROWS]
+            step = max(1, VECTOR_CELLS // len(part))
+            for lo in range(0, len(asking), step):
+                self._merge(asking[lo : lo + step], own, part)
+
+    def _merge(self, asking: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        scores = self.queries[asking] @ rows.T
+        edge = self.score[asking, -1] / 1e6
+        loose = self.score[asking, -1] == UNSET
+        if loose.any() and len(ids) > self.k:
+            edge[loose] = np.partition(scores[loose], len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+        q, c = np.nonzero(~(scores < edge[:, None] - SCORE_SLACK))
+        if not len(q):
+            return
+        new = scores[q, c]
+        new = np.where(np.isnan(new), 2_000_000, np.sign(new) * np.floor(np.abs(np.nan_to_num(new)) * 1e6 + 0.5)).astype(np.int64)
+        some = np.bincount(q, minlength=len(asking)) > 0
+        asking, q = asking[some], (np.cumsum(some) - 1)[q]
+        held = np.repeat(np.arange(len(asking)), self.k)
+        q, score, found = np.append(held, q), np.append(self.score[asking].ravel(), new), np.append(self.id[asking].ravel(), ids[c])
+        order = np.lexsort((found, -score, q))
+        n = np.bincount(q, minlength=len(asking))
+        take = order[(np.cumsum(n) - n)[:, None] + np.arange(self.k)]
+        self.score[asking], self.id[asking] = score[take], found[take]
+
+    def batches(self, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """(query_id, doc_id, score) of what is held."""
+        step = max(1, VECTOR_CELLS // self.k)
+        for lo in range(0, len(names), step):
+            q, c = np.nonzero(self.score[lo : lo + step] > UNSET)
+            score, ids = self.score[lo + q, c], self.id[lo + q, c]
+            shown = np.where(score > 1_500_000, np.nan, score / 1e6)
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo + q]), pa.array(ids, mask=ids == NO_ID), pa.array(shown)], ["query_id", "doc_id", "score"])
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.unique(pc.list_value_length(column))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {len(sizes)} lengths")
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1 if len(column) and sizes[0].as_py() else 0)
+
+
+def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.fill_null(NO_ID).to_numpy()
+
+
+def _block_top(queries: np.ndarray, names: np.ndarray, k: int):
+    """Arrow mapper: (doc_id, vector) to the task's best rows of each query."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(queries, k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            corpus = _unit(np.stack([np.asarray(v, float) for v in batch.column(1).to_pylist()]))
-            scores = queries @ corpus.T
-            take = min(k + 8, scores.shape[1])  # a few more than k, so that ties are cut by id later
-            best = np.argpartition(-scores, take - 1, axis=1)[:, :take] if take < scores.shape[1] else np.tile(np.arange(scores.shape[1]), (len(ids), 1))
-            edge = np.take_along_axis(scores, best, 1).min(axis=1)
-            rows, cols = np.nonzero(scores >= edge[:, None] - 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows], pa.int64()), batch.column(0).take(pa.array(cols)), pa.array(scores[rows, cols])], ["query_id", "doc_id", "score"])
+            if batch.num_rows:
+                best.add(_ids(batch.column(0)), _unit(_vectors(batch.column(1))))
+        yield from best.batches(names)
 
     return run
 
@@ -178,15 +238,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _grid_top(k: int):
-    """Cogroup of a block of queries and a part of the corpus: the best rows of each query in it, some corpus rows at a time."""
+    """Cogroup of a block of queries and a part of the corpus: the best rows of each query in it."""
 
     def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
         parts = []
         if queries.num_rows and corpus.num_rows:
-            ids, rows = queries["id"].to_pylist(), corpus.select(["doc_id", "v"]).combine_chunks()
-            cell = _block_top(_unit(np.stack([np.asarray(v, float) for v in queries["v"].to_pylist()])), ids, k)
-            step = max(1, SCORE_CELLS // len(ids))
-            parts = [b for lo in range(0, rows.num_rows, step) for b in cell(iter(rows.slice(lo, step).combine_chunks().to_batches()))]
+            best = _Best(_unit(_vectors(queries["v"])), k)
+            best.add(_ids(corpus["doc_id"]), _unit(_vectors(corpus["v"])))
+            parts = [*best.batches(_ids(queries["id"]))]
         return pa.Table.from_batches(parts, pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
 
     return run
@@ -195,24 +254,24 @@ def _grid_top(k: int):
 def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, vec_id: str, vector: str) -> DataFrame:
     """(query_id, doc_id, score, rank) by exact cosine; zero vectors score 0.
 
-    Queries of up to BLOCK_BYTES travel to the corpus, whose Arrow batches give
-    back their best rows only. More queries meet the corpus in a grid of blocks
-    of that size: each block of either side goes to the cells of its row or
-    column, so that neither plan nor driver grows with the queries.
+    Queries of up to BLOCK_BYTES travel to the corpus, whose tasks hold VECTOR_CELLS
+    scores at a time and hand on their best rows only. More queries meet the corpus
+    in a grid of blocks of that size: each block of either side goes to the cells of
+    its row or column, so that neither plan nor driver grows with the queries.
     """
     rows = corpus.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vector).alias("v")).filter("v is not null")
     wanted = queries.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).filter("v is not null")
-    blocks = lambda df: max(1, -(-int(df.agg(F.sum(8 * F.size("v"))).first()[0] or 0) // BLOCK_BYTES))
-    asked = blocks(wanted)
+    # a query takes its vector and k scores and ids
+    blocks = lambda df, least: max(1, -(-int(df.agg(F.sum(8 * F.greatest(F.size("v"), F.lit(least)))).first()[0] or 0) // BLOCK_BYTES))
+    asked = blocks(wanted, 2 * k)
     schema = "query_id long, doc_id long, score double"
     if asked == 1:
         part = wanted.orderBy("id").toArrow()
         if not part.num_rows:
             return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
-        matrix = _unit(np.stack([np.asarray(v, float) for v in part["v"].to_pylist()]))
-        found = rows.mapInArrow(_block_top(matrix, part["id"].to_pylist(), k), schema)
+        found = rows.mapInArrow(_block_top(_unit(_vectors(part["v"])), _ids(part["id"]), k), schema)
     else:
-        lie = blocks(rows)
+        lie = blocks(rows, 0)
         spread = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
         cells = spread(wanted, "q", asked, "c", lie).groupBy("q", "c"), spread(rows, "c", lie, "q", asked).groupBy("q", "c")
         found = cells[0].cogroup(cells[1]).applyInArrow(_grid_top(k), schema)
@@ -258,8 +317,9 @@ class VectorIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    rows = _unit(np.stack([np.asarray(v, float) for v in batch.column(1).to_pylist()]))
-                    yield pa.RecordBatch.from_arrays([pa.array((rows @ centroids.T).argmax(axis=1), pa.int32()), batch.column(0), pa.array([*rows], pa.list_(pa.float64()))], ["cell", "doc_id", "vector"])
+                    rows = _unit(_vectors(batch.column(1)))
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array((rows @ centroids.T).argmax(axis=1), pa.int32()), batch.column(0), listed], ["cell", "doc_id", "vector"])
 
         rows = corpus.select(F.col(self.vec_id).cast("long"), F.col(self.vector)).filter(F.col(self.vector).isNotNull())
         return rows.mapInArrow(run, "cell int, doc_id long, vector array<double>")
@@ -268,32 +328,32 @@ class VectorIndex:
         """(query_id, doc_id, score, rank); queries in blocks of at most BLOCK_BYTES."""
         wanted = queries.select(F.col(self.vec_id).cast("long").alias("id"), F.col(self.vector).alias("v")).filter("v is not null")
         probes = min(len(self.centroids), probes or self.probes)
-        blocks = max(1, -(-wanted.count() * self.centroids.shape[1] * 8 // BLOCK_BYTES))
+        blocks = max(1, -(-wanted.count() * max(self.centroids.shape[1], 2 * k) * 8 // BLOCK_BYTES))
         out = index.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
         for b in range(blocks):
             part = wanted.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").toArrow()
             if part.num_rows:
-                matrix = _unit(np.stack([np.asarray(v, float) for v in part["v"].to_pylist()]))
+                matrix = _unit(_vectors(part["v"]))
                 visits = np.argsort(-(matrix @ self.centroids.T), axis=1, kind="stable")[:, :probes]
                 visited = index.filter(F.col("cell").isin(*np.unique(visits).tolist()))
-                out = out.unionAll(visited.mapInArrow(_cell_top(matrix, np.array(part["id"].to_pylist()), visits, k), out.schema))
+                out = out.unionAll(visited.mapInArrow(_cell_top(matrix, _ids(part["id"]), visits, k), out.schema))
         return top_k(out.withColumn("score", F.round("score", 6)), k)
 
 
-def _cell_top(matrix: np.ndarray, ids: np.ndarray, visits: np.ndarray, k: int):
+def _cell_top(matrix: np.ndarray, names: np.ndarray, visits: np.ndarray, k: int):
+    """Arrow mapper: (cell, doc_id, vector) to the task's best rows of each query in the cells that it visits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(matrix, k)
+        order, visited = np.argsort(visits, axis=None, kind="stable"), np.sort(visits, axis=None)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, rows = batch.column(0).to_numpy(), np.stack([np.asarray(v, float) for v in batch.column(2).to_pylist()])
-            for c in np.unique(cell):
-                at, asking = np.flatnonzero(cell == c), np.flatnonzero((visits == c).any(axis=1))
-                if not len(asking):
-                    continue
-                scores = matrix[asking] @ rows[at].T
-                take = min(k, len(at))
-                best = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asking], take)), batch.column(1).take(pa.array(at[best].ravel())), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query_id", "doc_id", "score"])
+            if batch.num_rows:
+                cell, ids, rows = batch.column(0).to_numpy(), _ids(batch.column(1)), _vectors(batch.column(2))
+                for c in np.unique(cell):
+                    at, (lo, hi) = np.flatnonzero(cell == c), np.searchsorted(visited, [c, c + 1])
+                    if hi > lo:
+                        best.add(ids[at], rows[at], order[lo:hi] // visits.shape[1])
+        yield from best.batches(names)
 
     return run
 

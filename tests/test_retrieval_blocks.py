@@ -30,3 +30,47 @@ def test_vector_queries_beyond_a_block(spark, monkeypatch):
     monkeypatch.setattr(R, "SCORE_CELLS", 100)
     assert rows_of(R.vector_top_k(corpus, queries, 7, "i", "v")) == one
     assert rows_of(R.vector_top_k(corpus, queries.limit(0), 7, "i", "v")) == set()
+
+
+def _batches(rows, size):
+    import pyarrow as pa
+
+    return [pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(part))), pa.array([*part], pa.list_(pa.float64()))], ["doc_id", "v"]) for lo in range(0, len(rows), size) for part in [rows[lo : lo + size]]]
+
+
+def test_a_task_holds_few_scores_and_hands_on_its_best_rows_only():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, k = R._unit(rng.normal(size=(12_000, 8))), 5
+    rows[6000:6300] = rows[0]  # copies
+    asked = rows[:3000]
+    batches = _batches(rows, 6000)
+    tracemalloc.start()
+    out = [*R._block_top(asked, np.arange(3000), k)(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 3000 * k and peak < 120e6
+    got = sorted(zip(*[np.concatenate([b.column(i).to_numpy() for b in out]) for i in range(3)], strict=True))
+    for q in (0, 17, 2999):
+        scores = np.round(rows @ asked[q], 6)
+        assert [(i, s) for x, i, s in got if x == q] == sorted((i, scores[i]) for i in np.lexsort((np.arange(12_000), -scores))[:k])
+
+
+def test_a_task_of_the_index_hands_on_its_best_rows_only():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows, k = R._unit(rng.normal(size=(2000, 8))), 5
+    cell = rng.integers(0, 4, 2000).astype(np.int32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(cell[b.column(0).to_numpy()]), *b.columns], ["cell", "doc_id", "vector"]) for b in _batches(rows, 500)]
+    visits = np.stack([rng.permutation(4)[:2] for _ in range(100)])
+    out = [*R._cell_top(rows[:100], np.arange(100), visits, k)(iter(batches))]
+    assert sum(b.num_rows for b in out) == 100 * k
+    got = sorted(zip(*[np.concatenate([b.column(i).to_numpy() for b in out]) for i in range(2)], strict=True))
+    for q in range(100):
+        scores = np.where(np.isin(cell, visits[q]), np.round(rows @ rows[q], 6), -9)
+        assert [i for x, i in got if x == q] == sorted(np.lexsort((np.arange(2000), -scores))[:k])
