@@ -110,3 +110,21 @@ def test_rows_of_one_id_keep_their_own_answers(spark):
     rows = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("b", 1, 12), ("a", 2, 13), ("b", 3, 14), (None, 1, 15)], "g string, id long, size long")
     out = X.answers_of_groups(rows, ["g"], "id", F.col("size"), All(), "id bigint, twice bigint", 7)
     assert sorted((r["size"], r["answer"]["twice"]) for r in out.collect()) == [(n, 2 * n) for n in range(10, 16)]
+
+
+def test_documents_described_alike_go_through_the_schedule_once(spark, monkeypatch):
+    from dossier.operators import schedule as S
+    from dossier.operators.providers import HashEmbedder, OverlapScorer
+    from dossier.plans.schedule import ACTIVITIES, RULES
+
+    cases = [("HRSG General Arrangement Drawing", "HRSG", None, None, "GA", "accepted", "0.9"), ("Quay wall photographs", None, None, None, None, "accepted", None), (None, None, None, None, None, None, None)]
+    docs = [(i, *cases[i % 3]) for i in range(30)] + [(0, *cases[1]), (None, *cases[0])]  # a repeated id, a null one
+    docs = spark.createDataFrame(docs, "doc_id long, title string, equipment string, system string, building string, deliverable string, candidate_status string, match_score string")
+    rules = spark.createDataFrame([*RULES[:2]], "rule_id int, priority int, item string, doc_keyword string, activity_keywords array<string>, sub_type string, formula string").withColumn("vt", S.D.parse_validation_time("formula"))
+    activities = spark.createDataFrame([*ACTIVITIES[:3]], "activity_id long, activity_name string, wbs_path string, start_date date, finish_date date")
+    went, described = [], S.described
+    monkeypatch.setattr(S, "described", lambda rows: went.append(rows.count()) or described(rows))
+    found = S.generate_schedule(docs, rules, activities, OverlapScorer(), HashEmbedder(16))
+    got = found.groupBy("doc_id", "title", "rule_id").count().collect()
+    expected = {(i, (cases[i % 3][0] or ""), 1 if i % 3 == 0 else None) for i in range(30)} | {(0, cases[1][0], None), (None, cases[0][0], 1)}
+    assert went == [3] and {tuple(r)[:3] for r in got} == expected and all(r["count"] == 1 for r in got)
