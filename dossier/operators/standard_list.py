@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.columns import ColumnOrName, contains_any, ladder, text_or_blank
+from dossier.functions.columns import ColumnOrName, col, contains_any, ladder, text_or_blank
 
 FACETS = ("document_type", "discipline", "inferred_system", "sub_system", "inferred_equipment", "scope_type", "standard_title")
-#: Rows of a task; each takes some hundred searches.
-TASK_ROWS = 50_000
 FIELDS = ("title", "equipment", "building", "system", "study", "others", "deliverable")
 # Markers of each ladder in their order, over lower-case text with single spaces.
 DELIVERABLE_TYPES = (
@@ -137,12 +135,13 @@ EXPANSIONS = {"CVP": "Condenser Vacuum Pump", "WBVP": "Water Box Vacuum Pump", "
 
 def cell(x: ColumnOrName) -> Column:
     """Single spaces; spellings of a missing value are blank."""
-    value = F.regexp_replace(F.regexp_replace(text_or_blank(x), "^\\s+|\\s+$", ""), "\\s+", " ")
+    value = F.trim(F.regexp_replace(text_or_blank(x), "\\s+", " "))
     return F.when(F.lower(value).isin("nan", "none", "null", "n/a"), "").otherwise(value)
 
 
 def key(x: ColumnOrName) -> Column:
-    return F.trim(F.regexp_replace(F.lower(cell(x)), "[^a-z0-9가-힣]+", " "))
+    """Lower-case words of a cleaned text."""
+    return F.trim(F.regexp_replace(F.lower(col(x)), "[^a-z0-9가-힣]+", " "))
 
 
 def joined(*values: Column) -> Column:
@@ -154,14 +153,14 @@ def first_marked(text: Column, table, otherwise: ColumnOrName) -> Column:
 
 
 def engineering_case(x: ColumnOrName) -> Column:
-    """Capitalised words; known short forms in capitals, mixed and compound words as they are."""
+    """Capitalised words of a cleaned text; known short forms in capitals, mixed and compound words as they are."""
 
     def shown(w: Column) -> Column:
         rest = F.substring(w, 2, 1_000_000)
-        known = F.regexp_replace(F.upper(w), "^[()]+|[()]+$", "").isin(*UPPER_WORDS)
+        known = F.btrim(F.upper(w), F.lit("()")).isin(*UPPER_WORDS)
         return F.when(known, F.upper(w)).when(rest.rlike("\\p{Lu}") | w.contains("&") | w.contains("/"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(rest)))
 
-    return F.array_join(F.transform(F.split(cell(x), " "), shown), " ")
+    return F.array_join(F.transform(F.split(col(x), " "), shown), " ")
 
 
 def no_document(x: Column, plain: Column) -> Column:
@@ -172,10 +171,11 @@ def no_document(x: Column, plain: Column) -> Column:
 
 
 def subject_text(x: ColumnOrName) -> Column:
-    """What stands after `for` in a text."""
-    subject = cell(F.regexp_extract(cell(x), "(?i)\\bfor\\s+(.+)$", 1))
+    """What stands after `for` in a cleaned text."""
+    subject = cell(F.regexp_extract(col(x), "(?i)\\bfor\\s+(.+)$", 1))
     subject = F.regexp_replace(F.regexp_replace(subject, "^\\[|\\]$", ""), "(?i)\\s*\\([^)]*plant area[^)]*\\)\\s*", " ")
-    return cell(F.regexp_replace(subject, "^[ _\\[\\]-]+|[ _\\[\\]-]+$", ""))
+    subject = cell(F.regexp_replace(subject, "^[ _\\[\\]-]+|[ _\\[\\]-]+$", ""))
+    return F.when(F.lower(col(x)).contains("for"), subject).otherwise("")
 
 
 def named_subject(subject: Column, plain: Column) -> Column:
@@ -187,9 +187,10 @@ def named_subject(subject: Column, plain: Column) -> Column:
 def standard_title(equipment: Column, document_type: Column, kind: Column, subject: Column) -> Column:
     """kind: the key of document_type; subject: what SUBJECTS name in the title."""
     said = lambda *v: cell(F.concat_ws(" ", *v))
-    plain = F.concat_ws(" ", equipment, document_type)
+    plain = once = F.concat_ws(" ", equipment, document_type)
     for word in ("Drawing", "Report", "Study", "Procedure"):
-        plain = F.regexp_replace(plain, f"(?i)\\b({word}) {word}\\b", word)
+        once = F.regexp_replace(once, f"(?i)\\b({word}) {word}\\b", word)
+    plain = F.when(plain.rlike("(?i)\\b(Drawing|Report|Study|Procedure) \\1\\b"), once).otherwise(plain)
     return ladder(
         (kind == "foundation drawing", said(equipment, F.when(~key(equipment).contains("foundation"), "Foundation"), F.lit("Drawing"))), (subject == "", cell(plain)),
         (kind == "general arrangement drawing", said(equipment, subject, F.lit("Drawing"))),
@@ -202,13 +203,18 @@ def standard_title(equipment: Column, document_type: Column, kind: Column, subje
 def with_standard_facets(rows: DataFrame) -> DataFrame:
     """rows (FIELDS) with document_type, discipline, inferred_system, sub_system, inferred_equipment, scope_type and standard_title.
 
-    Every cleaned text is a column of its own: inside the steps of a ladder it
-    would be cleaned again for each marker. Rows are dealt by their number, as a
-    small file of them is one task otherwise.
+    Each distinct set of fields goes through the ladders once and its rows join
+    it. Every cleaned text is a column of its own: inside the steps of a ladder it
+    would be cleaned again for each marker.
     """
     kept = rows.columns
-    tasks = -(-rows.count() // TASK_ROWS)
-    df = (rows.repartition(tasks) if tasks > 1 else rows).withColumns({f"_{c}": cell(c) for c in FIELDS})
+    keyed = rows.withColumn("_fields", F.sha2(F.to_json(F.struct(*FIELDS)), 256))
+    found = _facets(keyed.groupBy("_fields").agg(*[F.first(c).alias(c) for c in FIELDS]))
+    return keyed.drop(*FACETS).join(found.select("_fields", *FACETS), "_fields").select(*kept, *[x for x in FACETS if x not in kept])
+
+
+def _facets(rows: DataFrame) -> DataFrame:
+    df = rows.withColumns({f"_{c}": cell(c) for c in FIELDS})
     c = lambda name: F.col(f"_{name}")
     filled = lambda name: c(name) != ""
     df = df.withColumns({f"_{x}_key": key(f"_{x}") for x in ("title", "equipment", "building", "study")} | {"_asked_key": joined(c("deliverable"), c("title")), "_text": joined(*[c(x) for x in FIELDS])})
@@ -234,5 +240,4 @@ def with_standard_facets(rows: DataFrame) -> DataFrame:
     vendor = c("kind_key").isin(*VENDOR_TYPES) & (c("about") != "") & ~F.lit("plant general general area").contains(c("about")) & ~contains_any(c("all"), CIVIL_WORKS)
     marked = F.lower(c("title")).contains("(v)") | F.lower(c("title")).contains("（v）")
     scope = ladder((vendor, "Vendor"), (contains_any(c("all"), EPC_MARKERS), "EPC"), (filled("equipment") & contains_any(c("all"), VENDOR_MARKERS), "Vendor"), (marked, "Vendor"), otherwise=F.when(filled("equipment"), "Vendor").otherwise("EPC"))
-    df = df.withColumns({"scope_type": scope, "standard_title": standard_title(F.col("inferred_equipment"), F.col("document_type"), c("kind_key"), c("subject"))})
-    return df.select(*kept, *[x for x in FACETS if x not in kept])
+    return df.withColumns({"scope_type": scope, "standard_title": standard_title(F.col("inferred_equipment"), F.col("document_type"), c("kind_key"), c("subject"))})

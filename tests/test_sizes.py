@@ -128,3 +128,18 @@ def test_documents_described_alike_go_through_the_schedule_once(spark, monkeypat
     got = found.groupBy("doc_id", "title", "rule_id").count().collect()
     expected = {(i, (cases[i % 3][0] or ""), 1 if i % 3 == 0 else None) for i in range(30)} | {(0, cases[1][0], None), (None, cases[0][0], 1)}
     assert went == [3] and {tuple(r)[:3] for r in got} == expected and all(r["count"] == 1 for r in got)
+
+
+def test_rows_of_equal_fields_go_through_the_ladders_once(spark):
+    from dossier.operators import standard_list as B
+
+    cases = [("Pump Layout", None), ("Pump Layout", ""), ("Drawing drawing of pumps", "CEP")]
+    rows = spark.createDataFrame([(i % 5, *cases[i % 3], "kept") for i in range(30)], "id int, title string, equipment string, discipline string")
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in B.FIELDS if c not in rows.columns})
+    out = B.with_standard_facets(rows)
+    with settings(spark, spark_sql_debug_maxToStringFields="10000"):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_fields" in plan and plan.count("regexp_replace(") < 120
+    assert out.columns == [*rows.columns, *[x for x in B.FACETS if x != "discipline"]]
+    got = {(r["title"], r["equipment"], r["discipline"], r["standard_title"]): r["count"] for r in out.groupBy("title", "equipment", "discipline", "standard_title").count().collect()}
+    assert got == {("Pump Layout", None, "Mechanical", "Plant General Layout Drawing"): 10, ("Pump Layout", "", "Mechanical", "Plant General Layout Drawing"): 10, ("Drawing drawing of pumps", "CEP", "Mechanical", "CEP Drawing"): 10}
