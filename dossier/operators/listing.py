@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,6 +170,19 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "no") -> DataFram
     return placed.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
 
 
+#: Rows of distinct texts that are sent to all tasks.
+FEW_ROWS = 1000
+
+
+def joined_alike(rows: DataFrame, found: DataFrame, keys: Sequence[str], n_found: int) -> DataFrame:
+    """rows with their row of found, which has n_found rows, one for each set of keys in rows; nulls are alike."""
+    theirs = {c: f"_of_{c}" for c in keys}
+    alike = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(other)) for c, other in theirs.items()])
+    there = found.withColumnsRenamed(theirs)
+    # a small table by its count: all rows of a table may have one of a few sets, which would meet in few tasks
+    return rows.join(F.broadcast(there) if n_found <= FEW_ROWS else there, alike).drop(*theirs.values())
+
+
 def renumber_audit(audit: DataFrame, consolidated: DataFrame, old: str, title: str) -> DataFrame:
     """Audit rows under their new number and title."""
     moved = consolidated.select("no", F.col(title).alias("new_title"), F.explode("old_numbers").alias(old))

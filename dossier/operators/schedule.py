@@ -22,7 +22,7 @@ from dossier.operators import matching as M
 from dossier.operators import quality as Q
 from dossier.operators import records as R
 from dossier.operators import registers as G
-from dossier.operators.listing import numbered
+from dossier.operators.listing import joined_alike, numbered
 from dossier.operators.providers import Embedder, Judge, PairScorer, concept_similarity, embed_texts, judge_rows, score_pairs
 from dossier.operators.shortlist import two_channel_shortlist
 from dossier.sources.scratch import settled
@@ -242,13 +242,15 @@ def generate_schedule(docs: DataFrame, rules: DataFrame, activities: DataFrame,
     be filed under; scope * stands for any.
     """
     told = [c for c in (*FIELDS, *CANDIDATE) if c in docs.columns]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("_doc"), *[F.col(c).cast("string").alias(c) for c in told])
-    keyed = keyed.withColumn("_key", F.sha2(F.to_json(F.struct(*told)), 256))
-    distinct = numbered(keyed.groupBy("_key").agg(*[F.first(c).alias(c) for c in told]), [F.asc("_key")], "doc_id")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_doc"), *[F.col(c).cast("string").alias(f"_{c}") for c in told])
+    keys = [f"_{c}" for c in told]
+    distinct = numbered(keyed.select(*[F.col(k).alias(c) for k, c in zip(keys, told, strict=True)]).distinct(), [F.asc(c) for c in told], "doc_id")
     known = settled(described_rules(rules))
     rows = settled(matched_rules(settled(described(distinct)), known, scorer))
     rows = settled(with_concept(settled(with_verdicts(rows, known, judge)), embedder))
     rows = settled(matched_activities(rows, activities, embedder, mapping, mode))
     found = Q.with_schedule_quality(dated(settled(with_match_records(rows)), floor))
-    out = keyed.select("_doc", "_key").join(distinct.select("_key", F.col("doc_id")), "_key").join(found, "doc_id")
-    return out.select(*[F.col("_doc").alias(c) if c == "doc_id" else F.col(c) for c in found.columns])
+    shown = found.columns
+    found = distinct.select("doc_id", *[F.col(c).alias(k) for k, c in zip(keys, told, strict=True)]).join(found, "doc_id")
+    out = joined_alike(keyed, found, keys, distinct.count())
+    return out.select(*[F.col("_doc").alias(c) if c == "doc_id" else F.col(c) for c in shown])

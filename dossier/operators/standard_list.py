@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.columns import ColumnOrName, col, contains_any, ladder, text_or_blank
+from dossier.operators.listing import joined_alike
+from dossier.sources.scratch import settled
 
 FACETS = ("document_type", "discipline", "inferred_system", "sub_system", "inferred_equipment", "scope_type", "standard_title")
 FIELDS = ("title", "equipment", "building", "system", "study", "others", "deliverable")
@@ -208,9 +210,9 @@ def with_standard_facets(rows: DataFrame) -> DataFrame:
     would be cleaned again for each marker.
     """
     kept = rows.columns
-    keyed = rows.withColumn("_fields", F.sha2(F.to_json(F.struct(*FIELDS)), 256))
-    found = _facets(keyed.groupBy("_fields").agg(*[F.first(c).alias(c) for c in FIELDS]))
-    return keyed.drop(*FACETS).join(found.select("_fields", *FACETS), "_fields").select(*kept, *[x for x in FACETS if x not in kept])
+    distinct = settled(rows.select(*FIELDS).distinct())
+    found = joined_alike(rows.drop(*FACETS), _facets(distinct).select(*FIELDS, *FACETS), FIELDS, distinct.count())
+    return found.select(*kept, *[x for x in FACETS if x not in kept])
 
 
 def _facets(rows: DataFrame) -> DataFrame:

@@ -130,16 +130,32 @@ def test_documents_described_alike_go_through_the_schedule_once(spark, monkeypat
     assert went == [3] and {tuple(r)[:3] for r in got} == expected and all(r["count"] == 1 for r in got)
 
 
-def test_rows_of_equal_fields_go_through_the_ladders_once(spark):
+def test_rows_of_equal_fields_go_through_the_ladders_once(spark, monkeypatch):
     from dossier.operators import standard_list as B
 
     cases = [("Pump Layout", None), ("Pump Layout", ""), ("Drawing drawing of pumps", "CEP")]
     rows = spark.createDataFrame([(i % 5, *cases[i % 3], "kept") for i in range(30)], "id int, title string, equipment string, discipline string")
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in B.FIELDS if c not in rows.columns})
+    went, facets = [], B._facets
+    monkeypatch.setattr(B, "_facets", lambda found: went.append(found.count()) or facets(found))
     out = B.with_standard_facets(rows)
     with settings(spark, spark_sql_debug_maxToStringFields="10000"):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "Aggregate [_fields" in plan and plan.count("regexp_replace(") < 120
+    assert went == [3] and plan.count("regexp_replace(") < 120
     assert out.columns == [*rows.columns, *[x for x in B.FACETS if x != "discipline"]]
     got = {(r["title"], r["equipment"], r["discipline"], r["standard_title"]): r["count"] for r in out.groupBy("title", "equipment", "discipline", "standard_title").count().collect()}
     assert got == {("Pump Layout", None, "Mechanical", "Plant General Layout Drawing"): 10, ("Pump Layout", "", "Mechanical", "Plant General Layout Drawing"): 10, ("Drawing drawing of pumps", "CEP", "Mechanical", "CEP Drawing"): 10}
+
+
+def test_rows_meet_their_texts_with_nulls_alike_whether_those_are_few_or_not(spark):
+    from dossier.operators import listing as L
+
+    kinds = [("a", None), (None, None), ("a", "b"), ("", None), (None, "")]
+    rows = spark.createDataFrame([(i, *kinds[i % 5]) for i in range(100)], "id int, x string, y string")
+    found = spark.createDataFrame([(*k, str(k)) for k in kinds], "x string, y string, said string")
+    with settings(spark, spark_sql_autoBroadcastJoinThreshold="-1"):
+        for n, broadcast in ((5, True), (L.FEW_ROWS + 1, False)):
+            out = L.joined_alike(rows, found, ["x", "y"], n)
+            plan = out._jdf.queryExecution().sparkPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == broadcast and "NestedLoop" not in plan and "Cartesian" not in plan
+            assert out.columns == ["id", "x", "y", "said"] and sorted(tuple(r) for r in out.collect()) == [(i, *kinds[i % 5], str(kinds[i % 5])) for i in range(100)]
