@@ -21,8 +21,8 @@ BLOCK_BYTES = 32 << 20
 QUERY_BLOCK = 2000
 SCORE_CELLS = 4_000_000
 SCORE_SLACK = 2e-6
-#: Scores of vectors that a task holds at a time, for so many rows at most; a place without a row; a null id.
-VECTOR_CELLS, VECTOR_ROWS = 1 << 20, 1 << 12
+#: Scores of vectors that a task holds at a time, for so many rows at most; rows that it hands on at a time; a place without a row; a null id.
+VECTOR_CELLS, VECTOR_ROWS, BATCH_ROWS = 1 << 20, 1 << 12, 1 << 16
 UNSET, NO_ID = -4_000_000, np.iinfo(np.int64).min
 TOKEN_BYTE = np.zeros(256, bool)
 TOKEN_BYTE[48:58] = TOKEN_BYTE[97:123] = True
@@ -197,8 +197,8 @@ class _Best:
         self.score[asking], self.id[asking] = score[take], found[take]
 
     def batches(self, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """(query_id, doc_id, score) of what is held."""
-        step = max(1, VECTOR_CELLS // self.k)
+        """(query_id, doc_id, score) of what is held, in batches that neither side notices."""
+        step = max(1, BATCH_ROWS // self.k)
         for lo in range(0, len(names), step):
             q, c = np.nonzero(self.score[lo : lo + step] > UNSET)
             score, ids = self.score[lo + q, c], self.id[lo + q, c]
@@ -275,7 +275,8 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, vec_id: str, vec
         spread = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
         cells = spread(wanted, "q", asked, "c", lie).groupBy("q", "c"), spread(rows, "c", lie, "q", asked).groupBy("q", "c")
         found = cells[0].cogroup(cells[1]).applyInArrow(_grid_top(k), schema)
-    return top_k(found.withColumn("score", F.round("score", 6)), k)
+    # a task's rows are its best already: they are dealt by query before they are sorted, not beside the search
+    return top_k(found.withColumn("score", F.round("score", 6)).repartition("query_id"), k)
 
 
 class VectorIndex:

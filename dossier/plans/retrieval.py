@@ -10,6 +10,7 @@ from dossier.operators import evaluation as E
 from dossier.operators import retrieval as R
 from dossier.operators import shortlist as L
 from dossier.plans.registry import Tables, query
+from dossier.sources.scratch import settled
 
 BM25 = """
 dt AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM documents),
@@ -40,6 +41,11 @@ def vector_ranking(t: Tables, k: int) -> DataFrame:
     return R.vector_top_k(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), k, "vec_id", "embedding")
 
 
+def hybrid_ranking(t: Tables) -> DataFrame:
+    """The search is over before its ranking is joined, so that a task holds either vectors or sorted rows."""
+    return R.fuse_channels(label_ranking(t, 50), settled(vector_ranking(t, 50)), 100)
+
+
 @query(f"WITH {BM25} SELECT query_id, doc_id, rank, score FROM bt WHERE rank <= 20")
 def bm25_topk(t: Tables) -> DataFrame:
     return keyword_ranking(t, 20).select("query_id", "doc_id", "rank", "score")
@@ -97,15 +103,14 @@ def label_ranking(t: Tables, k: int) -> DataFrame:
 
 @query(f"WITH {COSINE}, {HYBRID} SELECT query_id, doc_id, keyword_rank, semantic_rank, rrf, retrieval_rank FROM hr WHERE retrieval_rank <= 100")
 def rrf_hybrid(t: Tables) -> DataFrame:
-    return R.fuse_channels(label_ranking(t, 50), vector_ranking(t, 50), 100).select("query_id", "doc_id", "keyword_rank", "semantic_rank", "rrf", "retrieval_rank")
+    return hybrid_ranking(t).select("query_id", "doc_id", "keyword_rank", "semantic_rank", "rrf", "retrieval_rank")
 
 
 @query(f"""WITH {COSINE}, {HYBRID},
 p AS (SELECT *, round(1.0 / (1 + abs(query_id - doc_id)), 6) AS pair_score FROM hr WHERE retrieval_rank <= 100)
 SELECT query_id, doc_id, pair_score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, retrieval_rank) AS final_rank FROM p) WHERE final_rank <= 20""")
 def rerank_order(t: Tables) -> DataFrame:
-    fused = R.fuse_channels(label_ranking(t, 50), vector_ranking(t, 50), 100)
-    scored = fused.withColumn("pair_score", F.round(1.0 / (1 + F.abs(F.col("query_id") - F.col("doc_id"))), 6))
+    scored = hybrid_ranking(t).withColumn("pair_score", F.round(1.0 / (1 + F.abs(F.col("query_id") - F.col("doc_id"))), 6))
     return R.rerank(scored, "pair_score", 20).select("query_id", "doc_id", "pair_score", "final_rank")
 
 
@@ -182,7 +187,7 @@ pq AS (SELECT query_id, coalesce(positives, 0) AS positives, coalesce(hits, 0) A
 
 
 def _recall(t: Tables) -> DataFrame:
-    return E.recall_of_classes(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), vector_ranking(t, 20), "label", 20)
+    return E.recall_of_classes(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), settled(vector_ranking(t, 20)), "label", 20)
 
 
 @query(RECALL + "SELECT * FROM pq")

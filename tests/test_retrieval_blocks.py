@@ -74,3 +74,23 @@ def test_a_task_of_the_index_hands_on_its_best_rows_only():
     for q in range(100):
         scores = np.where(np.isin(cell, visits[q]), np.round(rows @ rows[q], 6), -9)
         assert [i for x, i in got if x == q] == sorted(np.lexsort((np.arange(2000), -scores))[:k])
+
+
+def test_best_rows_are_handed_on_in_small_batches():
+    import numpy as np
+
+    from dossier.operators import retrieval as R
+
+    best = R._Best(R._unit(np.random.default_rng(1).normal(size=(3000, 4))), 50)
+    best.add(np.arange(60), R._unit(np.random.default_rng(2).normal(size=(60, 4))))
+    sizes = [b.num_rows for b in best.batches(np.arange(3000))]
+    assert sum(sizes) == 150_000 and max(sizes) <= 1 << 16
+
+
+def test_a_search_is_over_before_its_ranking_is_joined(spark):
+    from dossier.plans import registry
+
+    registry.load()
+    for name in ("rrf_hybrid", "rerank_order", "recall_at_k", "metric_summary"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "FlatMapCoGroups" not in plan
