@@ -23,6 +23,8 @@ SCORE_CELLS = 4_000_000
 SCORE_SLACK = 2e-6
 #: Scores of vectors that a task holds at a time, for so many rows at most; rows that it hands on at a time; a place without a row; a null id.
 VECTOR_CELLS, VECTOR_ROWS, BATCH_ROWS = 1 << 20, 1 << 12, 1 << 16
+#: Groups in which the lists of a block's queries are merged; tasks a core among which the corpus of one block is parted.
+MERGE_GROUPS, TASKS_A_CORE = 64, 2
 UNSET, NO_ID = -4_000_000, np.iinfo(np.int64).min
 TOKEN_BYTE = np.zeros(256, bool)
 TOKEN_BYTE[48:58] = TOKEN_BYTE[97:123] = True
@@ -237,6 +239,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, doc_id, score), rows of a query together, to (query_id, their ids, their scores)."""
+    for batch in batches:
+        if batch.num_rows:
+            query = batch.column(0).to_numpy()
+            head = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+            at = pa.array(np.append(head, len(query)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(query[head]), *[pa.ListArray.from_arrays(at, batch.column(i)) for i in (1, 2)]], ["query_id", "doc_id", "score"])
+
+
+def _merged(k: int):
+    """Grouped mapper: the lists that tasks hand on for some queries to the k best of each query with their ranks, a few lists at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, ids, score, rank = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        step = max(1, BATCH_ROWS // k)
+        for whole in batches:
+            for batch in (whole.slice(lo, step) for lo in range(0, whole.num_rows, step)):
+                n = pc.list_value_length(batch.column("doc_id")).to_numpy()
+                query = np.append(query, np.repeat(batch.column("query_id").to_numpy(), n))
+                ids = np.append(ids, _ids(pc.list_flatten(batch.column("doc_id"))))
+                score = np.append(score, pc.list_flatten(batch.column("score")).to_numpy())
+                order = np.lexsort((ids, -np.where(np.isnan(score), np.inf, score), query))
+                head = np.flatnonzero(np.append(True, query[order][1:] != query[order][:-1]))
+                rank = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+                order, rank = order[rank < k], rank[rank < k]
+                query, ids, score = query[order], ids[order], score[order]
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids, mask=ids == NO_ID), pa.array(score), pa.array(rank + 1, pa.int32())], ["query_id", "doc_id", "score", "rank"])
+
+    return run
+
+
+def _lists_of(mapper):
+    """The Arrow mapper with its rows as lists."""
+    return lambda batches: _listed(mapper(batches))
+
+
 def _grid_top(k: int):
     """Cogroup of a block of queries and a part of the corpus: the best rows of each query in it."""
 
@@ -245,8 +284,8 @@ def _grid_top(k: int):
         if queries.num_rows and corpus.num_rows:
             best = _Best(_unit(_vectors(queries["v"])), k)
             best.add(_ids(corpus["doc_id"]), _unit(_vectors(corpus["v"])))
-            parts = [*best.batches(_ids(queries["id"]))]
-        return pa.Table.from_batches(parts, pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
+            parts = [*_listed(best.batches(_ids(queries["id"])))]
+        return pa.Table.from_batches(parts, pa.schema([("query_id", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("score", pa.list_(pa.float64()))]))
 
     return run
 
@@ -258,25 +297,28 @@ def vector_top_k(corpus: DataFrame, queries: DataFrame, k: int, vec_id: str, vec
     scores at a time and hand on their best rows only. More queries meet the corpus
     in a grid of blocks of that size: each block of either side goes to the cells of
     its row or column, so that neither plan nor driver grows with the queries.
+    A task hands on one list a query, and lists of some queries are merged where
+    they meet: the single rows that Spark moves are those of the result.
     """
     rows = corpus.select(F.col(vec_id).cast("long").alias("doc_id"), F.col(vector).alias("v")).filter("v is not null")
     wanted = queries.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).filter("v is not null")
     # a query takes its vector and k scores and ids
     blocks = lambda df, least: max(1, -(-int(df.agg(F.sum(8 * F.greatest(F.size("v"), F.lit(least)))).first()[0] or 0) // BLOCK_BYTES))
     asked = blocks(wanted, 2 * k)
-    schema = "query_id long, doc_id long, score double"
+    schema, lists = "query_id long, doc_id long, score double, rank int", "query_id long, doc_id array<long>, score array<double>"
     if asked == 1:
         part = wanted.orderBy("id").toArrow()
         if not part.num_rows:
-            return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
-        found = rows.mapInArrow(_block_top(_unit(_vectors(part["v"])), _ids(part["id"]), k), schema)
+            return rows.sparkSession.createDataFrame([], schema)
+        # a task streams its rows, however many they are, and each task more makes a list more for every query
+        rows = rows.coalesce(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+        found = rows.mapInArrow(_lists_of(_block_top(_unit(_vectors(part["v"])), _ids(part["id"]), k)), lists)
     else:
         lie = blocks(rows, 0)
         spread = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
         cells = spread(wanted, "q", asked, "c", lie).groupBy("q", "c"), spread(rows, "c", lie, "q", asked).groupBy("q", "c")
-        found = cells[0].cogroup(cells[1]).applyInArrow(_grid_top(k), schema)
-    # a task's rows are its best already: they are dealt by query before they are sorted, not beside the search
-    return top_k(found.withColumn("score", F.round("score", 6)).repartition("query_id"), k)
+        found = cells[0].cogroup(cells[1]).applyInArrow(_grid_top(k), lists)
+    return found.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(MERGE_GROUPS * asked))).applyInArrow(_merged(k), schema)
 
 
 class VectorIndex:

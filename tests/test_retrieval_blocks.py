@@ -94,3 +94,35 @@ def test_a_search_is_over_before_its_ranking_is_joined(spark):
     for name in ("rrf_hybrid", "rerank_order", "recall_at_k", "metric_summary"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" not in plan and "FlatMapCoGroups" not in plan
+
+
+def test_tasks_hand_on_one_list_a_query_and_lists_are_merged():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    flat = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
+    tasks = [[(1, 5, 0.5), (1, 9, 0.25), (2, 5, 0.75)], [(1, None, 0.5), (1, 3, 0.5), (2, 4, math.nan)], [(2, 6, 0.75), (2, 7, 0.1), (3, 8, -1.0)], []]
+    lists = [b for rows in tasks for b in R._listed(iter([flat(rows)]))]
+    assert [b.num_rows for b in lists] == [2, 2, 2]
+    (out,) = R._merged(3)(iter(lists))
+    assert [tuple(map(str, r.values())) for r in out.to_pylist()] == [
+        ("1", "None", "0.5", "1"), ("1", "3", "0.5", "2"), ("1", "5", "0.5", "3"),
+        ("2", "4", "nan", "1"), ("2", "5", "0.75", "2"), ("2", "6", "0.75", "3"), ("3", "8", "-1.0", "1"),
+    ]
+    rng = np.random.default_rng(7)
+    rows = [(q, d, float(s)) for q in range(40) for d, s in enumerate(rng.integers(0, 9, 3000) / 8)]
+    batches = [b for lo in range(0, 3000, 300) for b in R._listed(iter([flat([r for r in rows if lo <= r[1] < lo + 300])]))]
+    (out,) = R._merged(5)(iter(batches))
+    assert [tuple(r.values()) for r in out.to_pylist()] == [(q, d, s, n + 1) for q in range(40) for n, (_, d, s) in enumerate(sorted(rows[3000 * q : 3000 * q + 3000], key=lambda r: (-r[2], r[1]))[:5])]
+
+
+def test_a_search_over_many_splits_moves_few_lists_and_no_single_rows(spark):
+    rng = random.Random(8)
+    corpus = spark.createDataFrame([(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(400)], "i long, v array<double>").repartition(60)
+    found = R.vector_top_k(corpus, corpus.filter("i % 20 = 0"), 6, "i", "v")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    assert f"Repartition {R.TASKS_A_CORE * spark.sparkContext.defaultParallelism}, false" in plan
+    assert len(rows_of(found)) == 20 * 6
